@@ -1,6 +1,6 @@
 """Every query of this subpackage and its SQL."""
 
-from . import native_queries
+from . import native_queries, python_queries
 
-QUERIES = {**native_queries.QUERIES}
-SQL = {**native_queries.SQL}
+QUERIES = {**native_queries.QUERIES, **python_queries.QUERIES}
+SQL = {**native_queries.SQL, **python_queries.SQL}
