@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, packing, substrings, tokenfile
+from . import audio, jaccard, langid, packing, substrings, tokenfile
 from .common import documents
 
 
@@ -43,17 +43,32 @@ def op2_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(documents(spark, sf_dir), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.find_and_cut(documents(spark, sf_dir), width=20)
     gone = F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     return cut.select("doc_id", "n_words", gone.cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def held_out(c: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.filter(~held_out()))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
     read = tokenfile.read_files(spark, manifest)
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_media_audio, op4_substring_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_media_audio, op3_jaccard_join, op4_substring_dedup, op9_language_id, op10_token_files)}
 SQL: dict[str, str] = {}
