@@ -14,7 +14,7 @@ EVENTS_NOW = "2024-01-31 00:00:00"
 POSTINGS = """
 SELECT o_orderkey AS job_id, o_custkey AS company_id,
   CASE o_custkey % 5 WHEN 0 THEN 'north' WHEN 1 THEN 'East' WHEN 2 THEN 'west' WHEN 3 THEN 'south' ELSE 'sample' END AS source,
-  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('J', CAST(o_orderkey % 4000 AS STRING)) END AS source_job_id,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE concat('J', CAST(o_orderkey % 9000 AS STRING)) END AS source_job_id,
   CASE o_orderkey % 14 WHEN 0 THEN 'SDE-1  Backend' WHEN 1 THEN 'Sr. Data Engineer' WHEN 2 THEN 'Jr Frontend Dev' WHEN 3 THEN 'Full Stack Developer'
     WHEN 4 THEN 'GenAI Engineer' WHEN 5 THEN 'ML Engineer Intern' WHEN 6 THEN 'Cloud Engineer II' WHEN 7 THEN 'SWE' WHEN 8 THEN 'React UI Developer'
     WHEN 9 THEN 'Principal Architect' WHEN 10 THEN 'Data Analyst Trainee' WHEN 11 THEN 'Engg Manager' WHEN 12 THEN 'QA' ELSE 'Software Engineer - Early Career' END AS title,
