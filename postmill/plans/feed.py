@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import amounts, times, titles
 from ..operators import facets, filters, keyed
 from .registry import query
-from .standins import EVENTS_NOW, NOW, Tables
+from .standins import EVENTS_NOW, NOW, Tables, clock
 
-AT = F.lit(NOW).cast("timestamp_ntz")
-EVENTS_AT = F.lit(EVENTS_NOW).cast("timestamp_ntz")
 #: A window that some of the stand-in's postings, seven years of them, fall into.
 HOURS = 24 * 400
 FRESH = f"is_active AND posted_at IS NOT NULL AND posted_at >= TIMESTAMP '{NOW}' - INTERVAL {HOURS} HOUR AND posted_at_confidence IN ('HIGH', 'MEDIUM') AND source <> 'sample'"
@@ -19,7 +17,7 @@ FRESH = f"is_active AND posted_at IS NOT NULL AND posted_at >= TIMESTAMP '{NOW}'
 
 @query(f"SELECT job_id, source, posted_at FROM postings WHERE {FRESH}", "postings")
 def f1_freshness_gate(t: Tables) -> DataFrame:
-    return t.postings.filter(filters.fresh(AT, HOURS)).select("job_id", "source", "posted_at")
+    return t.postings.filter(filters.fresh(clock(NOW), HOURS)).select("job_id", "source", "posted_at")
 
 
 @query("SELECT source, count(*) AS n FROM postings WHERE source = 'west' GROUP BY source", "postings")
@@ -123,9 +121,9 @@ def f14_validation(t: Tables) -> DataFrame:
 )
 def f15_freshness_class(t: Tables) -> DataFrame:
     # greatest() of a null age and 0 is 0: an undated posting has no age, and the struct's reason says why.
-    got = times.freshness(F.col("posted_at"), F.col("posted_at_confidence"), HOURS, AT)
+    got = times.freshness(F.col("posted_at"), F.col("posted_at_confidence"), HOURS, clock(NOW))
     age = F.when(F.col("posted_at").isNotNull(), got["age"])
-    return t.postings.select("job_id", age.alias("age"), got["is_fresh"].alias("is_fresh"), times.freshness_class(F.col("posted_at"), F.col("posted_at_confidence"), HOURS, AT).alias("class"))
+    return t.postings.select("job_id", age.alias("age"), got["is_fresh"].alias("is_fresh"), times.freshness_class(F.col("posted_at"), F.col("posted_at_confidence"), HOURS, clock(NOW)).alias("class"))
 
 
 @query(
@@ -159,7 +157,7 @@ def f19_suggest(t: Tables) -> DataFrame:
 )
 def f20_approval_expiry(t: Tables) -> DataFrame:
     pending = F.col("event_type") != "error"
-    expired = F.col("ts") + F.expr("INTERVAL 10 DAYS") < EVENTS_AT
+    expired = F.col("ts") + F.expr("INTERVAL 10 DAYS") < clock(EVENTS_NOW)
     return t.events.select("event_id", F.when(pending & expired, "EXPIRED").when(pending, "PENDING").otherwise("REJECTED").alias("status"))
 
 
@@ -229,7 +227,7 @@ FACETS = f"""f AS (SELECT *, remote_type <> 'ONSITE' AS loc_ok, employment_type
 
 
 def faceted(t: Tables) -> DataFrame:
-    rows = t.postings.filter(filters.fresh(AT, HOURS))
+    rows = t.postings.filter(filters.fresh(clock(NOW), HOURS))
     return facets.flags(rows, F.col("remote_type") != "ONSITE", F.col("employment_type") == "FULL_TIME", filters.experience_at_most(2))
 
 
@@ -278,7 +276,7 @@ def a4_pipeline_counts(t: Tables) -> DataFrame:
 
 @query(f"SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 240 HOUR")
 def a5_since_cutoff(t: Tables) -> DataFrame:
-    return t.events.filter(F.col("ts") >= EVENTS_AT - F.expr("INTERVAL 240 HOURS")).agg(F.count("*").alias("n"))
+    return t.events.filter(F.col("ts") >= clock(EVENTS_NOW) - F.expr("INTERVAL 240 HOURS")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) FILTER (overall_score >= 70) AS at_least_70, count(*) FILTER (overall_score >= 80) AS at_least_80, count(*) FILTER (overall_score >= 85) AS at_least_85 FROM matches", "matches")
@@ -361,12 +359,12 @@ def o4_salary_sort(t: Tables) -> DataFrame:
 
 @query(f"SELECT job_id FROM postings WHERE {FRESH} ORDER BY job_id LIMIT 20 OFFSET 40", "postings")
 def o5_page(t: Tables) -> DataFrame:
-    return keyed.page(t.postings.filter(filters.fresh(AT, HOURS)).select("job_id"), 3, 20, F.asc("job_id"))
+    return keyed.page(t.postings.filter(filters.fresh(clock(NOW), HOURS)).select("job_id"), 3, 20, F.asc("job_id"))
 
 
 @query(f"SELECT count(*) AS total, greatest(1, ceil(count(*) / 20.0::DOUBLE))::BIGINT AS pages FROM postings WHERE {FRESH}", "postings")
 def o5_page_info(t: Tables) -> DataFrame:
-    return keyed.page_info(t.postings.filter(filters.fresh(AT, HOURS)), 20)
+    return keyed.page_info(t.postings.filter(filters.fresh(clock(NOW), HOURS)), 20)
 
 
 @query(

@@ -10,12 +10,11 @@ from ..operators import keyed, windows
 from ..streaming import state, streams
 from .feed import skill_lists
 from .registry import query
-from .standins import EVENTS_NOW, NOW, Tables
+from .standins import EVENTS_NOW, NOW, Tables, clock
 
 CANDIDATE = ["PROMO", "SMALL", "medium"]
 #: The transfer table of the stand-in's skills.
 TRANSFER = {"promo": {"economy": 0.5, "large": 0.3}, "medium": {"standard": 0.8}}
-AT = F.lit(NOW).cast("timestamp_ntz")
 
 
 def compat_rows(t: Tables) -> DataFrame:

@@ -6,7 +6,8 @@ keys choose among raw texts of the kinds that the text functions must read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NOW = "2001-08-02 00:00:00"
 EVENTS_NOW = "2024-01-31 00:00:00"
@@ -64,6 +65,11 @@ VIEWS = {"postings": POSTINGS, "posting_skills": SKILLS, "saved_jobs": SAVED, "m
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def clock(now: str) -> Column:
+    """A fixed instant; made when a query is planned, never on import."""
+    return F.lit(now).cast("timestamp_ntz")
+
+
 class Tables:
     """Tables of one folder and the views made of them, as DataFrames; nothing is registered under a shared name."""
 

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import amounts, identity, markup, places, skills, times, titles, vectors
 from ..operators import dedup
 from .registry import query
-from .standins import NOW, Tables
+from .standins import NOW, Tables, clock
 
-AT = F.lit(NOW).cast("timestamp_ntz")
 ALIAS_ROWS = ", ".join(f"('{a}', '{n}')" for a, n in skills.ALIASES.items())
 
 
@@ -139,7 +138,7 @@ _LOW = ("30 hours ago", "2 days ago", "2001-07-20")
     "postings",
 )
 def t17_recency(t: Tables) -> DataFrame:
-    got = times.parse_recency(F.col("recency_raw"), AT)
+    got = times.parse_recency(F.col("recency_raw"), clock(NOW))
     return t.postings.select("job_id", F.unix_seconds(got["ts"]).alias("at"), got["confidence"].alias("confidence"))
 
 
