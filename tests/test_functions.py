@@ -1,0 +1,117 @@
+"""Text and scoring functions on written cases."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from postmill.functions import amounts, identity, markup, places, scoring, skills, times, titles
+from postmill.operators import dedup
+from postmill.streaming import state
+
+NOW = dt.datetime(2024, 3, 10, 12, 0)
+
+
+def each(spark, values, column, kind="string"):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r.x for r in rows.select("i", column(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+def test_skills(spark):
+    assert each(spark, [" ReactJS ", "k8s", "Cobol"], skills.normalize_skill) == ["React", "Kubernetes", "Cobol"]
+    assert each(spark, [["js", "JavaScript", " ", None, "C++", "cpp", "Zig", "zig"]], skills.normalize_skills, "array<string>") == [["JavaScript", "C++", "Zig"]]
+    texts = ["We encouraged storage of Node.js, c++ and React Native apps", "java javascript", "", None, "REST APIs / CI/CD, spring boot"]
+    assert each(spark, texts, skills.scan_skills) == [["Node.js", "C++", "React Native"], ["Java", "JavaScript"], [], [], ["REST APIs", "CI/CD", "Spring Boot"]]
+    rows = spark.createDataFrame([("Python and SQL.\nNice to have: Docker, SQL\nRequirements: Kafka", "AI Go Developer")], "d string, t string")
+    got = skills.with_skills(rows, F.col("d"), F.col("t"), F.array(F.lit("aws"))).first()
+    assert got.required == ["AWS", "Go", "Python", "SQL", "Kafka"] and got.preferred == ["Docker"]
+
+
+def test_titles(spark):
+    assert each(spark, ["SDE-1", "sde", "Jr. Dev", "Sr Engg"], titles.normalize_title) == ["Software Development Engineer I", "Software Development Engineer", "Junior. Developer", "Senior Engineer"]
+    assert each(spark, ["MERN Fullstack", "LLM Ops", "NLP", "UI Developer", "SRE", "Clerk"], titles.categorize_role) == ["FULL_STACK", "GEN_AI", "ML_ENGINEERING", "FRONTEND", "DEVOPS", "SOFTWARE_ENGINEERING"]
+    fits = lambda t: titles.matches_target_role(t, ["Software Engineer - Early Career"])
+    assert each(spark, ["SDE-1", "Swede", "software_engineer", "", "Chef"], fits) == [True, False, True, False, False]
+    assert each(spark, ["Head of Data", "Senior Dev", "SDE 2", "Graduate Trainee", "Trainee", "Cook"], lambda t: titles.experience_from_title(t)["exp_min"]) == [8, 5, 2, 1, 0, None]
+
+
+def test_salary_and_experience(spark):
+    got = each(spark, ["4-6 LPA", "1.5 cr", "20,000 per month", "₹ 500000 - 300000", "No stipend", "great", None], amounts.parse_salary)
+    assert [(r.salary_min, r.salary_max, r.is_unpaid) for r in got] == [(4e5, 6e5, False), (1.5e7, 1.5e7, False), (240000, 240000, False), (3e5, 5e5, False), (0, 0, True), (None, None, False), (None, None, False)]
+    got = each(spark, ["0-2 years", "3+ yrs", "min 2 years", "5 days a week", "Fresher", "intern, 1-2 years", "exp: 0 to 1", "experience 4 days", "", None, "x" * 120 + " 3 years"], amounts.parse_experience)
+    assert [(r.exp_min, r.exp_max, r.confidence) for r in got] == [(0, 2, "HIGH"), (3, None, "HIGH"), (2, None, "HIGH"), (None, None, "LOW"), (0, 0, "HIGH"), (1, 2, "HIGH"), (0, 1, "HIGH"), (None, None, "LOW"), (None, None, "LOW"), (None, None, "LOW"), (3, 3, "HIGH")]
+    assert got[-1].exp_text == "3 years"
+
+
+def test_recency(spark):
+    hours = {"just now": 0, "few hours ago": 3, "21d ago": 12, "2024-03-09": 20, "2024-03-01": 216, "45 mins": 0.75, "30h": 30}
+    got = each(spark, list(hours), lambda c: times.parse_recency(c, F.lit(NOW)))
+    assert [round((NOW - r.ts).total_seconds() / 3600, 2) for r in got] == list(hours.values())
+    strict = each(spark, ["21d ago"], lambda c: times.parse_recency(c, F.lit(NOW), strict=True))[0]
+    assert (NOW - strict.ts).days == 21 and strict.confidence == "LOW"
+    assert [r.ts for r in each(spark, ["2 weeks ago", "", None, "soon"], lambda c: times.parse_recency(c, F.lit(NOW)))] == [None] * 4
+    assert each(spark, ["2024-03-10T09:30:00Z"], lambda c: times.parse_recency(c, F.lit(NOW)))[0].ts == dt.datetime(2024, 3, 10, 9, 30)
+
+
+def test_places(spark):
+    cases = {
+        "Mysuru, Karnataka": "Mysuru", "KA": "Karnataka", "BLR | Pune": "Bengaluru / Pune", "Gurugram or Noida": "Gurugram / Noida", "Pune, Mumbai, Pune": "Pune / Mumbai", "West-end, goa": "West-End",
+        "Remote": "Remote", "Anywhere in India": "Remote (India)", "NCR": "Delhi NCR", "": "Unknown", "o'neil town": "O'Neil Town",
+    }
+    assert each(spark, list(cases), places.normalize_location) == list(cases.values())
+
+
+def test_identity(spark):
+    one = spark.range(1)
+    h = lambda *v: one.select(identity.fingerprint(*map(F.lit, v)).alias("h")).first().h
+    assert h("A b", "T!", "X", "F", None) == h("ab", "t", "x", "f", "") and h("!", "t", "x", "f", None) != h(None, "t", "x", "f", None)
+    assert each(spark, ["https://linkedin.com/careers", "https://acme.io/careers", None], identity.is_direct_url) == [False, True, False]
+
+
+def test_markup(spark):
+    page = '<script type="application/ld+json">[{"@type": "JobPosting", "title": " Dev ", "hiringOrganization": "Acme", "jobLocation": {"address": "Pune"}, "skills": ["a"]},]</script>'
+    got = each(spark, [page, "<p>none</p>", None], markup.job_posting)
+    assert (got[0].title, got[0].company_name, got[0].location, got[0].skills) == ("Dev", "Acme", "Pune", ["a"]) and got[1:] == [None, None]
+    text = each(spark, ["<nav>x</nav><p> Hi <b>you</b></p><script>1</script><form>apply</form>"], markup.page_text)[0]
+    assert text.text == "Hi\nyou\napply" and text.has_form
+    assert each(spark, ["a {\"x\": 1,} b", "nothing"], markup.repair_json) == ['{"x": 1}', "{}"]
+
+
+def test_skill_compatibility(spark):
+    rows = spark.createDataFrame([(["Python", "Flask"], ["Docker"]), ([], None), (["Kubernetes", "Go"], []), (["python"], None)], "r array<string>, p array<string>")
+    got = [r.c for r in rows.select(scoring.skill_compatibility(["Python", "Docker"], F.col("r"), F.col("p")).alias("c")).collect()]
+    assert [(c.required_score, c.preferred_score, c.transferable_score) for c in got] == [(50, 100, 100), (30, 30, 100), (0, 0, pytest.approx(30)), (100, 100, 100)]
+
+
+def test_fold_takes_the_first_canonical():
+    base = dict(source="a", source_job_id=None, normalized_company="c", application_url=None, posted_at=None, direct=False)
+    row = lambda pos, **k: {**base, "pos": pos, "source_url": f"u{pos}", "job_hash": str(pos), "description": f"text number {pos} " * 3, **k}
+    rows = [row(0, source_url="x"), row(1, job_hash="9"), row(2, source_url="x", job_hash="9", direct=True), row(3, job_hash="9")]
+    assert dedup.fold(rows) == [(0, 2, "LEVEL_1_EXACT_URL"), (1, 1, None), (2, 2, None), (3, 2, "LEVEL_3_NORMALIZED_METADATA")]
+
+
+def test_state_machines():
+    go, s = state.limiter(2, 10), []
+    assert [go(s, {"at": t}) for t in (0.0, 1.0, 2.0, 10.5, 11.5)] == [(True, 1), (True, 0), (False, 0), (True, 0), (True, 0)]
+    go, s = state.breaker(2, 30, 2), []
+    steps = [(0.0, False), (1.0, False), (5.0, True), (40.0, True), (41.0, True), (42.0, False)]
+    assert [go(s, {"at": t, "ok": ok}) for t, ok in steps] == [("CLOSED", False), ("OPEN", False), ("OPEN", True), ("HALF_OPEN", False), ("CLOSED", False), ("CLOSED", False)]
+    go, s = state.retries(3), []
+    assert [go(s, {"ok": False})[1] for _ in range(3)] == ["again", "again", "dead"]
+
+
+def test_batch_and_stream_agree(spark, tmp_path):
+    from postmill.streaming import streams
+
+    rows = spark.createDataFrame([(k, float(t), True) for k in range(3) for t in range(0, 40, 3 + k)], "key long, at double, ok boolean")
+    rows.write.parquet(str(tmp_path / "in"))
+    batch = state.run_batch(rows, "key", ["at"], lambda: state.limiter(3, 10.0), state.LIMITER_OUT)
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    out = streams.drain(state.run_stream(stream, "key", ["at"], lambda: state.limiter(3, 10.0), state.LIMITER_OUT))
+    want = sorted((r.key, r["at"], r.allowed, r.left) for r in batch.collect())
+    assert sorted((r.key, r["at"], r.allowed, r.left) for r in out.select("key", "at", "allowed", "left").collect()) == want
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(0, 40)] + [(101, 100)], "later long, earlier long")
+    assert {r.node: r.root for r in dedup.components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
