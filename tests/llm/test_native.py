@@ -28,8 +28,8 @@ def test_exact_copies(spark, bits):
     want = Counter()
     for t, ids in groups.items():
         keep = max((d for d in ids if d is not None), default=None)
-        for k, d in enumerate(sorted(ids, key=lambda d: (d is not None, d or 0))):
-            first = d == keep and ids.index(d) is not None and sorted(ids, key=lambda d: (d is not None, d or 0)).index(d) == k
+        for k, d in enumerate(ids):
+            first = d == keep and ids.index(d) == k
             want[(d, keep, len(ids), first, hashlib.sha256(t.encode()).hexdigest())] += 1
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
 
