@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ceil_div, ship, volume
-from .tokens import encoder
+from .tokens import encoder, slices
 
 LENGTH, GROUP = 1024, 4096
 
@@ -53,18 +53,16 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGT
     """doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit): each id lies in exactly one piece."""
     ship(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        known, last = encoder(tokenizer), np.array([end_id], "<u4")
         for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, batch.num_rows, 2000):
+            for part in slices(batch.column("text")):
+                ids = known.batch(batch.column("text")[part.start : part.stop])
                 rows = []
-                for doc, text in zip(batch.column("doc_id")[at : at + 2000].to_pylist(), texts[at : at + 2000].to_pylist()):
-                    ids = encode(text) + end
-                    total = len(ids) // 4
-                    rows += [(doc, s, min(length, total - s), total, ids[4 * s : 4 * (s + length)]) for s in range(0, total, length)]
+                for doc, own in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), ids):
+                    own = np.concatenate([own, last])
+                    rows += [(doc, s, min(length, len(own) - s), len(own), own[s : s + length].tobytes()) for s in range(0, len(own), length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
