@@ -5,8 +5,10 @@ document frequency (a count sketch of fixed size over all documents, which may o
 pair), then hash. In that order two sets that overlap enough share l tokens within their prefixes of
 size - least overlap + l, for every l. Each class picks the l that costs least: tokens to scan in the lists of its
 longer prefix against candidates to verify, both from exact list lengths. A pair is verified only if it shares
-as many prefix tokens as the smaller l of the two demands, and if the positional bound allows enough overlap: tokens
-before a shared one that are in no other prefix can't be common to the two.
+as many prefix tokens as the smaller l of the two demands, and if two bounds allow enough overlap: tokens before a
+shared one that are in no other prefix can't be common to the two, and the parity sketches of two sets differ in no
+more bits than the sets do in tokens. Both bounds are exact; they keep a large group of near copies from offering all
+its pairs.
 
 Components need not see all pairs of a group. First every list offers its members to one anchor, its class with the
 most shared tokens; verified links join classes into components. Then only pairs across components remain, counted
@@ -31,9 +33,11 @@ from .common import materialise, ship
 from .components import components
 from .substrings import mix, rolling, word_hashes
 
-#: Counters of the frequency sketch: 4 MB when broadcast, whatever the input.
-COUNTERS = 1 << 20
-CHUNK = 1 << 14
+#: Counters of the frequency sketch: 8 MB of ranks when broadcast, whatever the input.
+COUNTERS = 1 << 23
+CHUNK = 1 << 17
+#: Words of 64 bits of a set's parity sketch.
+SKETCH = 8
 #: Longest multi-match, and the cost of verifying a candidate against that of one list entry.
 LONGEST, VERIFY = 6, 8.0
 #: Bits of the filter that spares unneeded sets a shuffle: half a megabyte; false hits only cost time.
@@ -66,17 +70,17 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(COUNTERS, np.int64), [], 0
+        total, held, size = np.zeros(COUNTERS, np.uint32), [], 0
         for batch in batches:
             for text in batch.column("text"):
                 t = shingles(text.as_py(), k)
                 held.append((t & np.uint64(COUNTERS - 1)).astype(np.int32))
                 size += len(t)
                 if size > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    np.add.at(total, np.concatenate(held), np.uint32(1))
                     held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+            np.add.at(total, np.concatenate(held), np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1)
         parts = [pack.compress(total[a : a + CHUNK].tobytes()) for a in range(0, COUNTERS, CHUNK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
@@ -85,7 +89,7 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
         plain = zstandard.ZstdDecompressor()
         total = np.zeros(CHUNK, np.int64)
         for c in table.column("counts").to_pylist():
-            total += np.frombuffer(plain.decompress(c), np.int64)
+            total += np.frombuffer(plain.decompress(c), np.uint32)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
@@ -95,23 +99,30 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """SKETCH words: bit i is the parity of the number of tokens that hash to i."""
+    slots = (tokens >> np.uint64(24)) & np.uint64(64 * SKETCH - 1)
+    return np.packbits(np.bincount(slots.astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64)
+
+
 def frequency_rank(sketch: np.ndarray) -> np.ndarray:
     """Doublings above what other tokens put into an average counter."""
-    over = np.maximum(sketch.astype(np.float64) - 2 * sketch.mean() - 8, 1)
+    mean = sketch.mean(dtype=np.float64)
+    over = np.maximum(sketch - np.float32(mean + 4 * mean**0.5 + 4), 1)
     return np.log2(over).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, cid (class), n, prefix: the longest prefix in the global order."""
+    """doc_id, cid (class), n, prefix (the longest, in the global order), sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(frequency_rank(frequency_sketch(docs, k)))
-    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                cids, sizes, lists = [], [], []
+                cids, sizes, lists, sketches = [], [], [], []
                 for text in part.column("text"):
                     t = shingles(text.as_py(), k)
                     n = len(t)
@@ -120,15 +131,17 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     cids.append(_class_id(t))
                     sizes.append(n)
                     lists.append(t[order].view(np.int64))
+                    sketches.append(parity_sketch(t))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), values)], schema=schema)
+                values = pa.array(np.concatenate(lists))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(lists) + 1, SKETCH, dtype=np.int32)), pa.array(np.concatenate(sketches)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), values), bits], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cid long, n int, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cid long, n int, prefix array<long>, sketch array<long>")
 
 
 def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """token, cid, n, reach, match (the class's l), weight: entries of the chosen prefixes in lists of two or more."""
+    """token, cid, n, reach, match (the class's l), weight, s0..: entries of the chosen prefixes in lists of two or more."""
     least = F.ceil(F.col("n") * percent / 100).cast("int")
     every = classes.select("cid", "n", least.alias("least"), F.posexplode("prefix").alias("pos", "token"))
     lists = every.groupBy("token").agg(F.count("*").alias("entries"), F.min("n").alias("n_min")).filter("entries > 1")
@@ -151,7 +164,8 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     # Tokens before this one that no other prefix has can't be common to two sets.
     alone = F.col("pos") - (F.array_position("places", F.col("pos")) - 1)
     rows = rows.withColumn("reach", (F.col("n") - alone).cast("int"))
-    return rows.filter(F.col("reach") >= least_overlap_column("n", "n_min", percent)).select("token", "cid", "n", "reach", "match", "weight")
+    rows = rows.filter(F.col("reach") >= least_overlap_column("n", "n_min", percent)).select("token", "cid", "n", "reach", "match", "weight")
+    return rows.join(classes.select("cid", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]), "cid")
 
 
 def least_overlap_column(n: str, m: str, percent: int) -> Column:
@@ -163,8 +177,12 @@ def _side(p: DataFrame, name: str) -> DataFrame:
 
 
 def _may_link(percent: int) -> Column:
-    reach = F.least("a_reach", "b_reach") >= least_overlap_column("a_n", "b_n", percent)
-    return reach & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    need = least_overlap_column("a_n", "b_n", percent)
+    reach = F.least("a_reach", "b_reach") >= need
+    differ = F.lit(0)
+    for i in range(SKETCH):
+        differ = differ + F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}")))
+    return reach & (differ <= F.col("a_n") + F.col("b_n") - 2 * need) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -175,7 +193,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 def anchor_pairs(p: DataFrame, percent: int) -> DataFrame:
     """Each list's members with the list's anchor: its class of most shared tokens."""
-    anchors = p.groupBy("token").agg(F.max(F.struct("weight", "cid", "n", "reach", "match")).alias("x")).select("token", "x.*")
+    anchors = p.groupBy("token").agg(F.max(F.struct("weight", "cid", "n", "reach", "match", *[f"s{i}" for i in range(SKETCH)])).alias("x")).select("token", "x.*")
     return _side(p, "b").join(_side(anchors, "a"), "token").filter(F.col("a_cid") != F.col("b_cid")).filter(_may_link(percent)).select("a_cid", "b_cid").distinct().select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
 
 
@@ -248,8 +266,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, cid, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = docs.select("doc_id", "text")
     rows = materialise(prefixes(docs, k, percent), "prefixes")
-    classes = rows.filter("n > 0").groupBy("cid").agg(F.min(F.struct("n", "prefix")).alias("x"), F.min("doc_id").alias("first"))
-    classes = materialise(classes.select("cid", "x.n", "x.prefix", "first"), "classes")
+    classes = rows.filter("n > 0").groupBy("cid").agg(F.min(F.struct("n", "prefix", "sketch")).alias("x"), F.min("doc_id").alias("first"))
+    classes = materialise(classes.select("cid", "x.n", "x.prefix", "x.sketch", "first"), "classes")
     p = materialise(postings(classes, percent), "postings")
     links = materialise(verified(docs, anchor_pairs(p, percent), k, percent), "anchor-links")
     more = materialise(verified(docs, cross_pairs(p, components(links), percent), k, percent), "cross-links")
