@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship
 from .components import components
-from .substrings import mix, rolling, word_hashes
+from .substrings import rolling, word_hashes
+from .tokens import slices
 
-#: Counters of the frequency sketch: 8 MB of ranks when broadcast, whatever the input.
-COUNTERS = 1 << 23
-CHUNK = 1 << 17
+#: Counters of the frequency sketch: 4 MB of ranks when broadcast, whatever the input.
+COUNTERS = 1 << 22
+CHUNK = 1 << 16
 #: Words of 64 bits of a set's parity sketch.
 SKETCH = 8
 #: Longest multi-match, and the cost of verifying a candidate against that of one list entry.
@@ -44,12 +45,26 @@ LONGEST, VERIFY = 6, 8.0
 FILTER_BITS = 1 << 22
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes."""
-    h = word_hashes((text or "").encode().lower().split())
-    if 0 < len(h) < k:
-        h = np.concatenate([h, np.full(k - len(h), 0x5851F42D4C957F2D + len(h), np.uint64)])
-    return np.unique(rolling(h, k))
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of every text."""
+    h, lengths = word_hashes(texts, lower=True)
+    windows = rolling(h, k)
+    ends = np.cumsum(lengths)
+    out = []
+    for n, end in zip(lengths.tolist(), ends.tolist()):
+        if 0 < n < k:
+            few = np.full(k, 0x5851F42D4C957F2D + n, np.uint64)
+            few[:n] = h[end - n : end]
+            own = rolling(few, k)
+        else:
+            own = np.sort(windows[end - n : max(end - n, end - k + 1)])
+        out.append(own if len(own) < 2 else own[np.concatenate([[True], own[1:] != own[:-1]])])
+    return out
+
+
+def batched_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    for part in slices(texts):
+        yield from shingle_sets(texts[part.start : part.stop], k)
 
 
 def _class_id(tokens: np.ndarray) -> int | None:
@@ -72,8 +87,7 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, size = np.zeros(COUNTERS, np.uint32), [], 0
         for batch in batches:
-            for text in batch.column("text"):
-                t = shingles(text.as_py(), k)
+            for t in batched_sets(batch.column("text"), k):
                 held.append((t & np.uint64(COUNTERS - 1)).astype(np.int32))
                 size += len(t)
                 if size > 2_000_000:
@@ -120,11 +134,10 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in slices(batch.column("text")):
+                part = batch.slice(at.start, at.stop - at.start)
                 cids, sizes, lists, sketches = [], [], [], []
-                for text in part.column("text"):
-                    t = shingles(text.as_py(), k)
+                for t in shingle_sets(part.column("text"), k):
                     n = len(t)
                     keep = min(n, n - -(-percent * n // 100) + LONGEST)
                     order = np.lexsort((t, rank[(t & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:keep]
@@ -221,8 +234,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         bits = sent.value
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
-                t = shingles(text.as_py(), k)
+            for t in batched_sets(batch.column("text"), k):
                 cid = _class_id(t)
                 if cid is not None and bits[cid % FILTER_BITS >> 6] >> (cid % 64) & 1:
                     rows.append((cid, t.tobytes()))

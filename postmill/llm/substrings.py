@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         import xxhash
 
         if len(self) >= REMEMBERED:
@@ -45,8 +46,20 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and the number of words of each. Arrow splits and finds the distinct words."""
+    texts = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if lower:
+        texts = pc.ascii_lower(texts)
+    lists = pc.ascii_split_whitespace(texts)
+    lengths = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    distinct = np.fromiter(map(_hashes.__getitem__, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    h = distinct[coded.indices.to_numpy(zero_copy_only=False)]
+    none = pc.equal(texts, "").to_numpy(zero_copy_only=False)  # an empty text gives one empty word
+    return h[~np.repeat(none, lengths)], np.where(none, 0, lengths).astype(np.int64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,10 +89,8 @@ class Block:
         rows = sorted(zip(table.column("doc_id").to_pylist(), (t or "" for t in table.column("text").to_pylist())), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         self.doc_ids = [r[0] for r in rows]
         self.texts = [r[1] for r in rows]
-        parts = [word_hashes(t.encode().split()) for t in self.texts]
-        self.lengths = np.array([len(p) for p in parts], np.int64)
+        h, self.lengths = word_hashes(pa.array(self.texts, pa.string()))
         ends = np.cumsum(self.lengths)
-        h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         hashes = rolling(h, width)
         # Windows that lie in one document, by their place among the block's words.
         left = np.repeat(ends, self.lengths)[: len(hashes)] - np.arange(len(hashes))
