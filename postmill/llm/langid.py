@@ -15,7 +15,6 @@ and can clash with nothing.
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.002
 RULED_OUT = -60.0
 SMOOTH = 0.1
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 #: First code points of script ranges and their scripts, fixed values.
 SCRIPTS = [
@@ -51,22 +50,22 @@ def script(word: str) -> str:
     return SCRIPTS[bisect_right(_EDGES, ord(word[0])) - 1][1]
 
 
-class _Features(dict):
-    def __missing__(self, gram: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[gram] = zlib.crc32(gram.encode()) & (FEATURES - 1)
-        return h
-
-
-_feature = _Features()
-
-
-def features(word: str) -> list[int]:
-    """Hashed 1- to 3-grams of the word within edge marks."""
-    w = f"<{word}>"
-    grams = [w[i : i + 3] for i in range(len(w) - 2)] + [w[i : i + 2] for i in range(len(w) - 1)] + list(word)
-    return list(map(_feature.__getitem__, grams))
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed 1- to 3-grams of all words within edge marks: (places, 3) numbers, FEATURES for none; first place of each word."""
+    c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(c))  # characters from here to the word's end
+    first = np.zeros(len(c), bool)
+    first[starts] = True
+    after = np.concatenate([c[1:], np.zeros(1, np.uint64)])
+    third = np.concatenate([c[2:], np.zeros(2, np.uint64)])[: len(c)]
+    out = np.full((len(c), 3), FEATURES, np.int64)
+    for k, (value, there) in enumerate(((c, ~first & (left > 1)), (c << np.uint64(21) | after, left > 1), (c << np.uint64(42) | after << np.uint64(21) | third, left > 2))):
+        h = (value + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[there, k] = (h >> np.uint64(40))[there].astype(np.int64) & (FEATURES - 1)
+    return out, starts
 
 
 def count_features(docs: DataFrame) -> DataFrame:
@@ -80,11 +79,17 @@ def count_features(docs: DataFrame) -> DataFrame:
         scripts: dict[str, Counter] = {}
 
         def settle(lang: str) -> None:
-            table = grams.setdefault(lang, np.zeros(FEATURES, np.int64))
+            table = grams.setdefault(lang, np.zeros(FEATURES + 1, np.int64))
             seen = scripts.setdefault(lang, Counter())
-            for word, n in words.pop(lang).items():
-                np.add.at(table, features(word), n)
-                seen[script(word)] += n
+            counted = words.pop(lang)
+            if not counted:
+                return
+            places, starts = features(list(counted))
+            n = np.fromiter(counted.values(), np.int64, len(counted))
+            weights = np.repeat(n, np.diff(starts, append=len(places)))
+            table += np.bincount(places.ravel(), np.repeat(weights, 3), FEATURES + 1).astype(np.int64)
+            for word, times in counted.items():
+                seen[script(word)] += times
 
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
@@ -95,7 +100,7 @@ def count_features(docs: DataFrame) -> DataFrame:
         for lang in list(words):
             settle(lang)
         for lang, table in grams.items():
-            at = np.flatnonzero(table)
+            at = np.flatnonzero(table[:FEATURES])
             names = list(scripts[lang])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + len(names)), pa.string()), pa.array(["gram"] * len(at) + names, pa.string()), pa.array([*at.tolist(), *[0] * len(names)], pa.int32()), pa.array([*table[at].tolist(), *(scripts[lang][s] for s in names)], pa.int64())], schema=schema)
 
@@ -120,15 +125,19 @@ class Model:
             total = n[own & ~gram].sum()
             for s, c in zip(kinds[own & ~gram], n[own & ~gram]):
                 shares.setdefault(s, np.zeros(len(self.languages)))[k] = c / max(1, total)
-        self.log = np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * FEATURES)).astype(np.float32) if self.languages else table
+        log = np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * FEATURES)).astype(np.float32)
+        self.log = np.concatenate([log, np.zeros((1, len(self.languages)), np.float32)])  # the last row: no feature
         self.allowed = {s: x >= SCRIPT_SHARE for s, x in shares.items() if (x >= SCRIPT_SHARE).any()}
 
-    def word(self, word: str) -> np.ndarray:
-        score = self.log[features(word)].sum(0)
-        # Relative to the best language: sums stay small, and one odd word can't outweigh a text.
-        score = np.maximum(score - score.max(), RULED_OUT / 2)
-        mask = self.allowed.get(script(word))
-        return score if mask is None else np.where(mask, score, np.float32(RULED_OUT))
+    def scores(self, words: list[str]) -> np.ndarray:
+        """(words, languages): relative to the best language, so that sums stay small and one odd word can't outweigh a text."""
+        places, starts = features(words)
+        at_place = self.log[places[:, 0]] + self.log[places[:, 1]] + self.log[places[:, 2]]
+        score = np.add.reduceat(at_place, starts, axis=0)
+        score = np.maximum(score - score.max(1, keepdims=True), np.float32(RULED_OUT / 2))
+        everyone = np.ones(len(self.languages), bool)
+        mask = np.array([self.allowed.get(script(w), everyone) for w in words])
+        return np.where(mask, score, np.float32(RULED_OUT))
 
 
 def fit(docs: DataFrame) -> Model:
@@ -192,24 +201,30 @@ class Labeller:
     def rows(self, words: list[str]) -> np.ndarray:
         """Row in the score table of each word."""
         known = self.row
-        new = set(words).difference(known)
-        if len(known) + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.empty((len(known) + len(new), self.table.shape[1]), np.float32)])
-        for w in new:
-            at = known[w] = len(known)
-            self.table[at] = self.model.word(w)
+        new = sorted(set(words).difference(known))
+        if new:
+            end = len(known) + len(new)
+            if end > len(self.table):
+                self.table = np.concatenate([self.table, np.empty((end, self.table.shape[1]), np.float32)])
+            self.table[len(known) : end] = self.model.scores(new)
+            known.update(zip(new, range(len(known), end)))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
         if len(self.row) > REMEMBERED:
             self.row = {}
-        words = [[w for w in WORD.findall((t or "").lower()) if w[0].isalpha()] if self.model.languages else [] for t in texts]
+        words = [WORD.findall((t or "").lower()) if self.model.languages else [] for t in texts]
+        words = [w if "".join(w).isalpha() else [x for x in w if x[0].isalpha()] for w in words]
         some = [i for i, w in enumerate(words) if w]
         out: list[tuple[str, float, list[dict]]] = [("und", 0.0, [])] * len(texts)
         if not some:
             return out
-        rows = [self.rows(words[i]) for i in some]
+        every = self.rows([w for i in some for w in words[i]])
+        rows = np.split(every, np.cumsum([len(words[i]) for i in some])[:-1])
         for i, labels in zip(some, viterbi([self.table[r] for r in rows])):
+            if labels[0] == labels[-1] and not (labels != labels[0]).any():
+                out[i] = (self.model.languages[int(labels[0])], 1.0, self.spans(texts[i], labels))
+                continue
             sizes = np.fromiter(map(len, words[i]), np.int64, len(words[i]))
             letters = np.bincount(labels, sizes, len(self.model.languages))
             top = int(letters.argmax())
