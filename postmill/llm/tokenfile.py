@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ceil_div, shared_dir, ship, volume
-from .tokens import encoder
+from .tokens import encoder, slices
 
 #: Fixed values of the format.
 SKIPPABLE, SEEKABLE, HAS_CHECKSUM = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -136,23 +136,25 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, files
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+        known, number = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         system, top = _open(folder)
-        name, writer, out, temporary = f"{top}/part-{part:07d}.ids.zst", None, None, None
+        name, writer, out, temporary = f"{top}/part-{number:07d}.ids.zst", None, None, None
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                if writer is None:
-                    system.create_dir(top)
-                    temporary = f"{top}/.{uuid.uuid4().hex}.part"
-                    out = system.open_output_stream(temporary)
-                    writer = FrameWriter(out)
-                writer.add(doc, encode(text.as_py()) + end)
+            if writer is None and batch.num_rows:
+                system.create_dir(top)
+                temporary = f"{top}/.{uuid.uuid4().hex}.part"
+                out = system.open_output_stream(temporary)
+                writer = FrameWriter(out)
+            for part in slices(batch.column("text")):
+                ids = known.batch(batch.column("text")[part.start : part.stop])
+                for doc, own in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), ids):
+                    writer.add(doc, own.tobytes() + end)
         if writer is not None:
             writer.close()
             out.close()
             system.move(temporary, name)
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name.rpartition("/")[2]], "docs": [len(writer.lengths)], "tokens": [int(sum(writer.lengths))]})
+            yield pa.RecordBatch.from_pydict({"part": [number], "name": [name.rpartition("/")[2]], "docs": [len(writer.lengths)], "tokens": [int(sum(writer.lengths))]})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     written = sorted(rows.mapInArrow(run, "part long, name string, docs long, tokens long").collect(), key=lambda r: r["part"])
