@@ -71,4 +71,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_media_audio, op3_jaccard_join, op4_substring_dedup, op9_language_id, op10_token_files)}
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) END AS ss FROM w),
+        s AS (SELECT doc_id, unnest(ss) AS shingle, len(ss) AS n FROM g),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p WHERE 100 * c >= 90 * (n + m - c)),
+        e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r AS (SELECT doc_id AS node, doc_id AS root FROM g UNION SELECT e.y, r.root FROM r JOIN e ON r.node = e.x),
+        k AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+        SELECT g.doc_id, len(ss)::BIGINT AS n_shingles, k.root AS component_id FROM g JOIN k ON g.doc_id = k.node""",
+    "op4_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        o AS (SELECT doc_id, unnest([array_to_string(ws[i : i + 19], ' ') FOR i IN range(1, len(ws) - 18)]) AS k, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+        d AS (SELECT doc_id, i FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        c AS (SELECT DISTINCT doc_id, i + j AS at_word FROM d, (SELECT unnest(range(20)) AS j)),
+        t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at_word FROM w),
+        v AS (SELECT t.doc_id, t.word, t.at_word, c.doc_id IS NOT NULL AS gone FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.at_word = c.at_word),
+        a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY at_word) FILTER (NOT gone) AS kept FROM v GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a ON w.doc_id = a.doc_id""",
+}
