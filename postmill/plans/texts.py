@@ -274,10 +274,9 @@ _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[\s]+'
     SELECT earlier, later, round(c / (n + m - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (n + m - c)::DOUBLE >= 0.85"""
 )
 def d4_near_dup(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.col("doc_id").alias("pos"), dedup.token_set(F.col("text")).alias("tokens"), F.lower(F.substring("text", 1, 24)).alias("block"))
-    pairs = dedup.blocked_pairs(rows, F.col("block"), "LEVEL_4_FUZZY_DESCRIPTION", "tokens")
-    score = dedup.jaccard(F.col("earlier_tokens"), F.col("later_tokens"))
-    return pairs.withColumn("jaccard", score).filter("jaccard >= 0.85").select("earlier", "later", F.round("jaccard", 6).alias("jaccard"))
+    members, sets = dedup.token_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"))
+    pairs = dedup.class_members(members, dedup.near_classes(sets, 85))
+    return pairs.select("earlier", "later", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(
@@ -311,9 +310,9 @@ def d6_fold(t: Tables) -> DataFrame:
 
 @query()
 def t22_sequence_ratio(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.col("doc_id").alias("pos"), "text", F.lower(F.substring("text", 1, 24)).alias("block"))
-    pairs = dedup.blocked_pairs(rows, F.col("block"), "LEVEL_4_FUZZY_DESCRIPTION", "text")
-    return dedup.description_similarity(pairs, "later_text", "earlier_text").select("later", "earlier", F.round("similarity", 6).alias("similarity"))
+    members, sets = dedup.token_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"))
+    pairs = dedup.head_ratios(members, dedup.near_classes(sets, round(100 * dedup.PREFILTER)))
+    return pairs.select("later", "earlier", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
