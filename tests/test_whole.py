@@ -35,3 +35,15 @@ def test_near_pairs_differ_anywhere(spark, tmp_path):
     want = {(b, a): round(SequenceMatcher(None, text[b], text[a]).ratio(), 6) for a, b in near_pairs(rows, dedup.PREFILTER)}
     got = entry.queries()["t22_sequence_ratio"](spark, str(tmp_path)).collect()
     assert {(r.later, r.earlier): r.similarity for r in got} == want and len(got) == len(want)
+
+
+def test_rollup_takes_every_event(spark, tmp_path):
+    events = [(i, i % 7, "error" if i % 7 == 3 or (i % 7 == 4 and i > 60) else "view") for i in range(100)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for source in range(7):
+        own = [e for e in events if e[1] == source]
+        ok = [e[2] != "error" for e in own]
+        want[source] = (len(own), sum(e[0] % 10 for e in own), "success" if all(ok) else "partial_success" if any(ok) else "failed")
+    got = entry.queries()["a9_rollup"](spark, str(tmp_path)).collect()
+    assert {r.source: (r.attempts, r.fetched, r.status) for r in got} == want and len(got) == 7
