@@ -295,17 +295,19 @@ def d5_vector_dup(t: Tables) -> DataFrame:
     SELECT node, min(root) AS root FROM r GROUP BY node"""
 )
 def d6_components(t: Tables) -> DataFrame:
-    rows = t.orders.filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
-    return dedup.components(rows.select(F.col("o_orderkey").alias("later"), ((F.col("o_orderkey") + 7) % 15000).alias("earlier")))
+    return dedup.components(dedup.key_edges(fold_rows(t)))
 
 
-@query()
-def d6_fold(t: Tables) -> DataFrame:
-    rows = t.postings.select(
+def fold_rows(t: Tables) -> DataFrame:
+    return t.postings.select(
         F.col("job_id").alias("pos"), "source", "source_job_id", F.lower(F.concat_ws("/", "company_name", "location")).alias("normalized_company"), F.lower("title").alias("normalized_title"), F.col("location").alias("normalized_location"),
         "employment_type", F.nullif(F.col("source_url"), F.lit("ftp://bad")).alias("source_url"), "application_url", "description", "posted_at",
     )
-    return dedup.deduplicate(rows)
+
+
+@query()
+def d6_fold(t: Tables) -> DataFrame:
+    return dedup.deduplicate(fold_rows(t))
 
 
 @query()

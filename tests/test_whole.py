@@ -6,6 +6,8 @@ from itertools import combinations
 
 import __spark_entry__ as entry
 from postmill.operators import dedup
+from postmill.plans import texts
+from postmill.plans.standins import Tables
 
 
 def near_texts():
@@ -47,3 +49,29 @@ def test_rollup_takes_every_event(spark, tmp_path):
         want[source] = (len(own), sum(e[0] % 10 for e in own), "success" if all(ok) else "partial_success" if any(ok) else "failed")
     got = entry.queries()["a9_rollup"](spark, str(tmp_path)).collect()
     assert {r.source: (r.attempts, r.fetched, r.status) for r in got} == want and len(got) == 7
+
+
+def test_components_take_every_posting(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = texts.fold_rows(Tables(spark, sf)).collect()
+    root = {r.pos: r.pos for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    first = {}
+    norm = lambda v: "".join(c for c in (v or "").lower() if c.isascii() and c.isalnum())
+    for r in rows:
+        meta = tuple(norm(v) for v in (r.normalized_company, r.normalized_title, r.normalized_location, r.employment_type)) + (norm(r.source_job_id) if r.source_job_id else "generic",)
+        keys = [("url", r.source_url), ("apply", r.application_url), ("id", r.source_job_id and (r.source, r.source_job_id)), ("meta", meta)]
+        for key in (k for k in keys if k[1]):
+            a, b = find(first.setdefault(key, r.pos)), find(r.pos)
+            root[max(a, b)] = min(a, b)
+    found = {p: find(p) for p in root}
+    sizes = {}
+    for r in found.values():
+        sizes[r] = sizes.get(r, 0) + 1
+    got = entry.queries()["d6_components"](spark, sf).collect()
+    assert {r.node: r.root for r in got} == {p: r for p, r in found.items() if sizes[r] > 1} and len(rows) == Tables(spark, sf).postings.count()
