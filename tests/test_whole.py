@@ -1,5 +1,6 @@
 """Queries and operators against brute force where a cut would lose rows."""
 
+import datetime
 import random
 from difflib import SequenceMatcher
 from itertools import combinations
@@ -75,3 +76,28 @@ def test_components_take_every_posting(spark):
         sizes[r] = sizes.get(r, 0) + 1
     got = entry.queries()["d6_components"](spark, sf).collect()
     assert {r.node: r.root for r in got} == {p: r for p, r in found.items() if sizes[r] > 1} and len(rows) == Tables(spark, sf).postings.count()
+
+
+def test_fold_compares_only_rows_that_share_a_key(monkeypatch):
+    rng = random.Random(3)
+    base = dict(source="a", source_job_id=None, direct=False, posted_at=None)
+    rows = [
+        {**base, "pos": i, "source_url": rng.choice([None, f"u{rng.randrange(60)}"]), "application_url": f"p{rng.randrange(200)}", "job_hash": str(rng.randrange(150)), "normalized_company": f"c{rng.randrange(40)}",
+         "description": f"{rng.choice('xyz')} " * rng.randrange(1, 200), "direct": rng.random() < 0.3, "posted_at": datetime.date(2024, 1, rng.randrange(1, 28))}
+        for i in range(200)
+    ]
+    kept, want = [], {}
+    for r in (dict(r) for r in rows):
+        for i, k in enumerate(kept):
+            level = dedup.duplicate_level(r, k)
+            if level:
+                winner, loser = (k, r) if dedup._better(k, r) else (r, k)
+                want[loser["pos"]] = (winner["pos"], level)
+                kept[i] = winner
+                break
+        else:
+            kept.append(r)
+    compared, test = [], dedup.duplicate_level
+    monkeypatch.setattr(dedup, "duplicate_level", lambda a, b: compared.append((a, b)) or test(a, b))
+    assert dedup.fold([dict(r) for r in rows]) == [(r["pos"], *want.get(r["pos"], (r["pos"], None))) for r in rows]
+    assert all(set(dedup._fold_keys(a)) & set(dedup._fold_keys(b)) for a, b in compared) and compared
