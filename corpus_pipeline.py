@@ -16,7 +16,7 @@ from postmill.llm.python_queries import tokenizer_path
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no language: null texts and texts without a letter. Fits on the labelled rows of docs."""
-    return langid.predict(docs, langid.fit(docs)).filter("lang_pred <> 'und'").select("row.*")
+    return langid.predict(docs, langid.fit(docs)).filter(F.col("row.text").rlike(r"\p{L}")).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,6 +191,11 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     return out
 
 
+def from_letter(word: str) -> str:
+    """The word from its first letter on; empty without one. A numeral may stand before it."""
+    return next((word[i:] for i, c in enumerate(word) if c.isalpha()), "")
+
+
 class Labeller:
     """Judges texts with a model; remembers word scores within a task."""
 
@@ -214,7 +219,7 @@ class Labeller:
         if len(self.row) > REMEMBERED:
             self.row = {}
         words = [WORD.findall((t or "").lower()) if self.model.languages else [] for t in texts]
-        words = [w if "".join(w).isalpha() else [x for x in w if x[0].isalpha()] for w in words]
+        words = [w if "".join(w).isalpha() else [y for x in w if (y := from_letter(x))] for w in words]
         some = [i for i, w in enumerate(words) if w]
         out: list[tuple[str, float, list[dict]]] = [("und", 0.0, [])] * len(texts)
         if not some:
@@ -237,7 +242,7 @@ class Labeller:
         text = text.lower()
         if not len(turns):
             return [{"start": 0, "end": len(text), "lang": self.model.languages[int(labels[0])]}]
-        at = [m.start() for m in WORD.finditer(text) if m.group()[0].isalpha()]
+        at = [m.end() - len(y) for m in WORD.finditer(text) if (y := from_letter(m.group()))]
         edges = [0, *(at[t] for t in turns), len(text)]
         return [{"start": a, "end": b, "lang": self.model.languages[int(labels[k])]} for a, b, k in zip(edges, edges[1:], [0, *turns])]
 

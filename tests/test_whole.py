@@ -101,3 +101,17 @@ def test_fold_compares_only_rows_that_share_a_key(monkeypatch):
     monkeypatch.setattr(dedup, "duplicate_level", lambda a, b: compared.append((a, b)) or test(a, b))
     assert dedup.fold([dict(r) for r in rows]) == [(r["pos"], *want.get(r["pos"], (r["pos"], None))) for r in rows]
     assert all(set(dedup._fold_keys(a)) & set(dedup._fold_keys(b)) for a, b in compared) and compared
+
+
+def test_language_stage_rejects_only_texts_without_a_letter(spark):
+    import corpus_pipeline
+    from postmill.llm import langid
+
+    schema = "doc_id long, text string, lang string"
+    texts = ["the cat and the dog", "²the ½and ²the", "½ ² 12", "", None]
+    for lang in ("en", None):
+        docs = spark.createDataFrame([(i, t, lang if i == 0 else None) for i, t in enumerate(texts)], schema)
+        assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {0, 1}
+    docs = spark.createDataFrame([(0, texts[0], "en"), (1, texts[1], None), (2, texts[2], None)], schema)
+    got = {r.row.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert got == {0: "en", 1: "en", 2: "und"}
