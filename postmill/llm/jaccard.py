@@ -7,13 +7,16 @@ size - least overlap + l, for every l. Each class picks the l that costs least:
 longer prefix against candidates to verify, both from exact list lengths. A pair is verified only if it shares
 as many prefix tokens as the smaller l of the two demands, and if two bounds allow enough overlap: tokens before a
 shared one that are in no other prefix can't be common to the two, and the parity sketches of two sets differ in no
-more bits than the sets do in tokens. Both bounds are exact; they keep a large group of near copies from offering all
-its pairs.
+more bits than the sets do in tokens. Both bounds are exact. A sketch has as many bits as the set has tokens, or up to
+twice that; folded to a few words it goes with every list entry, whole it meets the pairs that are left.
 
 Components need not see all pairs of a group. First every list offers its members to one anchor, its class with the
 most shared tokens; verified links join classes into components. Then only pairs across components remain, counted
 whole, and are verified in the same way, whatever their number: no link between components is lost.
 
+Verification brings each set to its partner's task once: pairs are dealt by their first class, of which a large group
+is split, and the documents read again are only those that stand for a class in some pair.
+
 Defined cases: null or empty text, or one without words: size 0, linked with nothing; a text with fewer words than a
 shingle is one shingle; repeated rows and equal texts share a class; a null doc_id takes part and never names a
 component unless all its members are null; an empty table gives no rows; other columns are ignored. Shingles and
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +41,18 @@ from .tokens import slices
 #: Counters of the frequency sketch: 4 MB of ranks when broadcast, whatever the input.
 COUNTERS = 1 << 22
 CHUNK = 1 << 16
-#: Words of 64 bits of a set's parity sketch.
-SKETCH = 8
+#: Sketches of so many tasks are added by one group at a time.
+ADDED = 64
+#: Words of 64 bits of the sketch that goes with list entries.
+SKETCH = 4
+#: Bytes of text whose sets are held at a time.
+SLICE = 3_000_000
 #: Longest multi-match, and the cost of verifying a candidate against that of one list entry.
 LONGEST, VERIFY = 6, 8.0
 #: Bits of the filter that spares unneeded sets a shuffle: half a megabyte; false hits only cost time.
 FILTER_BITS = 1 << 22
+#: Members of one class's pairs that are verified together.
+MEMBERS = 256
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -63,7 +73,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def batched_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    for part in slices(texts):
+    for part in slices(texts, SLICE):
         yield from shingle_sets(texts[part.start : part.stop], k)
 
 
@@ -79,44 +89,62 @@ def least_overlap(n, m, percent: int):
 
 
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents per counter, over all documents; COUNTERS numbers."""
+    """Documents per counter, over all documents; COUNTERS numbers. Tasks' counts are added in levels, ADDED at a time."""
     import zstandard
 
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, size = np.zeros(COUNTERS, np.uint32), [], 0
+
+        def settle() -> None:
+            nonlocal held, size
+            at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, int), 0)
+            total[at] += np.asarray(n, np.uint32)
+            held, size = [], 0
+
         for batch in batches:
             for t in batched_sets(batch.column("text"), k):
                 held.append((t & np.uint64(COUNTERS - 1)).astype(np.int32))
                 size += len(t)
-                if size > 2_000_000:
-                    np.add.at(total, np.concatenate(held), np.uint32(1))
-                    held, size = [], 0
-        if held:
-            np.add.at(total, np.concatenate(held), np.uint32(1))
+                if size > 1_000_000:
+                    settle()
+        settle()
         pack = zstandard.ZstdCompressor(level=1)
         parts = [pack.compress(total[a : a + CHUNK].tobytes()) for a in range(0, COUNTERS, CHUNK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "part", "counts"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        plain = zstandard.ZstdDecompressor()
+        plain, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         total = np.zeros(CHUNK, np.int64)
-        for c in table.column("counts").to_pylist():
-            total += np.frombuffer(plain.decompress(c), np.uint32)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros(COUNTERS, np.uint32)
-    for r in rows:
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint32)
+        for c in table.column("counts"):
+            total += np.frombuffer(plain.decompress(c.as_py()), np.uint32)
+        packed = pack.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes())
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([packed], pa.binary())})
+
+    kind = "chunk int, part int, counts binary"
+    rows = docs.select("text").mapInArrow(count, kind)
+    for _ in range(3):  # enough for ADDED ** 3 tasks; more only make the last groups larger
+        rows = rows.withColumn("part", F.floor(F.col("part") / ADDED).cast("int")).groupBy("chunk", "part").applyInArrow(add, kind)
+    out, plain = np.zeros(COUNTERS, np.uint32), zstandard.ZstdDecompressor()
+    for r in rows.collect():
+        at = slice(r["chunk"] * CHUNK, (r["chunk"] + 1) * CHUNK)
+        out[at] = np.minimum(out[at].astype(np.int64) + np.frombuffer(plain.decompress(r["counts"]), np.uint32), 0xFFFFFFFF)
     return out
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
-    """SKETCH words: bit i is the parity of the number of tokens that hash to i."""
-    slots = (tokens >> np.uint64(24)) & np.uint64(64 * SKETCH - 1)
-    return np.packbits(np.bincount(slots.astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64)
+    """Bytes: bit i is the parity of the number of tokens that hash to i. A power of two of bits, at least as many as tokens."""
+    bits = 1 << max((64 * SKETCH - 1).bit_length(), (len(tokens) - 1).bit_length())
+    slots = (tokens >> np.uint64(24)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(slots.astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same tokens in fewer bytes."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def frequency_rank(sketch: np.ndarray) -> np.ndarray:
@@ -129,12 +157,12 @@ def frequency_rank(sketch: np.ndarray) -> np.ndarray:
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, cid (class), n, prefix (the longest, in the global order), sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(frequency_rank(frequency_sketch(docs, k)))
-    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
         for batch in batches:
-            for at in slices(batch.column("text")):
+            for at in slices(batch.column("text"), SLICE):
                 part = batch.slice(at.start, at.stop - at.start)
                 cids, sizes, lists, sketches = [], [], [], []
                 for t in shingle_sets(part.column("text"), k):
@@ -144,13 +172,25 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     cids.append(_class_id(t))
                     sizes.append(n)
                     lists.append(t[order].view(np.int64))
-                    sketches.append(parity_sketch(t))
+                    sketches.append(parity_sketch(t).tobytes() if n else b"")
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                values = pa.array(np.concatenate(lists))
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(lists) + 1, SKETCH, dtype=np.int32)), pa.array(np.concatenate(sketches)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), values), bits], schema=schema)
+                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int32()), prefix, pa.array(sketches, pa.binary())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cid long, n int, prefix array<long>, sketch binary")
+
+
+def sketch_words(classes: DataFrame) -> DataFrame:
+    """cid, s0..: the sketch folded to SKETCH words."""
+    schema = pa.schema([("cid", pa.int64()), *((f"s{i}", pa.int64()) for i in range(SKETCH))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [folded(np.frombuffer(x.as_buffer(), np.uint8), 8 * SKETCH).view("<i8") for x in batch.column("sketch")]
+            words = np.stack(words) if words else np.empty((0, SKETCH), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), *(pa.array(words[:, i]) for i in range(SKETCH))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cid long, n int, prefix array<long>, sketch array<long>")
+    return classes.select("cid", "sketch").mapInArrow(run, "cid long, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
 
 
 def postings(classes: DataFrame, percent: int) -> DataFrame:
@@ -178,7 +218,7 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     alone = F.col("pos") - (F.array_position("places", F.col("pos")) - 1)
     rows = rows.withColumn("reach", (F.col("n") - alone).cast("int"))
     rows = rows.filter(F.col("reach") >= least_overlap_column("n", "n_min", percent)).select("token", "cid", "n", "reach", "match", "weight")
-    return rows.join(classes.select("cid", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]), "cid")
+    return rows.join(sketch_words(classes), "cid")
 
 
 def least_overlap_column(n: str, m: str, percent: int) -> Column:
@@ -205,14 +245,16 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def anchor_pairs(p: DataFrame, percent: int) -> DataFrame:
-    """Each list's members with the list's anchor: its class of most shared tokens."""
+    """Each list's members with the list's anchor: its class of most shared tokens. Pairs that share too few tokens with it are left to the second step."""
     anchors = p.groupBy("token").agg(F.max(F.struct("weight", "cid", "n", "reach", "match", *[f"s{i}" for i in range(SKETCH)])).alias("x")).select("token", "x.*")
-    return _side(p, "b").join(_side(anchors, "a"), "token").filter(F.col("a_cid") != F.col("b_cid")).filter(_may_link(percent)).select("a_cid", "b_cid").distinct().select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
+    rows = _side(p.drop("weight"), "b").join(_side(anchors, "a"), "token").filter(F.col("a_cid") != F.col("b_cid")).filter(_may_link(percent))
+    pairs = rows.groupBy("a_cid", "b_cid").agg(F.count("*").alias("shared"), F.min(F.least("a_match", "b_match")).alias("match"))
+    return pairs.filter("shared >= match").select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
 
 
 def cross_pairs(p: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of entries of one list from different components: members outside the list's largest component with all others."""
-    p = p.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
+    p = p.drop("weight").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
     parts = p.groupBy("token", "root").agg(F.count("*").alias("members"))
     large = parts.groupBy("token").agg(F.max(F.struct("members", "root"))["root"].alias("large"), F.count("*").alias("parts")).filter("parts > 1").select("token", "large")
     p = materialise(p.join(large, "token"), "cross-postings")
@@ -222,56 +264,76 @@ def cross_pairs(p: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return _counted(rows.filter(once & _may_link(percent)))
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole parity sketches leave room for enough overlap."""
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (n, m, x, y) in enumerate(zip(*(batch.column(c) for c in ("a_n", "b_n", "a_sketch", "b_sketch")))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                total = n.as_py() + m.as_py()
+                if int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= total - 2 * least_overlap(total, 0, percent):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cid, tokens (sorted, binary) of the wanted classes."""
-    slot = F.pmod("cid", F.lit(FILTER_BITS))
-    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(cid, 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    """doc_id, cid, tokens (sorted, binary) of documents that may stand for a wanted class: wanted has their ids as first."""
+    slot = F.pmod(F.xxhash64("first"), F.lit(FILTER_BITS))
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(first), {FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     filter_words = np.zeros(FILTER_BITS // 64, np.int64)
     filter_words[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(filter_words)
+    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            rows = []
-            for t in batched_sets(batch.column("text"), k):
-                cid = _class_id(t)
-                if cid is not None and bits[cid % FILTER_BITS >> 6] >> (cid % 64) & 1:
-                    rows.append((cid, t.tobytes()))
-                if len(rows) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cid", "tokens"])
-                    rows = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cid", "tokens"])
+            at = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
+            for part in slices(batch.column("text"), SLICE):
+                rows = [(d, _class_id(t), t.tobytes()) for d, t in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), shingle_sets(batch.column("text")[part.start : part.stop], k))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    found = docs.select("text").mapInArrow(run, "cid long, tokens binary")
-    return found.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens"))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("slot"), "text").mapInArrow(run, "doc_id long, cid long, tokens binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, tag: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, from their whole sets."""
-    pairs = materialise(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = materialise(sets_of(docs, wanted, k), "candidate-sets")
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("tokens").alias(f"{x}_tokens"))
+    pairs = materialise(plausible(materialise(pairs, f"{tag}-pairs"), classes, percent), f"{tag}-candidates")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    members = pairs.join(groups, "a").select(F.col("b").alias("cid"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("turn"))
+    heads = groups.select(F.col("a").alias("cid"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"))
+    wanted = materialise(members.unionByName(heads).join(classes.select("cid", "first"), "cid"), f"{tag}-wanted")
+    sets = sets_of(docs, wanted.select("first").distinct(), k).withColumnsRenamed({"cid": "own", "doc_id": "of"})
+    rows = sets.join(wanted, (F.col("own") == F.col("cid")) & F.col("of").eqNullSafe(F.col("first"))).select("a", "part", "turn", "cid", "tokens")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x = None, np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            last, x = None, np.empty(0, np.uint64)
-            for i, (left, right) in enumerate(zip(batch.column("a_tokens"), batch.column("b_tokens"))):
-                left = left.as_py()
-                if left != last:
-                    last, x = left, np.frombuffer(left, np.uint64)
-                y = np.frombuffer(right.as_py(), np.uint64)
+            found = []
+            for a, turn, cid, tokens in zip(*(batch.column(c) for c in ("a", "turn", "cid", "tokens"))):
+                y = np.frombuffer(tokens.as_buffer(), np.uint64)
+                if turn.as_py() == 0:
+                    at, x = a.as_py(), y.copy()
+                    continue
+                assert a.as_py() == at, "a member came without its class"
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(both) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64())).cast(schema)
+                    found.append((at, cid.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], schema=schema)
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
+    met = rows.repartition("a", "part").sortWithinPartitions("a", "part", "turn").select("a", "turn", "cid", "tokens")
+    return materialise(met.mapInArrow(run, "a long, b long").distinct(), f"{tag}-links")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -281,8 +343,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min(F.struct("n", "prefix", "sketch")).alias("x"), F.min("doc_id").alias("first"))
     classes = materialise(classes.select("cid", "x.n", "x.prefix", "x.sketch", "first"), "classes")
     p = materialise(postings(classes, percent), "postings")
-    links = materialise(verified(docs, anchor_pairs(p, percent), k, percent), "anchor-links")
-    more = materialise(verified(docs, cross_pairs(p, components(links), percent), k, percent), "cross-links")
+    links = verified(docs, classes, anchor_pairs(p, percent), k, percent, "anchor")
+    more = verified(docs, classes, cross_pairs(p, components(links), percent), k, percent, "cross")
     roots = components(links.unionByName(more))
     named = classes.select("cid", "first").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     named = materialise(named.select("cid", "root", "first"), "named")
