@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from .base import first_true, found, strip
 
-# Fixed values.
+# Words of unpaid work.
 UNPAID = r"\b(unpaid|no\s+stipend|expenses\s+only|volunteer|zero\s+stipend|performance\s+based|incentives?\s+only)\b"
-#: Patterns in order, with the factor to a year's rupees.
+# Salary patterns in order, with the factor to a year's rupees.
 SALARIES = [
     (r"(\d+(?:\.\d+)?)\s*(?:-|to)?\s*(\d+(?:\.\d+)?)?\s*(?:cr|crore)", 1e7),
     (r"(\d+(?:\.\d+)?)\s*(?:-|to)?\s*(\d+(?:\.\d+)?)?\s*(?:lpa|lakh|lac)", 1e5),
     (r"(\d+)\s*(?:-|to)?\s*(\d+)?\s*(?:/month|per month|pm)", 12.0),
     (r"(?:₹|rs\.?|inr)?\s*(\d{5,8})\s*(?:-|to)?\s*(\d{5,8})?", 1.0),
 ]
+# Patterns of years of experience.
 RANGE = r"(\d+)\s*(?:-|to)\s*(\d+)\s*(?:years?|yrs?|yr)\b"
 PLUS = r"(\d+)\s*\+\s*(?:years?|yrs?|yr)\b"
 SINGLE = r"(?:at\s+least|min(?:imum)?\s*)?(\d+)\s*(?:years?|yrs?|yr)\b"

@@ -81,10 +81,10 @@ def job_posting(html: Column) -> Column:
     return F.when(v.isNotNull(), node)
 
 
-def with_fallback(first: Column, second: Column) -> Column:
-    """struct(record, provenance)."""
-    where = first_true((first.isNotNull(), F.lit("JSON_LD")), (second.isNotNull(), F.lit("CSS_SELECTOR")), otherwise=F.lit("NONE"))
-    return F.struct(F.coalesce(first, second).alias("record"), where.alias("provenance"))
+def with_fallback(**options: Column) -> Column:
+    """struct(record, provenance): the first of the named records that is there, and its name."""
+    where = first_true(*[(c.isNotNull(), F.lit(name)) for name, c in options.items()], otherwise=F.lit("NONE"))
+    return F.struct(F.coalesce(*options.values()).alias("record"), where.alias("provenance"))
 
 
 def next_data(html: Column, *paths: str) -> Column:

@@ -14,10 +14,6 @@ def merge_field(overrides: Column, field: str, stored: Column, found: Column) ->
     return F.when(F.array_contains(overrides, field), stored).otherwise(F.coalesce(found, stored))
 
 
-def merge_skills(found: Column, stored: Column) -> Column:
-    return ordered_distinct(F.concat(found, stored))
-
-
 def contact(*options: Column) -> Column:
     """The first that is neither blank nor a placeholder."""
     bad = ["", "n/a", "none", "unknown", "your name", "candidate"]
@@ -59,3 +55,37 @@ def preference_problem() -> Column:
 def approval_step(status: Column, decision: Column, expires: Column, now: Column) -> Column:
     """Pending approvals expire by the clock or take a decision; others stay as they are."""
     return first_true((status != "PENDING", status), (expires < now, F.lit("EXPIRED")), (decision.isin("APPROVED", "REJECTED"), decision), otherwise=F.lit("PENDING"))
+
+
+def setup_flags(profile: Column, n_resumes: Column, sources_enabled: Column, provider: Column) -> Column:
+    """struct(has_profile, has_resume, has_sources, has_ai_provider). profile: struct(target_roles, skills, experience_years) or null."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    has = profile.isNotNull() & (some(profile["target_roles"]) | some(profile["skills"]) | F.coalesce(profile["experience_years"] > 0, F.lit(False)))
+    return F.struct(has.alias("has_profile"), (F.coalesce(n_resumes, F.lit(0)) > 0).alias("has_resume"), F.coalesce(sources_enabled, F.lit(True)).alias("has_sources"), (F.coalesce(provider, F.lit("")) != "").alias("has_ai_provider"))
+
+
+def research_notes(raw: Column) -> Column:
+    """struct(company_summary, products, tech_stack, culture_values) of a JSON text: the first name that has a value, cut to size."""
+    got = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(raw, f"$.{n}"), F.lit("")) for n in names])
+
+    def items(most: int, *names: str) -> Column:
+        text = got(*names)
+        listed = F.from_json(text, "array<string>")
+        return F.when(text.startswith("["), F.when(F.size(listed) > 0, F.slice(listed, 1, most))).when(text.isNotNull(), F.array(F.substring(text, 1, 150)))
+
+    summary = F.coalesce(F.substring(got("company_summary", "description", "about"), 1, 350), F.substring(got("text"), 1, 300))
+    return F.struct(summary.alias("company_summary"), items(4, "products", "core_products").alias("products"), items(6, "tech_stack", "technologies").alias("tech_stack"), items(3, "culture", "values").alias("culture_values"))
+
+
+def fallback_profile(skills: Column) -> Column:
+    """The profile that stands where extraction failed: known skills of the text, ten at most."""
+    return F.struct(F.lit("Candidate").alias("candidate_name"), F.lit("FRESHER").alias("experience_level"), F.lit(0).alias("experience_years"), F.slice(skills, 1, 10).alias("skills"), F.lit("Profile parsed via fallback.").alias("summary"))
+
+
+def fallback_enrichment(title: Column, category: Column, low: Column, required: Column, preferred: Column) -> Column:
+    """The enrichment that stands where extraction failed."""
+    summary = F.when(F.size(required) > 0, F.array(F.concat(F.lit("Experience with "), F.array_join(F.slice(required, 1, 4), ", ")))).otherwise(F.array().cast("array<string>"))
+    return F.struct(
+        title.alias("standardized_title"), category.alias("role_category"), F.when(F.coalesce(low, F.lit(0)) <= 1, "ENTRY_LEVEL").otherwise("MID").alias("seniority"), required.alias("required_skills"), preferred.alias("preferred_skills"),
+        summary.alias("requirements_summary"), F.slice(required, 1, 6).alias("tech_stack"),
+    )

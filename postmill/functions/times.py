@@ -87,3 +87,20 @@ def clamp_window(hours: Column) -> Column:
 def greeting(now: Column) -> Column:
     h = F.hour(now)
     return first_true((h < 12, F.lit("Good morning")), (h < 17, F.lit("Good afternoon")), otherwise=F.lit("Good evening"))
+
+
+# What marks a text as relative to the time of reading.
+RELATIVE = ["hour", "hr", "h", "min", "sec", "just now", "today", "yesterday", "day ago", "d ago", "recently"]
+
+
+def chosen_recency(text: Column, attribute: Column, now: Column) -> Column:
+    """struct(ts, confidence): a relative text, else the page's date attribute, else what the text says. now is when the page was read."""
+    said, dated = parse_recency(text, now), parse_recency(attribute, now)
+    relative = F.coalesce(any_in(F.lower(strip(text)), RELATIVE), F.lit(False))
+    return first_true((relative & said["ts"].isNotNull(), said), (dated["ts"].isNotNull(), dated), (~relative & said["ts"].isNotNull(), said), otherwise=F.struct(F.lit(None).cast("timestamp").alias("ts"), F.lit("LOW").alias("confidence")))
+
+
+def epoch_recency(millis: Column, text: Column, now: Column) -> Column:
+    """struct(ts, confidence): a positive epoch in milliseconds first, else the text."""
+    number = F.when(F.btrim(millis).rlike(r"^\d+(\.\d*)?$"), F.btrim(millis).cast("double"))
+    return F.when(number > 0, F.struct(F.timestamp_micros((number * 1000).cast("long")).alias("ts"), F.lit("HIGH").alias("confidence"))).otherwise(parse_recency(text, now))

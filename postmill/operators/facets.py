@@ -62,12 +62,14 @@ def funnel(scores: Column, *levels: float) -> list[Column]:
 
 
 def skill_gap(rows: DataFrame, candidate: list[str], top: int = 6) -> DataFrame:
-    """rows: job_id, skills. Skills that the candidate lacks, by how many postings want them, with their share of all."""
-    total = rows.count()
-    lacking = F.array_except("skills", F.array(*map(F.lit, candidate)))
-    counts = rows.select(F.explode(lacking).alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
-    share = F.round(F.col("n") * 100.0 / max(1, total), 1)
-    return counts.orderBy(F.desc("n"), "skill").limit(top).withColumn("percent", share)
+    """rows: job_id, skills. Skills that the candidate lacks, by how many postings want them, with their share of all. rows are read once."""
+    lacking = F.array_except("skills", F.array(*map(F.lit, candidate))) if candidate else F.col("skills")
+    # A null stands for the posting itself, so that one aggregation also counts the postings.
+    counts = rows.select(F.explode(F.concat(lacking, F.array(F.lit(None).cast("string")))).alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+    best = counts.orderBy(F.col("skill").isNotNull(), F.desc("n"), "skill").limit(top + 1)
+    # So few rows meet in one window.
+    total = F.max(F.when(F.col("skill").isNull(), F.col("n"))).over(Window.partitionBy())
+    return best.withColumn("total", total).filter("skill IS NOT NULL").select("skill", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("percent"))
 
 
 def rollup(rows: DataFrame) -> DataFrame:
@@ -93,3 +95,34 @@ def precision_recall(predicted: Column, truth: Column) -> Column:
     recall = F.when(both_empty, 1.0).when(none, 0.0).when(no_truth, 1.0).otherwise(common / F.size(t))
     f1 = F.when(both_empty, 1.0).when((precision + recall == 0) | no_truth, 0.0).otherwise(2 * precision * recall / (precision + recall))
     return F.struct(F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"), common.alias("overlap"))
+
+
+def profile_record(predicted: Column, truth: Column) -> Column:
+    """struct of what an extracted profile gets right. Both: struct(skills, experience_level, experience_years)."""
+    got = precision_recall(predicted["skills"], truth["skills"])
+    level = lambda x: F.upper(F.coalesce(x["experience_level"], F.lit("")))
+    years = lambda x: F.coalesce(x["experience_years"], F.lit(0))
+    return F.struct(
+        got["precision"].alias("skill_precision"), got["recall"].alias("skill_recall"), got["f1"].alias("skill_f1"), (level(predicted) == level(truth)).cast("double").alias("experience_level_match"),
+        F.abs(years(predicted) - years(truth)).alias("experience_years_diff"), F.size(predicted["skills"]).alias("predicted_count"), F.size(truth["skills"]).alias("truth_count"),
+    )
+
+
+def enrichment_record(predicted: Column, truth: Column) -> Column:
+    """struct of what an enriched posting gets right. Both: struct(required_skills, preferred_skills, tech_stack, seniority)."""
+    required, preferred, stack = (precision_recall(predicted[c], truth[c]) for c in ("required_skills", "preferred_skills", "tech_stack"))
+    level = lambda x: F.upper(F.coalesce(x["seniority"], F.lit("")))
+    return F.struct(
+        required["f1"].alias("required_skills_f1"), required["precision"].alias("required_skills_precision"), required["recall"].alias("required_skills_recall"), preferred["f1"].alias("preferred_skills_f1"),
+        stack["f1"].alias("tech_stack_f1"), (level(predicted) == level(truth)).cast("double").alias("seniority_match"),
+    )
+
+
+def evaluation_report(cases: DataFrame) -> DataFrame:
+    """One row over cases (category, schema_valid, latency_ms, f1): counts, rates and means; zero where there is none."""
+    mean = lambda c, places: F.round(F.coalesce(F.avg(c), F.lit(0.0)), places)
+    own = lambda kind: F.when(F.col("category") == kind, F.col("f1"))
+    return cases.agg(
+        F.count("*").alias("total_fixtures"), mean(F.col("schema_valid").cast("double"), 4).alias("schema_valid_rate"), mean(F.col("latency_ms"), 2).alias("avg_latency_ms"),
+        mean(own("resume"), 4).alias("avg_resume_skill_f1"), mean(own("job"), 4).alias("avg_job_required_skill_f1"),
+    )

@@ -66,3 +66,71 @@ def page_info(rows: DataFrame, size: int) -> DataFrame:
 def rank_order(score: str = "overall_score") -> list[Column]:
     """Score, quality, newest first, then id: a total order."""
     return [F.desc_nulls_last(score), F.desc_nulls_last("quality_score"), F.desc_nulls_last("posted_at"), F.asc("job_id")]
+
+
+def backfill(rows: DataFrame, column: str, fresh: Column, unknown: str = "Unknown") -> DataFrame:
+    """rows with the column recomputed where the new value is known and differs, and changed."""
+    changed = F.coalesce(fresh != unknown, F.lit(False)) & ~fresh.eqNullSafe(F.col(column))
+    return rows.withColumn("changed", changed).withColumn(column, F.when(F.col("changed"), fresh).otherwise(F.col(column)))
+
+
+def fill_null(rows: DataFrame, found: DataFrame, key: str, columns: list[str], payload: str = "payload") -> DataFrame:
+    """rows with null columns filled from found (one row per key at most), and all that was found as JSON under one name."""
+    f = found.select(F.col(key).alias("__key"), F.struct(*columns).alias("__found"))
+    out = rows.join(f, F.col(key) == F.col("__key"), "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"__found.{c}")) for c in columns} | {payload: F.to_json("__found")}).drop("__key", "__found")
+
+
+def first_choice(rows: DataFrame, keys: list[str], value: str, *tests: Column) -> DataFrame:
+    """keys and chosen: the largest value among rows that meet the first test that any row of the key meets, else of all."""
+    return rows.groupBy(*keys).agg(F.coalesce(*[F.max(F.when(t, F.col(value))) for t in tests], F.max(value)).alias("chosen"))
+
+
+def upsert_two_keys(old: DataFrame, new: DataFrame, first: str, second: str, id_: str, fill: list[str], replace: list[str], newest: str, with_newest: list[str]) -> DataFrame:
+    """old brought up to date by new, matched on the first key or else the second.
+
+    fill: set only where null; replace: the latest that is not null; newest advances only, and with_newest follow it; on a
+    hit the row is active. Rows of new apply in the order of their id. Unmatched ones are inserted, one per first key.
+    """
+    found = two_key_match(new, old, first, second, id_)
+    some = lambda c: F.when(F.col(c).isNotNull(), F.col(id_))
+    last = F.when(F.col(newest).isNotNull(), F.struct(F.col(newest), -F.col(id_)))
+    told = found.filter("found IS NOT NULL").groupBy("found").agg(
+        *[F.min_by(c, some(c)).alias(f"__{c}") for c in fill],
+        *[F.max_by(c, some(c)).alias(f"__{c}") for c in replace],
+        *[F.max_by(c, last).alias(f"__{c}") for c in (newest, *with_newest)],
+    )
+    both = old.join(told, F.col(id_) == F.col("found"), "left")
+    later = F.coalesce(F.col(f"__{newest}") > F.col(newest), F.col(f"__{newest}").isNotNull() & F.col(newest).isNull())
+
+    def value(c: str) -> Column:
+        if c in fill:
+            return F.coalesce(c, f"__{c}")
+        if c in replace:
+            return F.coalesce(f"__{c}", c)
+        if c == newest or c in with_newest:
+            return F.when(later, F.col(f"__{c}")).otherwise(F.col(c))
+        if c == "is_active":
+            return F.col(c) | F.col("found").isNotNull()
+        return F.col(c)
+
+    kept = both.select(*[value(c).alias(c) for c in old.columns], F.when(F.col("found").isNotNull(), "updated").otherwise("kept").alias("action"))
+    fresh = best_per(found.filter("found IS NULL"), [first], F.asc(id_))
+    return kept.unionByName(fresh.select(*old.columns, F.lit("inserted").alias("action")))
+
+
+def get_or_create(known: DataFrame, names: DataFrame, name: str, logo: str) -> DataFrame:
+    """known (normalized_name, name, logo) with missing logos filled and unknown names added, from names."""
+    low = names.filter(F.col(name).isNotNull()).groupBy(F.lower(name).alias("normalized_name")).agg(F.min(name).alias("__name"), F.min(logo).alias("__logo"))
+    both = known.join(low, "normalized_name", "full_outer")
+    return both.select("normalized_name", F.coalesce("name", "__name").alias("name"), F.coalesce("logo", "__logo").alias("logo"), F.col("name").isNull().alias("created"))
+
+
+def active_latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """rows with is_active: only the first of each key in the order."""
+    return rows.withColumn("is_active", F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)
+
+
+def bounded(limit: int | None, default: int, most: int) -> int:
+    """A row limit within 1 and most."""
+    return max(1, min(most, default if limit is None else limit))

@@ -12,7 +12,7 @@ def shared_folder(spark) -> str:
     """spark.checkpoint.dir; only a local master may go without it."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="postmill-")
         spark.conf.set("spark.checkpoint.dir", top)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import places, profile, times
-from ..operators import keyed
+from ..functions import identity, places, profile, skills, times, titles
+from ..operators import facets, keyed
+from ..operators.tables import shared_folder
 from ..sources import boards, sinks
 from .registry import query
 from .standins import EVENTS_NOW, NOW, Tables, clock
@@ -25,20 +28,20 @@ def s2_by_url(t: Tables) -> DataFrame:
 def listing(t: Tables) -> DataFrame:
     """Listing pages, one per user: a card per event."""
     card = F.concat(
-        F.lit('<li><div class="base-card base-search-card" data-entity-urn="urn:li:jobPosting:'), (F.lit(1000000) + F.col("event_id")).cast("string"), F.lit('"><a class="base-card__full-link" href="https://x.example/v/'), F.col("event_id").cast("string"),
-        F.lit('?ref=1"></a><h3 class="base-search-card__title"> '), "event_type", F.lit(' <b>role</b></h3><h4 class="base-search-card__subtitle">Co&amp;'), F.col("user_id").cast("string"), F.lit("</h4>"),
-        F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.lit('<span class="job-search-card__location">Pune<br></span>')), F.lit('<time datetime="2024-01-02">new</time></div></li>'),
+        F.lit('<li><div class="base-search-card" data-entity-urn="urn:li:jobPosting:'), (F.lit(1000000) + F.col("event_id")).cast("string"), F.lit('"><a class="base-card__full-link" href="https://x.example/v/'), F.col("event_id").cast("string"),
+        F.lit('?ref=1"></a><h3 class="base-search-card__title"> '), "event_type", F.lit(" <b>role</b></h3>"), F.when(F.col("event_id") % 5 == 0, F.lit("<h4>Confidential</h4>")).otherwise(F.concat(F.lit("<h4>other</h4>"), F.lit('<h4 class="base-search-card__subtitle">Co&amp;'), F.col("user_id").cast("string"), F.lit("</h4>"))),
+        F.when(F.col("event_id") % 4 == 0, F.lit("")).otherwise(F.lit('<span class="job-search-card__location">Pune<br></span>')), F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.lit('<time datetime="2024-01-02">new</time>')), F.lit("</div></li>"),
     )
-    page = F.concat(F.lit("<html><ul>"), F.array_join(F.sort_array(F.collect_list(card)), ""), F.lit("<h3>outside</h3></ul></html>"))
+    page = F.concat(F.lit('<html><div class="base-card"><h3>no company</h3></div><ul>'), F.array_join(F.sort_array(F.collect_list(card)), ""), F.lit("<h3>outside</h3></ul></html>"))
     return t.events.groupBy("user_id").agg(page.alias("html"))
 
 
-@query("SELECT user_id, (1000000 + event_id)::VARCHAR AS id, event_type || ' role' AS title, 'Co&' || user_id AS company, CASE WHEN event_id % 4 <> 0 THEN 'Pune' END AS location, '2024-01-02' AS time, 'https://x.example/v/' || event_id AS url FROM events")
+@query("SELECT user_id, (1000000 + event_id)::VARCHAR AS id, event_type || ' role' AS title, CASE WHEN event_id % 5 <> 0 THEN 'Co&' || user_id END AS company, CASE WHEN event_id % 4 <> 0 THEN 'Pune' END AS location, CASE WHEN event_id % 3 <> 0 THEN '2024-01-02' END AS time, 'https://x.example/v/' || event_id AS url FROM events")
 def s3_cards(t: Tables) -> DataFrame:
     return boards.cards(listing(t), "user_id", "html", *boards.BOARDS["board1"])
 
 
-@query("SELECT count(*) AS cards, 1.0::DOUBLE AS title_yield, 1.0::DOUBLE AS company_yield, round(avg((event_id % 4 <> 0)::INT), 4) AS location_yield, 1.0::DOUBLE AS time_yield, false AS degraded FROM events")
+@query("SELECT count(*) AS cards, 1.0::DOUBLE AS title_yield, round(avg((event_id % 5 <> 0)::INT), 4) AS company_yield, round(avg((event_id % 4 <> 0)::INT), 4) AS location_yield, round(avg((event_id % 3 <> 0)::INT), 4) AS time_yield, avg((event_id % 5 <> 0)::INT) < 0.85 AS degraded FROM events")
 def s8_yields(t: Tables) -> DataFrame:
     return boards.yields(boards.cards(listing(t), "user_id", "html", *boards.BOARDS["board1"]))
 
@@ -88,9 +91,13 @@ def k9_exposition(t: Tables) -> DataFrame:
     return sinks.exposition(rows.withColumn("kind", F.lit("gauge")))
 
 
-@query("SELECT doc_id, coalesce(quality, 9) AS quality, coalesce(lang, 'xx') AS lang FROM documents LEFT JOIN labels USING (doc_id)")
+@query(
+    """SELECT d.doc_id, coalesce(lang, CASE WHEN l.doc_id IS NOT NULL THEN 'xx' END) AS lang, coalesce(source, 'quality' || quality) AS source,
+      CASE WHEN l.doc_id IS NOT NULL THEN '{"lang":"xx","source":"quality' || quality || '"}' END AS payload FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id"""
+)
 def k12_fill_if_null(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(9)).alias("quality"), F.coalesce("lang", F.lit("xx")).alias("lang"))
+    found = t.labels.groupBy("doc_id").agg(F.min("quality").alias("q")).select("doc_id", F.lit("xx").alias("lang"), F.concat(F.lit("quality"), F.col("q").cast("string")).alias("source"))
+    return keyed.fill_null(t.documents.select("doc_id", "lang", "source"), found, "doc_id", ["lang", "source"])
 
 
 @query(
@@ -135,10 +142,14 @@ def t41_contact(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", profile.contact(F.lit(""), name, F.col("c_mktsegment")).alias("contact"))
 
 
-@query("SELECT r_name AS state, string_agg(n_name, ',' ORDER BY n_name) AS cities FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query(
+    """WITH e AS (SELECT unnest(CASE location WHEN 'Bangalore, Karnataka' THEN ['Karnataka:Bengaluru'] WHEN 'BLR' THEN ['Karnataka:Bengaluru'] WHEN 'Pune / Mumbai' THEN ['Maharashtra:Pune', 'Maharashtra:Mumbai'] WHEN 'Gurgaon or Noida' THEN ['Haryana:Gurugram', 'Uttar Pradesh:Noida']
+      WHEN 'Hyderabad' THEN ['Telangana:Hyderabad'] WHEN 'Chennai, Pune, Kochi' THEN ['Tamil Nadu:Chennai', 'Maharashtra:Pune', 'Kerala:Kochi'] WHEN 'Tamil Nadu' THEN ['Tamil Nadu:'] WHEN 'Delhi NCR' THEN ['Delhi:'] END) AS e FROM postings)
+    SELECT split_part(e, ':', 1) AS state, coalesce(string_agg(DISTINCT nullif(split_part(e, ':', 2), ''), ',' ORDER BY nullif(split_part(e, ':', 2), '')), '') AS cities, count(*) AS n FROM e GROUP BY 1""",
+    "postings",
+)
 def t16_taxonomy(t: Tables) -> DataFrame:
-    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy(F.col("r_name").alias("state")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("cities"))
+    return places.tree(t.postings, F.col("location")).withColumn("cities", F.array_join("cities", ","))
 
 
 @query("SELECT location, CASE location WHEN 'Bangalore, Karnataka' THEN 'Bengaluru,India' WHEN 'BLR' THEN 'Bengaluru,India' WHEN 'Pune / Mumbai' THEN 'Pune,Mumbai,India' WHEN 'Gurgaon or Noida' THEN 'Gurugram,Noida,India' WHEN 'Chennai, Pune, Kochi' THEN 'Chennai,Pune,Kochi,India' WHEN 'Pan India' THEN 'India' WHEN 'Work from home' THEN 'Remote,India' ELSE location || ',India' END AS names FROM (SELECT DISTINCT location FROM postings)", "postings")
@@ -165,9 +176,8 @@ def f22_preferences(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, coalesce(max(event_id) FILTER (event_type = 'purchase' AND value > 40), max(event_id) FILTER (event_type = 'signup'), max(event_id)) AS chosen FROM events GROUP BY user_id")
 def j16_active_choice(t: Tables) -> DataFrame:
-    newest = lambda test: F.max(F.when(test, F.col("event_id")))
     kind = F.col("event_type")
-    return t.events.groupBy("user_id").agg(F.coalesce(newest((kind == "purchase") & (F.col("value") > 40)), newest(kind == "signup"), F.max("event_id")).alias("chosen"))
+    return keyed.first_choice(t.events, ["user_id"], "event_id", (kind == "purchase") & (F.col("value") > 40), kind == "signup")
 
 
 @query("SELECT count(*) FILTER (ok) AS healthy, bool_and(ok) AS all_healthy, CASE WHEN bool_and(ok) THEN 'ok' ELSE 'degraded' END AS status FROM (SELECT user_id, arg_max(event_type, event_id) <> 'error' AS ok FROM events GROUP BY user_id)")
@@ -179,3 +189,180 @@ def a19_source_health(t: Tables) -> DataFrame:
 @query("SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 30 OFFSET 20")
 def o10_run_listing(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", "role").orderBy("conv_id", "turn").offset(20).limit(30)
+
+
+_PAGE = """SELECT event_id, event_id % 4 AS kind, event_type || ' role' AS title, 'Co ' || user_id AS company FROM events"""
+
+
+@query(f"SELECT event_id, CASE WHEN kind < 3 THEN title END AS title, CASE WHEN kind < 3 THEN company END AS company, CASE kind WHEN 0 THEN 'Pune, IN' WHEN 1 THEN 'India' WHEN 2 THEN 'Kochi' END AS location, CASE kind WHEN 0 THEN 'About' WHEN 1 THEN title || ' at ' || company || '.' WHEN 2 THEN 'Long text' END AS description, CASE kind WHEN 0 THEN 'JSON_LD' WHEN 1 THEN 'CARD' WHEN 2 THEN 'CSS_SELECTOR' ELSE 'NONE' END AS provenance FROM ({_PAGE})")
+def s4_detail(t: Tables) -> DataFrame:
+    title, company = F.concat("event_type", F.lit(" role")), F.concat(F.lit("Co "), F.col("user_id").cast("string"))
+    linked = F.concat(F.lit('<script type="application/ld+json">{"@type": "JobPosting", "title": "'), title, F.lit('", "hiringOrganization": {"name": "'), company, F.lit('"}, "description": "<p>About</p>", "jobLocation": {"address": {"addressLocality": "Pune", "addressCountry": "IN"}}}</script>'))
+    card = F.concat(F.lit('<div class="base-search-card"><h3>'), title, F.lit('</h3><h4 class="base-search-card__subtitle">'), company, F.lit("</h4></div>"))
+    header = F.concat(F.lit("<h1>"), title, F.lit('</h1><a class="topcard__org-name-link">'), company, F.lit('</a><span class="topcard__flavor--bullet">Kochi</span><div class="description__text"><p>Long</p> text</div>'))
+    kind = F.col("event_id") % 4
+    pages = t.events.select("event_id", F.concat(F.lit("<html>"), F.when(kind == 0, linked).when(kind == 1, card).when(kind == 2, header).otherwise("<p>gone</p>"), F.lit("</html>")).alias("html"))
+    return boards.detail(pages, "event_id", "html").select("event_id", *[F.col(f"record.{c}").alias(c) for c in ("title", "company", "location", "description")], "provenance")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'main ' || event_type END AS heading, value::VARCHAR AS price FROM events")
+def s14_schema(t: Tables) -> DataFrame:
+    heading = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.concat(F.lit('<div class="b">side</div><b class="a">main '), "event_type", F.lit("</b>"))).otherwise(F.concat(F.lit('<i class="b">main '), "event_type", F.lit("</i>")))
+    pages = t.events.select("event_id", F.concat(heading, F.lit('<span class="x price">'), F.col("value").cast("string"), F.lit("</span>")).alias("html"))
+    return boards.extract(pages, "event_id", "html", {"heading": ["a", "b"], "price": ["price"]})
+
+
+_HASH = "sha256(concat_ws('|', regexp_replace(lower(company_name), '[^a-z0-9]', '', 'g'), regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), regexp_replace(lower(location), '[^a-z0-9]', '', 'g'), regexp_replace(lower(employment_type), '[^a-z0-9]', '', 'g'), coalesce(regexp_replace(lower(source_job_id), '[^a-z0-9]', '', 'g'), 'generic')))"
+
+
+@query(
+    f"""WITH p AS (SELECT job_id, {_HASH} AS job_hash, source_url, title, salary_max, posted_at, posted_at_confidence, is_active FROM postings),
+    o AS (SELECT * FROM p WHERE job_id % 3 <> 0), n AS (SELECT * FROM p WHERE job_id % 3 = 0),
+    m AS (SELECT n.*, coalesce(x, y) AS found FROM n LEFT JOIN (SELECT job_hash, min(job_id) AS x FROM o GROUP BY 1) USING (job_hash) LEFT JOIN (SELECT source_url, min(job_id) AS y FROM o GROUP BY 1) USING (source_url)),
+    g AS (SELECT found, arg_min(salary_max, job_id) FILTER (salary_max IS NOT NULL) AS s, arg_max(title, job_id) AS ti, max(posted_at) AS po, arg_max([posted_at_confidence], (posted_at, -job_id)) FILTER (posted_at IS NOT NULL) AS c FROM m WHERE found IS NOT NULL GROUP BY found),
+    k AS (SELECT o.*, g.*, coalesce(po > posted_at, po IS NOT NULL AND posted_at IS NULL) AS later FROM o LEFT JOIN g ON job_id = found)
+    SELECT job_id, coalesce(ti, title) AS title, coalesce(salary_max, s) AS salary_max, CASE WHEN later THEN po ELSE posted_at END AS posted_at, CASE WHEN later THEN c[1] ELSE posted_at_confidence END AS confidence, is_active OR found IS NOT NULL AS is_active, CASE WHEN found IS NULL THEN 'kept' ELSE 'updated' END AS action FROM k
+    UNION ALL SELECT job_id, title, salary_max, posted_at, posted_at_confidence, is_active, 'inserted' FROM m WHERE found IS NULL QUALIFY row_number() OVER (PARTITION BY job_hash ORDER BY job_id) = 1""",
+    "postings",
+)
+def k1_two_keys(t: Tables) -> DataFrame:
+    job_hash = identity.fingerprint(*[F.col(c) for c in ("company_name", "title", "location", "employment_type", "source_job_id")])
+    rows = t.postings.select("job_id", job_hash.alias("job_hash"), "source_url", "title", "salary_max", "posted_at", "posted_at_confidence", "is_active")
+    got = keyed.upsert_two_keys(rows.filter("job_id % 3 <> 0"), rows.filter("job_id % 3 = 0"), "job_hash", "source_url", "job_id", ["salary_max"], ["title"], "posted_at", ["posted_at_confidence"])
+    return got.select("job_id", "title", "salary_max", "posted_at", F.col("posted_at_confidence").alias("confidence"), "is_active", "action")
+
+
+@query(
+    """WITH k AS (SELECT lower(c_name) AS n, any_value(c_name) AS name, CASE WHEN any_value(c_custkey) % 2 = 0 THEN 'logo' || any_value(c_custkey) END AS logo FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1),
+    f AS (SELECT lower(c_name) AS n, min(c_name) AS name, min(c_mktsegment) AS logo FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1)
+    SELECT coalesce(k.n, f.n) AS normalized_name, coalesce(k.name, f.name) AS name, coalesce(k.logo, f.logo) AS logo, k.name IS NULL AS created FROM k FULL JOIN f ON k.n = f.n"""
+)
+def k1_companies(t: Tables) -> DataFrame:
+    logo = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("logo"), F.col("c_custkey").cast("string")))
+    known = t.customer.filter("c_custkey % 3 <> 0").select(F.lower("c_name").alias("normalized_name"), F.col("c_name").alias("name"), logo.alias("logo"))
+    seen = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).select("c_name", "c_mktsegment")
+    return keyed.get_or_create(known, seen, "c_name", "c_mktsegment")
+
+
+@query("SELECT ts, event_type AS query, event_id AS results FROM events WHERE user_id = 7 ORDER BY ts DESC, results DESC, query DESC LIMIT 50")
+def k5_search_history(t: Tables) -> DataFrame:
+    path = f"{shared_folder(t.spark)}/postmill/history/{uuid.uuid4().hex}"
+    rows = t.events.select("ts", "user_id", F.col("event_id").alias("results"), F.col("event_type").alias("query"))
+    for part in (rows.filter("event_type = 'view'"), rows.filter("event_type <> 'view'")):
+        part.write.mode("append").parquet(path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return sinks.last_rows(t.spark, path, schema, F.col("user_id") == 7, "ts", keyed.bounded(500, 10, 50)).select("ts", "query", "results")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS hash, doc_id = max(doc_id) OVER (PARTITION BY lang) AS is_active FROM documents")
+def k13_resumes(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("hash"))
+    return keyed.active_latest(rows, "lang", F.desc("doc_id")).select("doc_id", "hash", "is_active")
+
+
+@query("SELECT event_id, s.job_id, p.title, p.company_name FROM saved_jobs s LEFT JOIN postings p ON s.job_id = p.job_id WHERE s.status = 'SAVED'", "saved_jobs", "postings")
+def j13_approvals(t: Tables) -> DataFrame:
+    jobs = t.postings.select("job_id", "title", "company_name")
+    return t.saved_jobs.filter("status = 'SAVED'").select("event_id", "job_id").join(jobs, "job_id", "left").select("event_id", "job_id", "title", "company_name")
+
+
+def extraction_cases(t: Tables) -> DataFrame:
+    """An extracted and a true profile per order: kinds and brands of parts as skills."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    lists = rows.groupBy("l_orderkey").agg(F.collect_set("p_type").alias("p"), F.collect_set(F.when(F.col("l_returnflag") != "R", F.col("p_type"))).alias("q"), F.max("l_linenumber").cast("int").alias("y"), F.min("l_linenumber").cast("int").alias("x"))
+    side = lambda c, level, years: F.struct(F.col(c).alias("skills"), level.alias("experience_level"), F.col(years).alias("experience_years"))
+    return lists.select("l_orderkey", side("p", F.lit("Mid"), "y").alias("predicted"), side("q", F.when(F.col("y") > 3, "MID").otherwise("senior"), "x").alias("truth"))
+
+
+_CASES = """c AS (SELECT l_orderkey, count(DISTINCT p_type) AS p, count(DISTINCT p_type) FILTER (l_returnflag <> 'R') AS q, max(l_linenumber) AS y, min(l_linenumber) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+    m AS (SELECT *, CASE WHEN q = 0 THEN 0.0 ELSE q / p::DOUBLE END AS pr, 1.0::DOUBLE AS re, CASE WHEN q = 0 THEN 0.0 ELSE round(2 * (q / p::DOUBLE) / (q / p::DOUBLE + 1), 4) END AS f FROM c)"""
+
+
+@query(f"WITH {_CASES} SELECT l_orderkey, round(pr, 4) AS precision, f AS f1, CASE WHEN y > 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS level_match, (y - x)::INT AS years_diff, p AS predicted, q AS truth FROM m")
+def a13_profile_records(t: Tables) -> DataFrame:
+    got = facets.profile_record(F.col("predicted"), F.col("truth"))
+    rows = extraction_cases(t).select("l_orderkey", got.alias("r"))
+    return rows.select("l_orderkey", F.col("r.skill_precision").alias("precision"), F.col("r.skill_f1").alias("f1"), F.col("r.experience_level_match").alias("level_match"), F.col("r.experience_years_diff").alias("years_diff"), F.col("r.predicted_count").alias("predicted"), F.col("r.truth_count").alias("truth"))
+
+
+@query(f"WITH {_CASES} SELECT l_orderkey, f AS required_f1, round(pr, 4) AS required_precision, f AS stack_f1, CASE WHEN y > 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS seniority_match FROM m")
+def a13_enrichment_records(t: Tables) -> DataFrame:
+    side = lambda c: F.struct(F.col(f"{c}.skills").alias("required_skills"), F.col(f"{c}.skills").alias("preferred_skills"), F.col(f"{c}.skills").alias("tech_stack"), F.col(f"{c}.experience_level").alias("seniority"))
+    rows = extraction_cases(t).select("l_orderkey", facets.enrichment_record(side("predicted"), side("truth")).alias("r"))
+    return rows.select("l_orderkey", F.col("r.required_skills_f1").alias("required_f1"), F.col("r.required_skills_precision").alias("required_precision"), F.col("r.tech_stack_f1").alias("stack_f1"), "r.seniority_match")
+
+
+@query(f"WITH {_CASES}, v AS (SELECT CASE WHEN y > 4 THEN 'resume' ELSE 'job' END AS k, f, q > 0 AS ok, y * 2.5::DOUBLE AS ms FROM m) SELECT count(*) AS total_fixtures, round(avg(ok::INT), 4) AS schema_valid_rate, round(avg(ms), 2) AS avg_latency_ms, round(coalesce(avg(f) FILTER (k = 'resume'), 0), 4) AS avg_resume_skill_f1, round(coalesce(avg(f) FILTER (k = 'job'), 0), 4) AS avg_job_required_skill_f1 FROM v")
+def a14_report(t: Tables) -> DataFrame:
+    got = facets.profile_record(F.col("predicted"), F.col("truth"))
+    years = F.col("predicted.experience_years")
+    return facets.evaluation_report(extraction_cases(t).select(F.when(years > 4, "resume").otherwise("job").alias("category"), (F.size("truth.skills") > 0).alias("schema_valid"), (years * 2.5).alias("latency_ms"), got["skill_f1"].alias("f1")))
+
+
+@query("SELECT c_custkey, c_custkey % 4 <> 0 AND (c_custkey % 3 = 0 OR n > 0) AS has_profile, n > 0 AS has_resume, c_custkey % 5 <> 0 AS has_sources, c_custkey % 2 = 0 AS has_ai_provider FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON c_custkey = o_custkey, (SELECT 0) z(x), LATERAL (SELECT coalesce(k, 0) AS n)")
+def a18_setup(t: Tables) -> DataFrame:
+    n = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    key, none = F.col("c_custkey"), F.array().cast("array<string>")
+    own = F.struct(F.when(key % 3 == 0, F.array(F.lit("x"))).otherwise(none).alias("target_roles"), none.alias("skills"), F.coalesce("n", F.lit(0)).alias("experience_years"))
+    got = profile.setup_flags(F.when(key % 4 != 0, own), F.col("n"), key % 5 != 0, F.when(key % 2 == 0, "local"))
+    return t.customer.select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", *[got[c].alias(c) for c in ("has_profile", "has_resume", "has_sources", "has_ai_provider")])
+
+
+@query()
+def c18_fallback(t: Tables) -> DataFrame:
+    rows = skills.with_skills(t.postings, F.col("description"), F.col("title"), F.array().cast("array<string>"))
+    got = profile.fallback_enrichment(titles.normalize_title(F.col("title")), titles.categorize_role(F.col("title")), F.col("experience_min"), F.col("required"), F.col("preferred"))
+    own = profile.fallback_profile(F.col("required"))
+    return rows.select("job_id", got.alias("e"), own.alias("p")).select("job_id", "e.standardized_title", "e.role_category", "e.seniority", F.array_join("e.tech_stack", ",").alias("tech_stack"), F.get("e.requirements_summary", 0).alias("summary"), F.array_join("p.skills", ",").alias("skills"))
+
+
+@query(
+    """SELECT job_id, CASE WHEN recency_raw IN ('2001-08-02', '2001-08-01', '2001-07-20', 'soon', '3 months ago', '2 days ago') OR recency_raw IS NULL THEN 'page' ELSE 'text' END AS taken FROM postings""",
+    "postings",
+)
+def t19_chosen_recency(t: Tables) -> DataFrame:
+    got = times.chosen_recency(F.col("recency_raw"), F.lit("2001-07-01T10:00:00Z"), clock(NOW))
+    return t.postings.select("job_id", F.when(F.unix_seconds(got["ts"]) == 993981600, "page").otherwise("text").alias("taken"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1700000000 + event_id ELSE epoch(TIMESTAMP '2024-01-31 00:00:00')::BIGINT - 7200 END AS at, 'HIGH' AS confidence FROM events")
+def t19_epoch_recency(t: Tables) -> DataFrame:
+    millis = F.when(F.col("event_id") % 3 == 0, F.concat(((F.lit(1_700_000_000).cast("long") + F.col("event_id")) * 1000).cast("string"), F.lit(".0"))).otherwise("soon")
+    got = times.epoch_recency(millis, F.lit("2 hours ago"), clock(EVENTS_NOW))
+    return t.events.select("event_id", F.unix_seconds(got["ts"]).alias("at"), got["confidence"].alias("confidence"))
+
+
+_SURE = "CASE WHEN posted_at_confidence = 'HIGH' THEN 10.0 ELSE 0.0 END"
+
+
+@query(
+    f"""SELECT job_id, (75.0 + CASE WHEN salary_raw IS NOT NULL THEN 15.0 ELSE 0.0 END + {_SURE})::DOUBLE AS by_salary,
+      least(100.0, 75.0 + CASE WHEN salary_raw IS NOT NULL THEN 15.0 ELSE 0.0 END + {_SURE} + CASE WHEN length(description || description) >= 350 THEN 10.0 WHEN length(description || description) >= 200 THEN 5.0 ELSE 0.0 END
+        + CASE WHEN coalesce(n, 0) >= 3 THEN 10.0 WHEN n >= 1 THEN 5.0 ELSE 0.0 END - CASE WHEN quality_score < 60 THEN 10.0 ELSE 0.0 END)::DOUBLE AS by_detail
+    FROM postings p LEFT JOIN (SELECT job_id AS j, count(*) AS n FROM posting_skills GROUP BY 1) ON p.job_id = j""",
+    "postings",
+    "posting_skills",
+)
+def t25_board_quality(t: Tables) -> DataFrame:
+    n = t.posting_skills.groupBy("job_id").agg(F.count("*").alias("n"))
+    rows, sure = t.postings.join(n, "job_id", "left"), F.col("posted_at_confidence")
+    salary = F.col("salary_raw").isNotNull()
+    detail = boards.quality_by_detail(salary, F.concat("description", "description"), sure, F.coalesce("n", F.lit(0)), F.col("quality_score") / 100)
+    return rows.select("job_id", boards.quality_by_salary(salary, sure).alias("by_salary"), detail.alias("by_detail"))
+
+
+@query("SELECT job_id, CASE WHEN description = 'short' THEN title || ' at ' || company_name || '.' ELSE description || description END AS description, CASE WHEN description <> 'short' AND length(description || description) >= 200 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM postings", "postings")
+def t26_described(t: Tables) -> DataFrame:
+    got = boards.described(F.when(F.col("description") == "short", "  ").otherwise(F.concat(F.lit(" "), "description", "description")), F.col("title"), F.col("company_name"))
+    return t.postings.select("job_id", got["description"].alias("description"), got["confidence"].alias("confidence"))
+
+
+@query("SELECT doc_id, substr(text, 1, CASE WHEN doc_id % 2 = 0 THEN 350 ELSE 300 END) AS company_summary, CASE WHEN doc_id % 3 = 0 THEN 'a,b,c,d' WHEN doc_id % 3 = 1 THEN lang END AS products FROM documents WHERE text <> '' AND source IS NOT NULL AND lang IS NOT NULL")
+def t34_research(t: Tables) -> DataFrame:
+    rows = t.documents.filter("text <> '' AND source IS NOT NULL AND lang IS NOT NULL")
+    k = F.col("doc_id") % 3
+    listed = F.when(k == 0, F.to_json(F.struct(F.array(*map(F.lit, "abcde")).alias("products")))).when(k == 1, F.to_json(F.struct(F.col("lang").alias("core_products")))).otherwise("{}")
+    said = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("text").alias("about")))).otherwise(F.to_json(F.struct("text")))
+    raw = F.when(listed == "{}", said).otherwise(F.concat(F.substring(said, F.lit(1), F.length(said) - 1), F.lit(","), F.substring(listed, F.lit(2), F.length(listed))))
+    got = profile.research_notes(raw)
+    return rows.select("doc_id", got["company_summary"].alias("company_summary"), F.array_join(got["products"], ",").alias("products"))

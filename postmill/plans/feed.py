@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import amounts, times, titles
+from ..functions import amounts, places, profile, times, titles
 from ..operators import facets, filters, keyed
 from .registry import query
 from .standins import EVENTS_NOW, NOW, Tables, clock
@@ -152,13 +152,10 @@ def f19_suggest(t: Tables) -> DataFrame:
     return t.customer.filter(filters.suggest(F.col("c_name"), "#0000001")).select(F.col("c_name").alias("company_name")).distinct().orderBy("company_name").limit(25)
 
 
-@query(
-    f"SELECT event_id, CASE WHEN event_type <> 'error' AND ts + INTERVAL 10 DAY < TIMESTAMP '{EVENTS_NOW}' THEN 'EXPIRED' WHEN event_type <> 'error' THEN 'PENDING' ELSE 'REJECTED' END AS status FROM events"
-)
+@query(f"SELECT event_id, CASE WHEN ts + INTERVAL 10 DAY < TIMESTAMP '{EVENTS_NOW}' THEN 'EXPIRED' WHEN event_type = 'error' THEN 'REJECTED' ELSE 'PENDING' END AS status FROM events")
 def f20_approval_expiry(t: Tables) -> DataFrame:
-    pending = F.col("event_type") != "error"
-    expired = F.col("ts") + F.expr("INTERVAL 10 DAYS") < clock(EVENTS_NOW)
-    return t.events.select("event_id", F.when(pending & expired, "EXPIRED").when(pending, "PENDING").otherwise("REJECTED").alias("status"))
+    said = F.when(F.col("event_type") == "error", "REJECTED")
+    return t.events.select("event_id", profile.approval_step(F.lit("PENDING"), said, F.col("ts") + F.expr("INTERVAL 10 DAYS"), clock(EVENTS_NOW)).alias("status"))
 
 
 @query("SELECT hours, arg_min(w, (abs(hours - w), w)) AS clamped FROM (SELECT DISTINCT user_id % 40 AS hours FROM events) h, (VALUES (1), (4), (8), (12), (16), (24)) v(w) GROUP BY hours")
@@ -214,10 +211,9 @@ def j10_two_key_match(t: Tables) -> DataFrame:
     return found.select("job_id", "found")
 
 
-@query("SELECT DISTINCT lower(p_brand) AS brand FROM part WHERE lower(p_brand) NOT IN (SELECT lower(p_brand) FROM part WHERE p_size < 3)")
+@query("SELECT DISTINCT c_name AS company_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')")
 def j11_missing_companies(t: Tables) -> DataFrame:
-    brand = F.lower("p_brand").alias("brand")
-    return filters.without(t.part.select(brand).distinct(), t.part.filter("p_size < 3").select(brand), "brand")
+    return filters.without(t.customer.select("c_custkey", F.col("c_name").alias("company_name")), t.orders.filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("company_name").distinct()
 
 
 FACETS = f"""f AS (SELECT *, remote_type <> 'ONSITE' AS loc_ok, employment_type = 'FULL_TIME' AS type_ok,
@@ -298,7 +294,7 @@ def a8_distinct_companies(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT user_id % 20 AS source, event_type <> 'error' AS ok, event_id % 10 AS fetched FROM events WHERE event_id % 20 = user_id % 20)
+    """WITH r AS (SELECT user_id % 20 AS source, event_type <> 'error' AS ok, event_id % 10 AS fetched FROM events)
     SELECT source, count(*) AS attempts, sum(fetched)::BIGINT AS fetched, CASE WHEN bool_and(ok) THEN 'success' WHEN bool_or(ok) THEN 'partial_success' ELSE 'failed' END AS status FROM r GROUP BY source"""
 )
 def a9_rollup(t: Tables) -> DataFrame:
@@ -379,10 +375,14 @@ def o8_rank_ids(t: Tables) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("quality_score"), "job_id")).cast("long")).select("job_id", "place")
 
 
-@query("SELECT DISTINCT location AS place, location IN ('Hyderabad', 'BLR') AS hub FROM postings", "postings")
+@query(
+    """WITH p AS (SELECT DISTINCT unnest(CASE location WHEN 'Bangalore, Karnataka' THEN ['Bengaluru'] WHEN 'BLR' THEN ['Bengaluru'] WHEN 'Pune / Mumbai' THEN ['Pune', 'Mumbai'] WHEN 'Gurgaon or Noida' THEN ['Gurugram', 'Noida']
+      WHEN 'Chennai, Pune, Kochi' THEN ['Chennai', 'Pune', 'Kochi'] WHEN 'Pan India' THEN ['India'] WHEN 'Work from home' THEN ['Remote'] ELSE [location] END) AS place FROM postings)
+    SELECT place, place NOT IN ('India', 'Remote', 'Springfield', 'Tamil Nadu') AS hub FROM p WHERE contains(lower(place), 'u')""",
+    "postings",
+)
 def o12_places(t: Tables) -> DataFrame:
-    hub = F.col("place").isin("Hyderabad", "BLR")
-    return t.postings.select(F.col("location").alias("place")).distinct().withColumn("hub", hub).orderBy(F.when(hub, 0).otherwise(1), "place")
+    return places.picker(t.postings, F.col("location"), " U")
 
 
 @query(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import identity, scoring, titles
-from ..operators import keyed, windows
-from ..streaming import state, streams
+from ..functions import places, scoring, titles
+from ..operators import evaluation, keyed, windows
+from ..operators.tables import shared_folder
+from ..sources import sinks
+from ..streaming import streams
 from .feed import skill_lists
 from .registry import query
 from .standins import EVENTS_NOW, NOW, Tables, clock
@@ -19,13 +23,13 @@ TRANSFER = {"promo": {"economy": 0.5, "large": 0.3}, "medium": {"standard": 0.8}
 
 def compat_rows(t: Tables) -> DataFrame:
     """Postings with required skills (kinds of part), preferred skills and their compatibility."""
-    brands = t.lineitem.filter("l_linenumber <= 1").join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("b_id")).agg(F.array_sort(F.collect_set(F.upper("p_type"))).alias("preferred"))
+    brands = t.lineitem.filter("l_returnflag = 'R'").join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("b_id")).agg(F.array_sort(F.collect_set(F.upper("p_type"))).alias("preferred"))
     rows = skill_lists(t).join(brands, F.col("job_id") == F.col("b_id"), "left").drop("b_id")
     return rows.withColumn("c", scoring.skill_compatibility(CANDIDATE, F.col("skills"), F.col("preferred"), TRANSFER, canonical=False))
 
 
 _COMPAT = """WITH s AS (SELECT job_id, list(lower(skill)) AS r FROM posting_skills GROUP BY job_id),
-b AS (SELECT l_orderkey AS job_id, list(DISTINCT lower(p_type)) AS p FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 1 GROUP BY 1),
+b AS (SELECT l_orderkey AS job_id, list(DISTINCT lower(p_type)) AS p FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY 1),
 n AS (SELECT s.job_id, r, coalesce(p, []) AS p, list_filter(r, lambda x: x IN ('promo', 'small', 'medium')) AS hit, list_filter(r, lambda x: x NOT IN ('promo', 'small', 'medium')) AS mis FROM s LEFT JOIN b USING (job_id)),
 q AS (SELECT job_id, len(r) AS n, len(hit) AS h, len(mis) AS k, len(hit) / len(r)::DOUBLE * 100 AS req,
   CASE WHEN len(p) = 0 THEN len(hit) / len(r)::DOUBLE * 100 ELSE len(list_filter(p, lambda x: x IN ('promo', 'small', 'medium'))) / len(p)::DOUBLE * 100 END AS pre,
@@ -76,11 +80,11 @@ def c5_role_score(t: Tables) -> DataFrame:
     SELECT c_custkey, (CASE WHEN kind = 'REMOTE' THEN 100 WHEN city = 'NATION_3' THEN 100 WHEN state = (SELECT r_name FROM region WHERE r_regionkey = 1) THEN 80 WHEN kind = 'HYBRID' THEN 60 ELSE 40 END)::DOUBLE AS score FROM c"""
 )
 def c6_location_score(t: Tables) -> DataFrame:
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
-    state = t.region.filter("r_regionkey = 1").first()["r_name"]
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    preferred = [r["r_name"] for r in t.region.filter("r_regionkey = 1").select("r_name").limit(1).collect()]
     k = F.col("c_custkey") % 4
     kind = F.when(k == 0, "REMOTE").when(k == 1, "HYBRID").otherwise("ONSITE")
-    score = scoring.location_score(F.col("n_name") == "NATION_3", F.array("n_name"), F.array("r_name"), kind, [state], True, True)
+    score = scoring.location_score(F.col("n_name") == "NATION_3", F.array("n_name"), F.array("r_name"), kind, preferred, True, True)
     return rows.select("c_custkey", score.alias("score"))
 
 
@@ -193,9 +197,12 @@ def k2_quarantine(t: Tables) -> DataFrame:
     return rejects.groupBy(F.col("reject_reason").alias("reject")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, user_id::VARCHAR AS source, event_type AS status, event_id AS total_discovered FROM events ORDER BY timestamp DESC, source DESC, total_discovered DESC LIMIT 20")
 def k4_tail(t: Tables) -> DataFrame:
-    return t.events.select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+    path = f"{shared_folder(t.spark)}/postmill/audit/{uuid.uuid4().hex}"
+    stats = t.events.select("ts", F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("status"), F.col("event_id").alias("total_discovered"))
+    sinks.append_audit(stats, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), path)
+    return sinks.tail_audit(t.spark, path, 20).select("timestamp", "source", "status", "total_discovered")
 
 
 @query(
@@ -208,21 +215,26 @@ def k6_status_upsert(t: Tables) -> DataFrame:
     return latest.filter("status <> 'IGNORED'").select("user_id", "job_id", "status")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS segment, c_custkey % 3 = 0 AS changed FROM customer")
+@query(
+    """SELECT job_id, CASE location WHEN 'Bangalore, Karnataka' THEN 'Bengaluru' WHEN 'Gurgaon or Noida' THEN 'Gurugram / Noida' WHEN 'BLR' THEN 'Bengaluru'
+      WHEN 'Chennai, Pune, Kochi' THEN 'Chennai / Pune / Kochi' WHEN 'Pan India' THEN 'India' WHEN 'Work from home' THEN 'Remote' ELSE location END AS location,
+      location IN ('Bangalore, Karnataka', 'Gurgaon or Noida', 'BLR', 'Chennai, Pune, Kochi', 'Pan India', 'Work from home') AS changed FROM postings""",
+    "postings",
+)
 def k8_backfill(t: Tables) -> DataFrame:
-    fresh = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.upper("c_mktsegment"), F.lit("!"))).otherwise(F.when(F.col("c_custkey") % 3 == 1, F.col("c_mktsegment")).otherwise("Unknown"))
-    changed = (fresh != F.col("c_mktsegment")) & (fresh != "Unknown")
-    return t.customer.select("c_custkey", F.when(changed, fresh).otherwise(F.col("c_mktsegment")).alias("segment"), changed.alias("changed"))
+    return keyed.backfill(t.postings.select("job_id", "location"), "location", places.normalize_location(F.col("location")))
 
 
-@query("SELECT event_type, '- ' || string_agg(event_id || ': ' || value::VARCHAR, chr(10) || '- ' ORDER BY value DESC, event_id) AS digest FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 5) GROUP BY event_type")
+@query(
+    """SELECT event_type, '- ' || string_agg(event_id || ': ' || value::VARCHAR, chr(10) || '- ' ORDER BY value DESC, event_id) AS digest
+    FROM (SELECT * FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 5) GROUP BY event_type"""
+)
 def k11_digest(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    top = t.events.withColumn("k", F.row_number().over(w)).filter("k <= 5")
+    told = t.events.filter("event_type = 'error' AND value > 90").select("user_id").distinct()
+    notified = t.events.join(told, "user_id", "left_semi").select("event_id")
     line = F.concat_ws(": ", F.col("event_id").cast("string"), F.col("value").cast("string"))
-    return top.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))).alias("x")).select("event_type", F.concat(F.lit("- "), F.array_join(F.transform("x", lambda s: s["line"]), "\n- ")).alias("digest"))
+    digests, _ = sinks.digest(t.events, "event_type", [F.desc("value"), F.asc("event_id")], line, 5, "event_id", notified)
+    return digests
 
 
 @query("SELECT event_id, round(sum(value) OVER w, 6) AS running, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
@@ -253,24 +265,28 @@ def w7_latest(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("last_purchase"), F.max_by("event_type", "event_id").alias("last_type"))
 
 
-def timed(t: Tables) -> DataFrame:
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return t.events.select("event_id", "user_id", at.alias("at"), (F.col("event_type") != "error").alias("ok"))
+_SINCE = """p AS (SELECT *, coalesce(sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM events)"""
 
 
-@query()
+@query(f"WITH {_SINCE}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS attempt FROM p) SELECT event_id, attempt, CASE WHEN event_type <> 'error' THEN 'done' WHEN attempt >= 3 THEN 'dead' ELSE 'again' END AS outcome FROM q")
 def r1_retries(t: Tables) -> DataFrame:
-    return state.run_batch(timed(t), "user_id", ["at", "event_id"], lambda: state.retries(3), state.RETRIES_OUT)
+    """Each event as an attempt since the user's last success."""
+    ok = F.col("event_type") != "error"
+    rows = windows.since_last(t.events, "user_id", ["ts", "event_id"], ok)
+    return rows.select("event_id", F.col("at").cast("long").alias("attempt"), F.when(ok, "done").when(F.col("at") >= 3, "dead").otherwise("again").alias("outcome"))
 
 
-@query()
+@query("SELECT event_id, count(*) OVER w AS n, count(*) OVER w > 3 AS over_limit FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)")
 def r5_limiter(t: Tables) -> DataFrame:
-    return state.run_batch(timed(t), "user_id", ["at", "event_id"], lambda: state.limiter(3, 86400.0), state.LIMITER_OUT)
+    """Events beyond three in the week before them."""
+    rows = t.events.select("event_id", windows.sliding_count(t.events, "user_id", "ts", 7 * 86400).alias("n"))
+    return rows.withColumn("over_limit", F.col("n") > 3)
 
 
-@query()
+@query("WITH m AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events), r AS (SELECT user_id, run, count(*) FILTER (event_type = 'error') AS n FROM m GROUP BY ALL) SELECT user_id, count(*) FILTER (n >= 2) AS streaks, max(n) AS longest FROM r GROUP BY user_id")
 def r7_breaker(t: Tables) -> DataFrame:
-    return state.run_batch(timed(t), "user_id", ["at", "event_id"], lambda: state.breaker(2, 3 * 86400.0, 2), state.BREAKER_OUT)
+    """Runs of failures long enough to stop a source."""
+    return windows.streaks(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "error", 2)
 
 
 @query("SELECT user_id % 50 AS schedule, max(ts) FILTER (event_type = 'signup') + INTERVAL 1440 MINUTE <= TIMESTAMP '2024-01-30 12:00:00' AND max(ts) FILTER (event_type = 'signup') IS NOT NULL AS due FROM events GROUP BY 1")
@@ -280,10 +296,13 @@ def r11_due(t: Tables) -> DataFrame:
     return rows.select("schedule", streams.due(F.col("last"), 1440, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).alias("due"))
 
 
-@query("SELECT conv_id, max(turn) + 1 AS events, CASE WHEN arg_max(role, turn) = 'assistant' THEN 'completed' ELSE 'running' END AS state FROM conversations GROUP BY conv_id")
+@query(
+    """WITH f AS (SELECT user_id, arg_min(CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'failed' END, event_id) AS state, min(event_id) AS last FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)
+    SELECT e.user_id, coalesce(any_value(f.state), 'running') AS state, count(*) AS events, round(sum(value), 6) AS total FROM events e LEFT JOIN f ON e.user_id = f.user_id WHERE f.last IS NULL OR event_id <= f.last GROUP BY e.user_id"""
+)
 def r13_run_state(t: Tables) -> DataFrame:
-    state_ = F.when(F.max_by("role", "turn") == "assistant", "completed").otherwise("running")
-    return t.conversations.groupBy("conv_id").agg((F.max("turn") + 1).alias("events"), state_.alias("state"))
+    state = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed")
+    return windows.run_state(t.events, "user_id", "event_id", state, "value").withColumn("total", F.round("total", 6))
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
@@ -291,6 +310,13 @@ def r14_first_seen(t: Tables) -> DataFrame:
     return windows.first_seen(t.events, ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "event_id")
 
 
+@query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
+def r14_stream_first_seen(t: Tables) -> DataFrame:
+    """As a stream, keeping keys for longer than the table spans."""
+    rows = streams.first_sightings(streams.event_stream(t.spark, f"{t.sf_dir}/events.parque[t]"), ["user_id", "event_type"], "400 days")
+    return streams.drain(rows.select("user_id", "event_type"))
+
+
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def r4_stream_windows(t: Tables) -> DataFrame:
     # A pattern, since the table may be a file or a folder.
@@ -318,3 +344,40 @@ def o7_recommendations(t: Tables) -> DataFrame:
     open_ = without(t.postings.filter("is_active AND posted_at IS NOT NULL"), t.saved_jobs.filter("status = 'APPLIED'"), "job_id")
     rows = open_.join(skill_lists(t), "job_id").withColumn("r", scoring.skill_compatibility(["PROMO", "SMALL"], F.col("skills"), F.lit(None), {}, canonical=False)["required_score"])
     return rows.orderBy(F.desc("r"), "job_id").limit(5).select("job_id", "title", F.round("r", 1).alias("required_score"))
+
+
+TWO = [
+    evaluation.Candidate(1, CANDIDATE, 0, ["Backend Engineer"], remote_preference=False, minimum_salary_lpa=6.0, priority_companies=["0011"], excluded_companies=["Customer#000000007"], version="a"),
+    evaluation.Candidate(2, CANDIDATE, 3, ["Backend Engineer"], remote_preference=False, internship_allowed=False, minimum_salary_lpa=6.0, priority_companies=["0011"], excluded_companies=["Customer#000000007"], version="b"),
+]
+HOW = {"transfer": TRANSFER, "canonical": False}
+
+
+def jobs(t: Tables) -> DataFrame:
+    """Postings with all that an evaluation reads."""
+    lists = compat_rows(t).select("job_id", F.col("skills").alias("required_skills"), F.col("preferred").alias("preferred_skills"))
+    return t.postings.join(lists, "job_id").withColumns(
+        {"role_category": titles.categorize_role(F.col("title")), "normalized_location": places.normalize_location(F.col("location")), "experience_confidence": F.col("posted_at_confidence"), "description_confidence": F.lit("MEDIUM"), "job_version": (F.col("job_id") % 4).cast("string")}
+    )
+
+
+_BOTH = f"SELECT 1 AS profile_id, * FROM ({_GATE} SELECT job_id, overall AS overall_score FROM g3) UNION ALL SELECT 2 AS profile_id, * FROM ({_GATE.replace(_EXP0, _EXP3)} SELECT job_id, overall AS overall_score FROM g3)"
+
+
+@query(_BOTH, "posting_skills", "postings")
+def j6_candidates(t: Tables) -> DataFrame:
+    return evaluation.evaluate(jobs(t), TWO, **HOW).select("profile_id", "job_id", "overall_score")
+
+
+@query(
+    f"""{_GATE}, c AS (SELECT job_id, arg_max((job_version, overall_score), match_id) AS v FROM matches GROUP BY job_id), x AS (SELECT g3.job_id, overall, v, coalesce(v[1] = (g3.job_id % 4)::VARCHAR, false) AS hit FROM g3 LEFT JOIN c ON g3.job_id = c.job_id)
+    SELECT job_id, hit, CASE WHEN hit THEN round(v[2], 6) ELSE overall END AS overall_score FROM x""",
+    "posting_skills",
+    "postings",
+    "matches",
+)
+def c14_match_cache(t: Tables) -> DataFrame:
+    last = t.matches.groupBy("job_id").agg(F.max_by(F.struct("job_version", "overall_score"), "match_id").alias("v"))
+    cache = last.select("job_id", "v.*", F.lit(TWO[0].version).alias("profile_version"), F.lit(evaluation.ALGORITHM).alias("algorithm"))
+    got = evaluation.evaluate_cached(jobs(t), TWO[0], cache, **HOW)
+    return got.select("job_id", "hit", F.round("overall_score", 6).alias("overall_score"))

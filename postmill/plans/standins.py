@@ -98,4 +98,7 @@ def oracle(body: str, *views: str) -> str:
     body = body.strip()
     if not head:
         return body
-    return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head}, {body[len(start):]}"
+    return f"WITH {head} {body}"

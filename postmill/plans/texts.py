@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts, identity, markup, places, skills, times, titles, vectors
@@ -234,10 +234,13 @@ def s6_next_data(t: Tables) -> DataFrame:
     return t.events.select("event_id", markup.next_data(page, "$.props.other.k", "$.props.pageProps.k").cast("int").alias("k"))
 
 
-@query("SELECT event_id, (json_extract(props, '$.k'))::INT AS k, (json_extract(props, '$.none'))::INT AS none FROM events")
+@query("SELECT event_id, (json_extract(props, '$.k'))::INT AS k, 2 + (event_id % 2) AS nodes FROM events")
 def s10_json_props(t: Tables) -> DataFrame:
-    v = F.try_parse_json("props")
-    return t.events.select("event_id", F.try_variant_get(v, "$.k", "int").alias("k"), F.try_variant_get(v, "$.none", "int").alias("none"))
+    block = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    listed = block(F.concat(F.lit("["), "props", F.lit(', {"@type": "Other"}]')))
+    more = F.when(F.col("event_id") % 2 == 1, block(F.lit('{"@graph": [{"a": 1,}]}'))).otherwise(block(F.lit("{broken")))
+    nodes = markup.json_ld_blocks(F.concat(F.lit("<html>"), listed, more))
+    return t.events.select("event_id", F.try_variant_get(F.get(nodes, 0), "$.k", "int").alias("k"), F.size(nodes).cast("long").alias("nodes"))
 
 
 @query()
@@ -247,10 +250,16 @@ def s13_page_text(t: Tables) -> DataFrame:
     return rows.select("page_id", "x.text", "x.has_form", markup.is_closed(F.col("x.text")).alias("is_closed"))
 
 
-@query("SELECT a.job_id AS earlier, b.job_id AS later FROM (SELECT source_url, min(job_id) AS job_id FROM postings GROUP BY 1) a JOIN postings b USING (source_url) WHERE a.job_id < b.job_id AND source_url <> 'ftp://bad'", "postings")
+def _first_of(key: str) -> str:
+    return f"SELECT first AS earlier, job_id AS later FROM (SELECT job_id, min(job_id) OVER (PARTITION BY {key}) AS first FROM postings WHERE {key} <> '') WHERE first < job_id"
+
+
+@query(f"SELECT 'source' AS url, * FROM ({_first_of('source_url')}) UNION ALL SELECT 'application' AS url, * FROM ({_first_of('application_url')})", "postings")
 def d1_exact_dup(t: Tables) -> DataFrame:
-    rows = t.postings.filter("source_url <> 'ftp://bad'").withColumnRenamed("job_id", "pos")
-    return dedup.chained_edges(rows, F.col("source_url"), "LEVEL_1_EXACT_URL").select("earlier", "later")
+    rows = t.postings.withColumnRenamed("job_id", "pos")
+    level = "LEVEL_1_EXACT_URL"
+    found = [dedup.chained_edges(rows, key, level).select(F.lit(url).alias("url"), "earlier", "later") for url, key in zip(("source", "application"), dedup.exact_keys()[level])]
+    return found[0].unionByName(found[1])
 
 
 @query("SELECT a.job_id AS earlier, b.job_id AS later FROM (SELECT source, source_job_id, min(job_id) AS job_id FROM postings WHERE source_job_id IS NOT NULL GROUP BY 1, 2) a JOIN postings b USING (source, source_job_id) WHERE a.job_id < b.job_id", "postings")
@@ -259,18 +268,22 @@ def d2_key_dup(t: Tables) -> DataFrame:
     return dedup.chained_edges(t.postings.withColumnRenamed("job_id", "pos"), key, "LEVEL_2_SOURCE_JOB_ID").select("earlier", "later")
 
 
-@query("SELECT sha256(lower(trim(text))) AS h, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+_CLEAN = lambda c: f"coalesce(regexp_replace(lower(nullif({c}, '')), '[^a-z0-9]', '', 'g'), 'generic')"
+_META = f"sha256(concat_ws('|', {_CLEAN("lower(company_name || '/' || location)")}, {_CLEAN('lower(title)')}, {_CLEAN('location')}, {_CLEAN('employment_type')}, {_CLEAN('source_job_id')}))"
+
+
+@query(f"SELECT first AS earlier, job_id AS later FROM (SELECT job_id, min(job_id) OVER (PARTITION BY h) AS first FROM (SELECT job_id, {_META} AS h FROM postings)) WHERE first < job_id", "postings")
 def d3_hash_dup(t: Tables) -> DataFrame:
-    h = F.sha2(F.lower(F.trim("text")), 256)
-    return t.documents.groupBy(h.alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
+    level = "LEVEL_3_NORMALIZED_METADATA"
+    return dedup.chained_edges(fold_rows(t), dedup.exact_keys()[level][0], level).select("earlier", "later")
 
 
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[\s]+'), lambda w: w <> ''))"
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, lower(substr(text, 1, 24)) AS k, {_TOKENS} AS ts FROM documents),
-    p AS (SELECT a.doc_id AS earlier, b.doc_id AS later, len(list_intersect(a.ts, b.ts)) AS c, len(a.ts) AS n, len(b.ts) AS m FROM d a JOIN d b ON a.k = b.k AND a.doc_id < b.doc_id)
+    f"""WITH d AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), w AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS w FROM d),
+    p AS (SELECT a.doc_id AS earlier, b.doc_id AS later, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2)
     SELECT earlier, later, round(c / (n + m - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (n + m - c)::DOUBLE >= 0.85"""
 )
 def d4_near_dup(t: Tables) -> DataFrame:
@@ -279,20 +292,33 @@ def d4_near_dup(t: Tables) -> DataFrame:
     return pairs.select("earlier", "later", F.round("jaccard", 6).alias("jaccard"))
 
 
+def near_vectors(t: Tables) -> DataFrame:
+    """Every vector, and a near copy of it that lacks the first component."""
+    rows = t.embeddings.select(F.col("vec_id").cast("long").alias("pos"), F.col("label").cast("string").alias("block"), F.col("embedding").cast("array<double>").alias("embedding"))
+    cut = F.transform("embedding", lambda x, i: F.when(i == 0, 0.0).otherwise(x))
+    return rows.unionByName(rows.select((F.col("pos") + 1_000_000_000).alias("pos"), "block", cut.alias("embedding")))
+
+
 @query(
-    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), v AS (SELECT * FROM e UNION ALL SELECT vec_id + 1000000000, label, list_concat([0.0::DOUBLE], e[2:]) FROM e)
     SELECT a.vec_id AS earlier, b.vec_id AS later FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.92"""
 )
 def d5_vector_dup(t: Tables) -> DataFrame:
-    rows = t.embeddings.withColumnRenamed("vec_id", "pos")
-    pairs = dedup.blocked_pairs(rows, F.col("label"), "LEVEL_5_EMBEDDING_SIMILARITY", "embedding")
-    return pairs.filter(vectors.cosine(F.col("earlier_embedding"), F.col("later_embedding")) >= dedup.EMBEDDING).select("earlier", "later")
+    rows, similar = dedup.vector_classes(near_vectors(t))
+    of = lambda key, name: rows.select(F.col("class").alias(key), F.col("pos").alias(name))
+    same = of("x", "earlier").join(of("x", "later"), "x").select("earlier", "later")
+    across = similar.select(F.col("earlier").alias("x"), F.col("later").alias("y")).join(of("x", "earlier"), "x").join(of("y", "later"), "y").select("earlier", "later")
+    return same.unionByName(across).filter("earlier < later")
+
+
+_KEYED = f"""k AS (SELECT job_id AS pos, unnest(list_filter(['s' || nullif(source_url, 'ftp://bad'), 'a' || application_url, 'i' || source || chr(31) || source_job_id, 'm' || {_META}], lambda x: x IS NOT NULL)) AS key FROM postings),
+    e AS (SELECT DISTINCT pos AS a, min(pos) OVER (PARTITION BY key) AS b FROM k), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b)"""
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT o_orderkey AS a, (o_orderkey + 7) % 15000 AS b FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'),
-    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a)
-    SELECT node, min(root) AS root FROM r GROUP BY node"""
+    f"""WITH RECURSIVE {_KEYED}, r AS (SELECT DISTINCT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON r.node = u.a)
+    SELECT node, min(root) AS root FROM r GROUP BY node""",
+    "postings",
 )
 def d6_components(t: Tables) -> DataFrame:
     return dedup.components(dedup.key_edges(fold_rows(t)))
@@ -301,7 +327,7 @@ def d6_components(t: Tables) -> DataFrame:
 def fold_rows(t: Tables) -> DataFrame:
     return t.postings.select(
         F.col("job_id").alias("pos"), "source", "source_job_id", F.lower(F.concat_ws("/", "company_name", "location")).alias("normalized_company"), F.lower("title").alias("normalized_title"), F.col("location").alias("normalized_location"),
-        "employment_type", F.nullif(F.col("source_url"), F.lit("ftp://bad")).alias("source_url"), "application_url", "description", "posted_at",
+        "employment_type", F.nullif(F.col("source_url"), F.lit("ftp://bad")).alias("source_url"), "application_url", "description", "posted_at", "title",
     )
 
 
@@ -310,6 +336,26 @@ def d6_fold(t: Tables) -> DataFrame:
     return dedup.deduplicate(fold_rows(t))
 
 
+@query()
+def d8_merged_sources(t: Tables) -> DataFrame:
+    rows = fold_rows(t)
+    got = dedup.merged_sources(rows, dedup.deduplicate(rows))
+    return got.select("pos", F.size("other_sources").alias("n"), F.array_join(F.transform("other_sources", lambda s: F.concat_ws(" ", s["source"], s["source_url"])), "\n").alias("other_sources"))
+
+
+@query()
+def d9_merge_audit(t: Tables) -> DataFrame:
+    rows = fold_rows(t)
+    return dedup.merge_audit(rows, dedup.deduplicate(rows))
+
+
+@query()
+def d10_staged(t: Tables) -> DataFrame:
+    """Two passes; the stand-in's postings have the vector of their number, where there is one."""
+    vectors = t.embeddings.select(F.col("vec_id").cast("long").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return dedup.deduplicate_in_stages(fold_rows(t).join(vectors, "pos", "left"))
+
+
 @query()
 def t22_sequence_ratio(t: Tables) -> DataFrame:
     members, sets = dedup.token_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"))
@@ -317,14 +363,18 @@ def t22_sequence_ratio(t: Tables) -> DataFrame:
     return pairs.select("later", "earlier", F.round("similarity", 6).alias("similarity"))
 
 
+def query_vector(t: Tables, vec_id: int) -> Column:
+    """One stored vector as a parameter; null, which nothing is similar to, if it is not there."""
+    found = t.embeddings.filter(F.col("vec_id") == vec_id).select("embedding").limit(1).collect()
+    return F.array(*map(F.lit, found[0]["embedding"])) if found else F.lit(None).cast("array<double>")
+
+
 @query(
     """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)
     SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 4) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 20"""
 )
 def o9_semantic_topk(t: Tables) -> DataFrame:
-    # The query vector is one row: a parameter.
-    vector = t.embeddings.filter("vec_id = 7").select("embedding").first()["embedding"]
-    score = vectors.cosine(F.col("embedding"), F.array(*map(F.lit, vector)))
+    score = vectors.cosine(F.col("embedding"), query_vector(t, 7))
     return t.embeddings.withColumn("s", score).orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id", F.round("s", 4).alias("similarity"))
 
 
@@ -333,5 +383,4 @@ def o9_semantic_topk(t: Tables) -> DataFrame:
     SELECT vec_id, round(greatest(0.0, least(100.0, (list_cosine_similarity(embedding::DOUBLE[], q) - 0.3) / (0.85 - 0.3)::DOUBLE * 100)), 1) AS score FROM embeddings, q"""
 )
 def c3_semantic_score(t: Tables) -> DataFrame:
-    vector = t.embeddings.filter("vec_id = 3").select("embedding").first()["embedding"]
-    return t.embeddings.select("vec_id", vectors.semantic_score(F.col("embedding"), F.array(*map(F.lit, vector))).alias("score"))
+    return t.embeddings.select("vec_id", vectors.semantic_score(F.col("embedding"), query_vector(t, 3)).alias("score"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import any_in, first_true
 from ..functions.identity import canonical_url, external_id
+from ..functions.markup import job_posting, with_fallback
 
 RAW = """source string, source_job_id string, title string, company_name string, location string, remote_type string, employment_type string, experience_raw string,
 salary_raw string, posted_time_raw string, source_url string, application_url string, description string, required_skills array<string>, preferred_skills array<string>"""
@@ -73,25 +74,26 @@ def from_payload(payload: Column, base_url: str) -> Column:
 
 
 class _Cards(HTMLParser):
-    """Cards of a listing page: elements whose class holds a card class; within them, the first text per field class."""
+    """Cards of a page: elements with a card class, or the page itself without one. A field has classes (or tag names) in order of preference; the text of the first one that has any counts."""
 
     VOID = {"img", "br", "hr", "input", "meta", "link"}
 
-    def __init__(self, card: str, fields: dict[str, str]):
+    def __init__(self, card: str | None, fields: dict[str, list[str]]):
         super().__init__(convert_charrefs=True)
-        self.card, self.fields = card, fields
-        self.cards: list[dict] = []
-        self.stack: list[tuple[str, str | None]] = []
-        self.open: int | None = None
+        self.card, self.names = card, {c: (f, k) for f, classes in fields.items() for k, c in enumerate(classes)}
+        self.cards: list[dict] = [] if card else [{"texts": {}}]
+        self.stack: list[tuple[str, tuple[str, int] | None]] = []
+        self.open: int | None = None if card else -1
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         classes = (attrs.get("class") or "").split()
         if self.open is None and self.card in classes:
             self.open = len(self.stack)
-            self.cards.append({"urn": attrs.get("data-entity-urn") or attrs.get("data-id")})
-        name = next((f for f, c in self.fields.items() if c in classes or c == tag), None) if self.open is not None else None
-        if self.open is not None and self.cards:
+            self.cards.append({"urn": attrs.get("data-entity-urn") or attrs.get("data-job-id") or attrs.get("data-id"), "texts": {}})
+        name = None
+        if self.open is not None:
+            name = min((self.names[c] for c in (*classes, tag) if c in self.names), key=lambda x: x[1], default=None)
             row = self.cards[-1]
             if tag == "a" and attrs.get("href"):
                 row.setdefault("href", attrs["href"])
@@ -110,42 +112,102 @@ class _Cards(HTMLParser):
 
     def handle_data(self, data):
         text = " ".join(data.split())
-        if text and self.open is not None:
-            name = next((n for _, n in reversed(self.stack) if n), None)
-            if name:
-                row = self.cards[-1]
-                row[name] = f"{row[name]} {text}" if name in row else text
+        name = next((n for _, n in reversed(self.stack) if n), None) if text and self.open is not None else None
+        if name:
+            texts = self.cards[-1]["texts"]
+            texts[name] = f"{texts[name]} {text}" if name in texts else text
+
+    def rows(self) -> list[dict]:
+        """Cards with the text of each field."""
+        best = lambda texts: {f: texts[f, k] for f, k in sorted(texts, key=lambda x: -x[1])}
+        return [{**c, **best(c["texts"])} for c in self.cards]
 
 
 CARD = "id string, title string, company string, location string, time string, url string"
-#: Card class and field classes of the boards, fixed values, the likeliest first.
+# Card classes and field classes of the boards, the likeliest first.
 BOARDS = {
-    "board1": ("base-search-card", {"title": "base-search-card__title", "company": "base-search-card__subtitle", "location": "job-search-card__location", "time": "time"}),
-    "board2": ("srp-jobtuple-wrapper", {"title": "title", "company": "comp-name", "location": "locWdth", "time": "job-post-day"}),
-    "board3": ("individual_internship", {"title": "job-internship-name", "company": "company-name", "location": "locations", "time": "status-success"}),
+    "board1": (["base-search-card", "base-card"], {"title": ["base-search-card__title", "h3"], "company": ["base-search-card__subtitle", "h4"], "location": ["job-search-card__location"], "time": ["time"]}),
+    "board2": (["srp-jobtuple-wrapper", "jobTuple"], {"title": ["title"], "company": ["comp-name", "subTitle"], "location": ["locWdth", "location"], "time": ["job-post-day"]}),
+    "board3": (["individual_internship", "internship_meta"], {"title": ["job-internship-name", "profile"], "company": ["company-name", "company_name"], "location": ["locations", "location_link"], "time": ["status-success", "status-info"]}),
 }
-
-
-def cards(pages: DataFrame, key: str, html: str, card: str, fields: dict[str, str]) -> DataFrame:
-    """key and one row per card with a title; ids within a page once. Nesting needs a parser, hence Arrow batches."""
+# Classes of a posting's own page.
+DETAIL = {
+    "title": ["top-card-layout__title", "topcard__title", "h1"], "company": ["topcard__org-name-link", "topcard__flavor", "sub-nav-cta__optional-url"],
+    "description": ["show-more-less-html__markup", "description__text"], "location": ["topcard__flavor--bullet", "top-card-layout__first-subline"], "time": ["posted-time-ago__text", "time"],
+}
+# Company names that stand for none.
+NO_COMPANY = ("company", "confidential", "hiring company")
+#: Cards of a page that are looked at to choose its card class.
+LOOKED_AT = 10
+
+
+def choose_cards(page: str, classes: list[str], fields: dict[str, list[str]]) -> list[dict]:
+    """The cards of the class that has the most with title and company among its first ones; ties go to the earlier class."""
+    best, most = [], 0
+    for card in classes:
+        if card in page:
+            parser = _Cards(card, fields)
+            parser.feed(page)
+            found = parser.rows()
+            usable = sum(bool(c.get("title") and c.get("company")) for c in found[:LOOKED_AT])
+            if usable > most or not best:
+                best, most = found, usable
+    return best
+
+
+def cards(pages: DataFrame, key: str, html: str, classes: list[str], fields: dict[str, list[str]]) -> DataFrame:
+    """key and one row per card with a title; ids within a page once. Nesting needs a parser, hence Arrow batches; pages without a card class never reach it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k, page in zip(batch[key], batch[html]):
-                p = _Cards(card, fields)
-                p.feed(page or "")
-                for c in p.cards:
+                for c in choose_cards(page, classes, fields):
                     if c.get("title"):
-                        rows.append((k, c.get("urn"), c["title"], c.get("company"), c.get("location"), c.get("datetime") or c.get("time"), c.get("href")))
+                        company = c.get("company")
+                        rows.append((k, c.get("urn"), c["title"], None if company and company.lower() in NO_COMPANY else company, c.get("location"), c.get("datetime") or c.get("time"), c.get("href")))
             yield pd.DataFrame(rows, columns=[key, "id", "title", "company", "location", "time", "url"])
 
     kind = pages.schema[key].dataType.simpleString()
-    found = pages.select(key, html).mapInPandas(run, f"{key} {kind}, {CARD}")
+    found = pages.filter(any_in(F.col(html), classes)).select(key, html).mapInPandas(run, f"{key} {kind}, {CARD}")
     found = found.withColumns({"url": canonical_url(F.col("url")), "id": F.coalesce(external_id(F.col("id")), external_id(F.col("url")), F.col("url"))})
     return found.dropDuplicates([key, "id"])
 
 
+def extract(pages: DataFrame, key: str, html: str, schema: dict[str, list[str]]) -> DataFrame:
+    """key and a column per field of the schema: the text of the first of its classes or tags that the page has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, page in zip(batch[key], batch[html]):
+                parser = _Cards(None, schema)
+                parser.feed(page or "")
+                rows.append((k, *map(parser.rows()[0].get, schema)))
+            yield pd.DataFrame(rows, columns=[key, *schema])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{f} string" for f in schema))
+
+
+def detail(pages: DataFrame, key: str, html: str, board: str = "board1") -> DataFrame:
+    """key, record (title, company, location, description) and provenance: linked data first, then a card, then the page's headers."""
+    record = lambda title, company, location, description: F.when(
+        (F.coalesce(title, F.lit("")) != "") & (F.coalesce(company, F.lit("")) != ""),
+        F.struct(title.alias("title"), company.alias("company"), F.coalesce(F.nullif(location, F.lit("")), F.lit("India")).alias("location"), F.coalesce(F.nullif(description, F.lit("")), F.concat(title, F.lit(" at "), company, F.lit("."))).alias("description")),
+    )
+    none = F.lit(None).cast("string")
+    ld = job_posting(F.col(html))
+    first = pages.withColumn("linked", record(ld["title"], ld["company_name"], ld["location"], ld["description"]))
+    rest = first.filter("linked IS NULL").select(key, html)
+    c = cards(rest, key, html, *BOARDS[board]).select(key, record(F.col("title"), F.col("company"), F.col("location"), none).alias("card"), F.col("id").alias("card_id")).filter("card IS NOT NULL")
+    c = c.groupBy(key).agg(F.min_by("card", F.coalesce("card_id", F.lit(""))).alias("card"))
+    h = extract(rest.join(c, key, "left_anti"), key, html, DETAIL).select(key, record(*[F.col(f) for f in ("title", "company", "location", "description")]).alias("header"))
+    both = first.select(key, "linked").join(c, key, "left").join(h, key, "left")
+    got = with_fallback(JSON_LD=F.col("linked"), CARD=F.col("card"), CSS_SELECTOR=F.col("header"))
+    return both.select(key, got["record"].alias("record"), got["provenance"].alias("provenance"))
+
+
 def yields(found: DataFrame, least: float = 0.85) -> DataFrame:
     """Share of cards with each field, and whether the page's layout has drifted."""
     share = lambda c: F.round(F.avg(F.when(F.coalesce(F.col(c), F.lit("")) != "", 1.0).otherwise(0.0)), 4)
@@ -209,3 +271,23 @@ def quality(company: Column, salary: Column, url: Column, confidence: Column, n_
         + F.when(confidence == "HIGH", 10.0).when(confidence == "MEDIUM", 5.0).otherwise(0.0) + add(n_skills >= 3, 5.0)
     )
     return F.least(F.lit(100.0), total)
+
+
+def quality_by_salary(salary: Column, confidence: Column) -> Column:
+    """Of boards 1 and 2; salary: true where one is given."""
+    return 75.0 + F.when(F.coalesce(salary, F.lit(False)), 15.0).otherwise(0.0) + F.when(confidence == "HIGH", 10.0).otherwise(0.0)
+
+
+def quality_by_detail(salary: Column, description: Column, confidence: Column, n_skills: Column, extraction: Column) -> Column:
+    """Of board 3: detail and skills count too, and an uncertain extraction takes off; 100 at most."""
+    length = F.length(F.coalesce(description, F.lit("")))
+    text = F.when(length >= 350, 10.0).when(length >= 200, 5.0).otherwise(0.0)
+    skills = F.when(n_skills >= 3, 10.0).when(n_skills >= 1, 5.0).otherwise(0.0)
+    return F.least(F.lit(100.0), quality_by_salary(salary, confidence) + text + skills - F.when(F.coalesce(extraction < 0.6, F.lit(False)), 10.0).otherwise(0.0))
+
+
+def described(description: Column, title: Column, company: Column) -> Column:
+    """struct(description, confidence): a stand-in where there is none; sure from 200 characters on."""
+    text = F.btrim(F.coalesce(description, F.lit("")))
+    text = F.when(text == "", F.concat(title, F.lit(" at "), company, F.lit("."))).otherwise(text)
+    return F.struct(text.alias("description"), F.when(F.length(text) >= 200, "HIGH").otherwise("LOW").alias("confidence"))

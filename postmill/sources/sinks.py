@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fields of an audit record with their defaults.
@@ -23,10 +23,10 @@ def append_audit(stats: DataFrame, at: Column, path: str) -> None:
 
 
 def tail_audit(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The newest n records; lines that do not parse are skipped."""
+    """The newest n records, ties by source and number found; lines that do not parse are skipped."""
     kinds = {str: "string", float: "double", int: "long", type(None): "string"}
     schema = "timestamp string, " + ", ".join(f"{k} {kinds[type(d)]}" for k, d in AUDIT.items())
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).orderBy(F.desc("timestamp")).limit(n)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).orderBy(F.desc("timestamp"), F.desc("source"), F.desc("total_discovered")).limit(n)
 
 
 def exposition(metrics: DataFrame) -> DataFrame:
@@ -35,15 +35,15 @@ def exposition(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.concat(F.lit("# TYPE "), name, F.lit(" "), "kind", F.lit("\n"), name, F.lit(" "), F.format_string("%.4f", F.col("value"))).alias("line"))
 
 
-def overwrite_swapped(df: DataFrame, path: str) -> DataFrame:
-    """Writes beside the old table and then swaps names, since a table that is read can't be overwritten."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path + ".new")
-    jvm = spark.sparkContext._jvm
-    new, old, gone = (jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", "", ".old"))
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(gone, True)
-    if fs.exists(old):
-        fs.rename(old, gone)
-    fs.rename(new, old)
-    return spark.read.parquet(path)
+def last_rows(spark: SparkSession, path: str, schema: str, key: Column, at: str, n: int) -> DataFrame:
+    """The newest n rows of a history that is appended to, among those that key selects; ties by all columns."""
+    rows = spark.read.schema(schema).parquet(path).filter(key)
+    return rows.orderBy(F.desc(at), *[F.desc(c) for c in rows.columns if c != at]).limit(n)
+
+
+def digest(rows: DataFrame, key: str, order: list[Column], line: Column, n: int, id_: str, notified: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """digests (key, digest: a list of the best n rows of each key, those notified before left out) and their ids, to be notified now."""
+    fresh = rows.join(notified.select(id_).distinct(), id_, "left_anti")
+    top = fresh.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__at") <= n)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("__at", line.alias("line")))), lambda s: s["line"])
+    return top.groupBy(key).agg(F.concat(F.lit("- "), F.array_join(lines, "\n- ")).alias("digest")), top.select(id_)

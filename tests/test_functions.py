@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions import amounts, identity, markup, places, scoring, skills, times, titles
-from postmill.operators import dedup
-from postmill.streaming import state
+from postmill.operators import dedup, evaluation, windows
+from postmill.sources import boards
 
 NOW = dt.datetime(2024, 3, 10, 12, 0)
 
@@ -83,33 +83,54 @@ def test_skill_compatibility(spark):
     assert [(c.required_score, c.preferred_score, c.transferable_score) for c in got] == [(50, 100, 100), (30, 30, 100), (0, 0, pytest.approx(30)), (100, 100, 100)]
 
 
-def test_fold_takes_the_first_canonical():
-    base = dict(source="a", source_job_id=None, normalized_company="c", application_url=None, posted_at=None, direct=False)
-    row = lambda pos, **k: {**base, "pos": pos, "source_url": f"u{pos}", "job_hash": str(pos), "description": f"text number {pos} " * 3, **k}
-    rows = [row(0, source_url="x"), row(1, job_hash="9"), row(2, source_url="x", job_hash="9", direct=True), row(3, job_hash="9")]
-    assert dedup.fold(rows) == [(0, 2, "LEVEL_1_EXACT_URL"), (1, 1, None), (2, 2, None), (3, 2, "LEVEL_3_NORMALIZED_METADATA")]
-
-
-def test_state_machines():
-    go, s = state.limiter(2, 10), []
-    assert [go(s, {"at": t}) for t in (0.0, 1.0, 2.0, 10.5, 11.5)] == [(True, 1), (True, 0), (False, 0), (True, 0), (True, 0)]
-    go, s = state.breaker(2, 30, 2), []
-    steps = [(0.0, False), (1.0, False), (5.0, True), (40.0, True), (41.0, True), (42.0, False)]
-    assert [go(s, {"at": t, "ok": ok}) for t, ok in steps] == [("CLOSED", False), ("OPEN", False), ("OPEN", True), ("HALF_OPEN", False), ("CLOSED", False), ("CLOSED", False)]
-    go, s = state.retries(3), []
-    assert [go(s, {"ok": False})[1] for _ in range(3)] == ["again", "again", "dead"]
-
-
-def test_batch_and_stream_agree(spark, tmp_path):
-    from postmill.streaming import streams
-
-    rows = spark.createDataFrame([(k, float(t), True) for k in range(3) for t in range(0, 40, 3 + k)], "key long, at double, ok boolean")
-    rows.write.parquet(str(tmp_path / "in"))
-    batch = state.run_batch(rows, "key", ["at"], lambda: state.limiter(3, 10.0), state.LIMITER_OUT)
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    out = streams.drain(state.run_stream(stream, "key", ["at"], lambda: state.limiter(3, 10.0), state.LIMITER_OUT))
-    want = sorted((r.key, r["at"], r.allowed, r.left) for r in batch.collect())
-    assert sorted((r.key, r["at"], r.allowed, r.left) for r in out.select("key", "at", "allowed", "left").collect()) == want
+def test_parts_streaks_and_run_states(spark):
+    rows = spark.createDataFrame([(1, t, k) for t, k in enumerate("xoxxxoxx")] + [(2, 0, "o"), (None, 0, "x")], "key long, at long, kind string").withColumn("pos", F.col("at"))
+    bad = F.col("kind") == "x"
+    got = windows.since_last(rows.drop("at"), "key", ["pos"], F.col("kind") == "o").filter("key = 1").orderBy("pos").select("part", "at").collect()
+    assert [tuple(r) for r in got] == [(0, 1), (0, 2), (1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2)]
+    assert {tuple(r) for r in windows.streaks(rows, "key", ["at"], bad, 2).collect()} == {(1, 2, 3), (2, 0, 0), (None, 0, 1)}
+    state = F.when(F.col("kind") == "o", "done")
+    got = {r.key: (r.state, r.events, r.total) for r in windows.run_state(rows.filter("key IS NOT NULL"), "key", "at", state, "pos").collect()}
+    assert got == {1: ("done", 2, 1), 2: ("done", 1, 0)}
+
+
+def test_card_class_with_most_usable_cards(spark):
+    page = '<div class="base-search-card"><h3>only a title</h3></div>' + "".join(f'<p class="base-card" data-id="{i}00000"><h3>t{i}</h3><h4>other</h4><h4 class="base-search-card__subtitle">c{i}</h4></p>' for i in range(3))
+    pages = spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None)], "k int, html string")
+    got = boards.cards(pages, "k", "html", *boards.BOARDS["board1"]).collect()
+    assert sorted((r.k, r.title, r.company) for r in got) == [(1, "t0", "c0"), (1, "t1", "c1"), (1, "t2", "c2")]
+
+
+def test_evaluation_of_candidates(spark):
+    schema = "job_id long, title string, role_category string, company_name string, location string, normalized_location string, remote_type string, employment_type string, experience_min int, experience_max int, salary_min double, salary_max double, salary_raw string, description string, required_skills array<string>, preferred_skills array<string>, experience_confidence string, description_confidence string, job_version string"
+    row = (1, "Backend Engineer", "BACKEND", "Acme", "Noida", "Noida", "ONSITE", "FULL_TIME", 0, 1, 5e5, 8e5, None, "x" * 200, ["Python", "FastAPI", "Docker"], ["SQL"], "HIGH", "HIGH", "1")
+    jobs = spark.createDataFrame([row, (2, *row[1:5], None, "REMOTE", *row[7:14], None, None, *row[16:])], schema)
+    good = evaluation.Candidate(1, ["Python", "FastAPI", "Docker", "SQL"], 0, ["Backend Engineer"], preferred_locations=["Delhi"], version="v")
+    bad = evaluation.Candidate(2, ["Cobol"], 9, ["Chef"], excluded_roles=["backend"], preferred_locations=["Pune"], remote_preference=False, excluded_companies=["acme"])
+    got = {(r.profile_id, r.job_id): r for r in evaluation.evaluate(jobs, [good, bad]).collect()}
+    assert got[1, 1].recommendation == "STRONG_MATCH" and got[1, 1].exclusion_reasons == [] and got[1, 1].missing == [] and got[1, 1].verdict == "APPLY"
+    assert got[1, 2].overall_score <= 45 and got[2, 1].recommendation == "SKIP" and len(got[2, 1].exclusion_reasons) == 3
+    cache = spark.createDataFrame([(1, 12.5, "1", "v", evaluation.ALGORITHM), (2, 1.0, "0", "v", evaluation.ALGORITHM)], "job_id long, overall_score double, job_version string, profile_version string, algorithm string")
+    found = {r.job_id: (r.hit, r.overall_score) for r in evaluation.evaluate_cached(jobs, good, cache).collect()}
+    assert found == {1: (True, 12.5), 2: (False, got[1, 2].overall_score)}
+    table = spark.createDataFrame([(5, ["Go"], None), (3, ["Java"], 4)], "profile_id long, skills array<string>, experience_years int")
+    assert [(c.profile_id, c.experience_years) for c in evaluation.candidates_of(table)] == [(3, 4), (5, 0)]
+    with pytest.raises(ValueError):
+        evaluation.candidates_of(table, most=1)
+
+
+def test_place_table_from_a_frame(spark):
+    cities = spark.createDataFrame([("Zurich", "Zürich", "ZH", None), ("winti", "Winterthur", "ZH", "Greater Zürich")], "alias string, city string, state string, metro string")
+    own = places.load_taxonomy(cities)
+    assert each(spark, ["winti / zurich", "Bern"], lambda c: places.normalize_location(c, own)) == ["Winterthur / Zürich", "Bern"]
+    with pytest.raises(ValueError):
+        places.load_taxonomy(cities, most=1)
+
+
+def test_raw_postings_from_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"source": "x", "title": "t", "required_skills": ["a"]}, {"source": "y"}]')
+    got = boards.read_postings(spark, str(tmp_path / "a.json")).orderBy("source").collect()
+    assert [(r.source, r.title, r.required_skills) for r in got] == [("x", "t", ["a"]), ("y", None, None)]
 
 
 def test_components(spark):

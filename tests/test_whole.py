@@ -1,6 +1,7 @@
 """Queries and operators against brute force where a cut would lose rows."""
 
 import datetime
+import math
 import random
 from difflib import SequenceMatcher
 from itertools import combinations
@@ -78,40 +79,94 @@ def test_components_take_every_posting(spark):
     assert {r.node: r.root for r in got} == {p: r for p, r in found.items() if sizes[r] > 1} and len(rows) == Tables(spark, sf).postings.count()
 
 
-def test_fold_compares_only_rows_that_share_a_key(monkeypatch):
+def postings():
+    """Postings that meet on every level, with ties, nulls and empty values."""
     rng = random.Random(3)
-    base = dict(source="a", source_job_id=None, direct=False, posted_at=None)
-    rows = [
-        {**base, "pos": i, "source_url": rng.choice([None, f"u{rng.randrange(60)}"]), "application_url": f"p{rng.randrange(200)}", "job_hash": str(rng.randrange(150)), "normalized_company": f"c{rng.randrange(40)}",
-         "description": f"{rng.choice('xyz')} " * rng.randrange(1, 200), "direct": rng.random() < 0.3, "posted_at": datetime.date(2024, 1, rng.randrange(1, 28))}
-        for i in range(200)
-    ]
-    kept, want = [], {}
-    for r in (dict(r) for r in rows):
-        for i, k in enumerate(kept):
-            level = dedup.duplicate_level(r, k)
-            if level:
-                winner, loser = (k, r) if dedup._better(k, r) else (r, k)
-                want[loser["pos"]] = (winner["pos"], level)
-                kept[i] = winner
-                break
-        else:
-            kept.append(r)
-    compared, test = [], dedup.duplicate_level
-    monkeypatch.setattr(dedup, "duplicate_level", lambda a, b: compared.append((a, b)) or test(a, b))
-    assert dedup.fold([dict(r) for r in rows]) == [(r["pos"], *want.get(r["pos"], (r["pos"], None))) for r in rows]
-    assert all(set(dedup._fold_keys(a)) & set(dedup._fold_keys(b)) for a, b in compared) and compared
-
-
-def test_language_stage_rejects_only_texts_without_a_letter(spark):
-    import corpus_pipeline
-    from postmill.llm import langid
-
-    schema = "doc_id long, text string, lang string"
-    texts = ["the cat and the dog", "²the ½and ²the", "½ ² 12", "", None]
-    for lang in ("en", None):
-        docs = spark.createDataFrame([(i, t, lang if i == 0 else None) for i, t in enumerate(texts)], schema)
-        assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {0, 1}
-    docs = spark.createDataFrame([(0, texts[0], "en"), (1, texts[1], None), (2, texts[2], None)], schema)
-    got = {r.row.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
-    assert got == {0: "en", 1: "en", 2: "und"}
+    words = [f"w{i}" for i in range(60)]
+    bases = [" ".join(rng.choices(words, k=30)) for _ in range(6)]
+    out = []
+    for i in range(160):
+        text = rng.choice([*bases, "", None, rng.choice(bases) + " x" * rng.choice([1, 2, 60])])
+        if text and rng.random() < 0.3:
+            w = text.split()
+            w[rng.randrange(len(w))] = "changed"
+            text = " ".join(w)
+        angle = rng.choice([0.0, 0.1, 0.35, 1.5, 1.6, 3.0])
+        out.append({
+            "pos": i, "source": rng.choice("ab"), "source_job_id": rng.choice([None, "", f"j{rng.randrange(150)}"]), "normalized_company": f"c{rng.randrange(5)}", "normalized_title": f"t{rng.randrange(40)}",
+            "normalized_location": f"l{rng.randrange(4)}", "employment_type": "FULL_TIME", "source_url": rng.choice([None, "", f"u{rng.randrange(120)}"]), "title": f"title {i}",
+            "application_url": rng.choice([None, f"https://careers.x/{rng.randrange(150)}", f"https://linkedin.com/{i}"]), "description": text,
+            "posted_at": rng.choice([None, datetime.datetime(2024, 1, rng.randrange(1, 28))]), "embedding": rng.choice([None, [math.cos(angle), math.sin(angle)]]),
+        })
+    return out
+
+
+POSTING = "pos long, source string, source_job_id string, normalized_company string, normalized_title string, normalized_location string, employment_type string, source_url string, title string, application_url string, description string, posted_at timestamp, embedding array<double>"
+
+
+def brute_fold(rows, vectors):
+    """One posting after another against all canonical ones: final canonical, beaten by, reason, and what each took in."""
+    norm = lambda v: "".join(c for c in (v or "").lower() if c.isascii() and c.isalnum()) if v else "generic"
+    meta = lambda r: tuple(norm(r[k]) for k in ("normalized_company", "normalized_title", "normalized_location", "employment_type", "source_job_id"))
+    direct = lambda r: "careers" in (r["application_url"] or "") and "linkedin.com" not in r["application_url"]
+
+    def why(a, b):
+        equal = lambda k: a[k] and a[k] == b[k]
+        if equal("source_url") or equal("application_url"):
+            return "LEVEL_1_EXACT_URL"
+        if a["source"] == b["source"] and equal("source_job_id"):
+            return "LEVEL_2_SOURCE_JOB_ID"
+        if meta(a) == meta(b):
+            return "LEVEL_3_NORMALIZED_METADATA"
+        if a["normalized_company"] != b["normalized_company"]:
+            return None
+        x, y = ((r["description"] or "").lower() for r in (a, b))
+        u, v = set(x.split()), set(y.split())
+        if u and v and len(u & v) / len(u | v) >= 0.65 and (ratio := SequenceMatcher(None, x[:500], y[:500]).ratio()) >= 0.85:
+            return f"LEVEL_4_FUZZY_DESCRIPTION ({round(ratio, 2)})"
+        if vectors and a["embedding"] and b["embedding"] and (cos := sum(p * q for p, q in zip(a["embedding"], b["embedding"]))) >= 0.92:
+            return f"LEVEL_5_EMBEDDING_SIMILARITY ({round(cos, 2)})"
+        return None
+
+    def beats(new, old):
+        if direct(new) != direct(old):
+            return direct(new)
+        more = len(new["description"] or "") - len(old["description"] or "")
+        if abs(more) > 100:
+            return more > 0
+        return bool(new["posted_at"] and old["posted_at"] and new["posted_at"] > old["posted_at"])
+
+    slots, slot_of, lost, took = [], {}, {}, {}
+    for r in rows:
+        at, reason = next(((i, w) for i, c in enumerate(slots) if (w := why(r, c))), (len(slots), None))
+        slot_of[r["pos"]] = at
+        if reason is None:
+            slots.append(r)
+            continue
+        winner, loser = (r, slots[at]) if beats(r, slots[at]) else (slots[at], r)
+        slots[at], lost[loser["pos"]] = winner, (winner["pos"], reason)
+        own = took.setdefault(winner["pos"], [])
+        if all(o["source_url"] != loser["source_url"] for o in own):
+            own.append(loser)
+    return {p: (slots[i]["pos"], *lost.get(p, (None, None))) for p, i in slot_of.items()}, {c["pos"]: took[c["pos"]] for c in slots if c["pos"] in took}
+
+
+def test_fold_against_one_posting_after_another(spark):
+    rows = postings()
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in POSTING.split(", ")) for r in rows], POSTING)
+    for vectors in (False, True):
+        want, took = brute_fold(rows, vectors)
+        folded = dedup.deduplicate(df, vectors)
+        assert {r.pos: (r.canonical, r.merged_into, r.reason) for r in folded.collect()} == want
+        levels = {w[2][:7] for w in want.values() if w[2]}
+        assert levels == {f"LEVEL_{i}" for i in range(1, 5 + vectors)}
+        got = {r.pos: [o.source_url or None for o in r.other_sources] for r in dedup.merged_sources(df, folded).collect()}
+        plain = lambda urls: [u for i, u in enumerate(urls) if u not in urls[:i]]
+        assert got == {p: plain([o["source_url"] or None for o in own]) for p, own in took.items()}
+        audit = {r.pos: (r.duplicate_title, r.canonical_title, r.reason) for r in dedup.merge_audit(df, folded).collect()}
+        assert audit == {p: (f"title {p}", f"title {w[1]}", w[2]) for p, w in want.items() if w[1] is not None}
+    first, _ = brute_fold(rows, False)
+    second, _ = brute_fold([r for r in rows if first[r["pos"]][1] is None], True)
+    want = second | {p: (second[w[0]][0], *w[1:]) for p, w in first.items() if w[1] is not None}
+    assert {r.pos: (r.canonical, r.merged_into, r.reason) for r in dedup.deduplicate_in_stages(df).collect()} == want
+    assert dedup.deduplicate_in_stages(df.limit(0)).count() == 0
