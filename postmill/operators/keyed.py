@@ -131,6 +131,13 @@ def active_latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("is_active", F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)
 
 
+def status_upsert(old: DataFrame, new: DataFrame, keys: list[str], at: str, allowed: list[str], gone: str | None = None) -> DataFrame:
+    """keys, status: the stored status, replaced by the latest allowed one of new; a key whose status becomes ``gone`` is deleted."""
+    valid = best_per(new.filter(F.col("status").isin(allowed)), keys, F.desc(at)).select(*keys, F.col("status").alias("told"))
+    both = old.select(*keys, "status").join(valid, keys, "full_outer").select(*keys, F.coalesce("told", "status").alias("status"))
+    return both.filter(F.col("status") != gone) if gone else both
+
+
 def bounded(limit: int | None, default: int, most: int) -> int:
     """A row limit within 1 and most."""
     return max(1, min(most, default if limit is None else limit))

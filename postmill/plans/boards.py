@@ -25,6 +25,12 @@ def s2_by_url(t: Tables) -> DataFrame:
     return boards.by_url(t.postings, "https://acme.example/careers/10").select("job_id")
 
 
+@query("SELECT job_id FROM postings WHERE contains(lower(title), 'backend') OR contains(lower(title), 'data engineer') OR contains(lower(title), 'react')", "postings")
+def s18_planned_search(t: Tables) -> DataFrame:
+    terms = boards.search_terms(" Backend ", ["Data Engineer"], ["react"], 8)
+    return boards.search(t.postings, roles=terms).select("job_id")
+
+
 def listing(t: Tables) -> DataFrame:
     """Listing pages, one per user: a card per event."""
     card = F.concat(

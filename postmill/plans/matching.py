@@ -206,13 +206,14 @@ def k4_tail(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT user_id, job_id, status, event_id FROM saved_jobs WHERE status <> 'VIEWED' QUALIFY row_number() OVER (PARTITION BY user_id, job_id ORDER BY event_id DESC) = 1)
-    SELECT user_id, job_id, status FROM n WHERE status <> 'IGNORED'""",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, job_id, event_id % 2 ORDER BY event_id DESC) AS k FROM saved_jobs WHERE event_id % 2 = 0 OR status <> 'VIEWED'),
+    o AS (SELECT * FROM r WHERE k = 1 AND event_id % 2 = 0), n AS (SELECT * FROM r WHERE k = 1 AND event_id % 2 = 1)
+    SELECT user_id, job_id, coalesce(n.status, o.status) AS status FROM o FULL JOIN n USING (user_id, job_id) WHERE coalesce(n.status, o.status) <> 'IGNORED'""",
     "saved_jobs",
 )
 def k6_status_upsert(t: Tables) -> DataFrame:
-    latest = keyed.best_per(t.saved_jobs.filter("status <> 'VIEWED'"), ["user_id", "job_id"], F.desc("event_id"))
-    return latest.filter("status <> 'IGNORED'").select("user_id", "job_id", "status")
+    old = keyed.best_per(t.saved_jobs.filter("event_id % 2 = 0"), ["user_id", "job_id"], F.desc("event_id"))
+    return keyed.status_upsert(old, t.saved_jobs.filter("event_id % 2 = 1"), ["user_id", "job_id"], "event_id", ["SAVED", "APPLIED", "INTERVIEW", "IGNORED"], gone="IGNORED")
 
 
 @query(
