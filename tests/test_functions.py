@@ -133,6 +133,16 @@ def test_raw_postings_from_files(spark, tmp_path):
     assert [(r.source, r.title, r.required_skills) for r in got] == [("x", "t", ["a"]), ("y", None, None)]
 
 
+def test_search_planning_of_boards():
+    assert boards.keyword_terms(" Go ", ["A"], ["react"], 1) == ["Go"] and boards.keyword_terms(None, ["A", "B", "C"], [], 1) == ["A", "B"]
+    assert boards.keyword_terms(None, [], ["React", "zig", " "], 24) == [*boards.CORE_ROLES, "react", "react.js", "reactjs", "zig"]
+    assert boards.keyword_terms("x", ["A", "x"], ["js"], 4) == ["x", "A", "javascript", "js"]
+    assert boards.category_paths("python", [], [], 1) == ["/jobs/computer-science-jobs/", "/internships/software-development-internship/"]
+    assert boards.category_paths(None, [], ["django"], 24, ("jobs",)) == ["/jobs/python-django-jobs/", "/jobs/computer-science-jobs/", "/jobs/full-stack-development-jobs/"]
+    assert boards.category_paths(None, ["Data Science"], [], 24) == ["/jobs/machine-learning-jobs/", "/internships/data-science-internship/", "/internships/machine-learning-internship/"]
+    assert len(boards.category_paths("tech", [], [], 24)) == 16 and len(boards.category_paths("tech", [], [], 4)) == 4
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(0, 40)] + [(101, 100)], "later long, earlier long")
     assert {r.node: r.root for r in dedup.components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
