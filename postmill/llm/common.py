@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,32 @@ WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
+#: Rows of an Arrow batch, where the session has not set them: whole texts travel, and both sides hold a batch.
+BATCH_ROWS = 2_000
+#: What empties the caches of this package's modules.
+CACHES: list[Callable[[], None]] = []
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving memory back at the end of a task: its worker lives on beside those of other stages."""
+
+    def whole_task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            for clear in CACHES:
+                clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every C library has it
+                pass
+
+    return whole_task
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
@@ -24,23 +52,25 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     """
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="postmill-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/postmill/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, level: int = 3) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends, a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once per application, so none depends on its own import path."""
-    sc = spark.sparkContext
+    """Sends this package to the Python workers once per application, so none depends on its own import path, and bounds Arrow batches."""
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # Spark's default
+        spark.conf.set(rows, str(BATCH_ROWS))
     if getattr(sc, "_postmill_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]

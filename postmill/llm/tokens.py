@@ -20,12 +20,13 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import CACHES
+
 #: Pieces remembered per generation in a worker process (some 80 MB); of two generations the older goes.
 REMEMBERED = 450_000
 
@@ -153,7 +154,21 @@ def slices(texts: pa.StringArray, most: int = 6_000_000) -> Iterator[slice]:
         at = end
 
 
-@lru_cache(maxsize=2)
+_encoders: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    return Encoder(path)
+    """The last one asked for is kept in the worker process, with its pieces until the task ends."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _forget() -> None:
+    for e in _encoders.values():
+        e.words.clear()
+        e.words.older = {}
+
+
+CACHES.append(_forget)
