@@ -4,6 +4,10 @@ A media value is a WAV file (binary) whose data chunk holds the coded bytes unch
 bit for bit. ``decode`` gives 16-bit PCM; ``resample`` doubles the rate by linear interpolation. ADPCM is sequential
 within a block only: all blocks of a batch, whatever document they are from, take each step together.
 
+``store`` writes media and resampled PCM of a row into one table; ``read`` gets both back. PCM is stored without loss in
+a packed form, as lossless audio formats do: every second sample, as the number of its level where all are levels of one
+companding law, and only those other samples that differ from the middle of their neighbours.
+
 Defined cases: a null payload is an empty one; a partial last ADPCM block is padded with zeros for decoding and its
 samples beyond the data are dropped; a media value of another format or a damaged header raises; repeated rows give
 equal values; an empty table gives no rows.
@@ -136,10 +140,45 @@ def resample(pcm: np.ndarray) -> np.ndarray:
     """Twice the rate: each sample, then the mean with the next (the last repeats)."""
     out = np.empty(2 * len(pcm), np.int16)
     out[::2] = pcm
-    wide = pcm.astype(np.int32)
-    out[1:-1:2] = (wide[:-1] + wide[1:]) >> 1
-    if len(pcm):
-        out[-1] = pcm[-1]
+    out[1::2] = between(pcm)
+    return out
+
+
+#: Sorted levels of the two laws, by the number that names them in packed PCM.
+LEVELS = {1: np.unique(MULAW), 2: np.unique(ALAW)}
+
+
+def between(base: np.ndarray) -> np.ndarray:
+    """The sample between each and the next: their mean, rounded down; the last repeats."""
+    wide = base.astype(np.int32)
+    return ((wide + np.append(wide[1:], wide[-1:])) >> 1).astype(np.int16)
+
+
+def pack_pcm(pcm: np.ndarray) -> bytes:
+    """16-bit PCM of any length: law or 0, number of samples and of odd ones out, base samples, places and values of those."""
+    base, rest = pcm[::2], pcm[1::2]
+    middle = between(base)[: len(rest)]
+    off = np.flatnonzero(rest != middle)
+    plain = base.astype("<i2").tobytes()
+    law = 0
+    for name, levels in LEVELS.items():
+        at = np.minimum(np.searchsorted(levels, base), len(levels) - 1)
+        if (levels[at] == base).all():
+            law, plain = name, at.astype(np.uint8).tobytes()
+            break
+    return struct.pack("<BII", law, len(pcm), len(off)) + plain + off.astype("<u4").tobytes() + rest[off].astype("<i2").tobytes()
+
+
+def unpack_pcm(data: bytes) -> np.ndarray:
+    law, n, n_off = struct.unpack_from("<BII", data)
+    n_base, at = (n + 1) // 2, 9
+    base = LEVELS[law][np.frombuffer(data, np.uint8, n_base, at)] if law else np.frombuffer(data, "<i2", n_base, at)
+    at += n_base * (1 if law else 2)
+    out = np.empty(n, np.int16)
+    out[::2] = base
+    out[1::2] = between(base)[: n // 2]
+    places = np.frombuffer(data, "<u4", n_off, at)
+    out[2 * places.astype(np.int64) + 1] = np.frombuffer(data, "<i2", n_off, at + 4 * n_off)
     return out
 
 
@@ -155,22 +194,27 @@ def batches_of(payloads: list, most: int = 1 << 23) -> Iterator[slice]:
         yield slice(first, len(payloads))
 
 
+#: Compression level of the stored table: PCM repeats what the coded bytes say, which a longer search finds.
+STORED_LEVEL = 9
+
+
 def store(rows, codec_of, folder_tag: str = "media"):
-    """rows: doc_id, payload (binary) -> doc_id, n_bytes, media; written to the shared folder and read again."""
-    from .common import materialise, ship
+    """rows: doc_id, payload (binary) -> doc_id, n_bytes, media, pcm (resampled, packed); written to the shared folder and read again."""
+    from .common import materialise, ship, tidy
 
     ship(rows.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("pcm", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads = [p.as_py() or b"" for p in batch.column("payload")]
-            for part in batches_of(payloads):
-                coded = [padded(p) for p in payloads[part]]
+            sizes = [p.as_py() or b"" for p in batch.column("payload")]
+            for part in batches_of(sizes, 1 << 21):
+                coded = [padded(p) for p in sizes[part]]
                 media = [to_wav(codec_of(c), c) for c in coded]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], pa.array([len(p) for p in payloads[part]], pa.int64()), pa.array(media, pa.binary())], schema=schema)
+                pcm = [pack_pcm(resample(x)) for x in decode([from_wav(m) for m in media])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part.start : part.stop], pa.array([len(p) for p in sizes[part]], pa.int64()), pa.array(media, pa.binary()), pa.array(pcm, pa.binary())], schema=schema)
 
-    return materialise(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), folder_tag)
+    return materialise(rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary, pcm binary"), folder_tag, STORED_LEVEL)
 
 
 #: Payloads are padded with this byte to a positive multiple of so many bytes: whole ADPCM blocks.
@@ -181,14 +225,14 @@ def padded(payload: bytes) -> bytes:
     return payload + PAD * (-len(payload) % UNIT if payload else UNIT)
 
 
-def with_pcm(media, measure=None):
-    """media: doc_id, n_bytes, media -> those, payload (read back), codec and pcm: 16-bit at twice the rate (binary).
+def read(stored, measure=None):
+    """stored: doc_id, n_bytes, media, pcm -> doc_id, n_bytes, media, payload and codec (from media), and pcm: 16-bit at twice the rate (binary).
 
     With measure (bytes of PCM -> string) the PCM is reduced inside the task and the column is ``feature`` instead.
     """
-    from .common import ship
+    from .common import ship, tidy
 
-    ship(media.sparkSession)
+    ship(stored.sparkSession)
     last = ("pcm", pa.binary()) if measure is None else ("feature", pa.string())
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("codec", pa.string()), last])
 
@@ -196,12 +240,12 @@ def with_pcm(media, measure=None):
         for batch in batches:
             values = batch.column("media").to_pylist()
             for part in batches_of(values, 1 << 21):
-                read = [from_wav(m) for m in values[part]]
-                pcm = [resample(x).tobytes() for x in decode(read)]
+                known = [from_wav(m) for m in values[part]]
+                pcm = [unpack_pcm(p.as_py()).tobytes() for p in batch.column("pcm")[part.start : part.stop]]
                 out = pcm if measure is None else [measure(x) for x in pcm]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[part.start : part.stop] for c in ("doc_id", "n_bytes", "media")), pa.array([p for _, p in read], pa.binary()), pa.array([c for c, _ in read], pa.string()), pa.array(out, last[1])], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[part.start : part.stop] for c in ("doc_id", "n_bytes", "media")), pa.array([p for _, p in known], pa.binary()), pa.array([c for c, _ in known], pa.string()), pa.array(out, last[1])], schema=schema)
 
-    return media.mapInArrow(run, f"doc_id long, n_bytes long, media binary, payload binary, codec string, {last[0]} {'binary' if measure is None else 'string'}")
+    return stored.mapInArrow(tidy(run), f"doc_id long, n_bytes long, media binary, payload binary, codec string, {last[0]} {'binary' if measure is None else 'string'}")
 
 
 def features(pcm: bytes) -> str:
