@@ -4,6 +4,8 @@ A text is cut where its own content says so: at the first sentence or line end a
 characters. Chunks are reduced to identifiers (64-bit hashes); one pass over the distinct chunks verifies that
 every identifier stands for one content, and an identifier that does not gets an ordinal per content. Two texts
 are equal exactly when their ordered identifier lists are, so only lists are compared and shuffled from there on.
+Groups come from two partial aggregations, and only lists that occur twice are joined back to the rows, from a table of
+their own: a join of two plain shuffles, which adaptive execution may split where a list is frequent.
 
 Defined cases: a null text is the empty text (an empty recipe); rows are documents; a null doc_id ranks below every
 other; of rows with equal text and equal largest doc_id one stays (smallest lang, source, nulls first where present);
@@ -46,7 +48,7 @@ def _ordinals(pairs: DataFrame) -> DataFrame | None:
 
 
 def recipes(docs: DataFrame, least: int = MIN, most: int = MAX, bits: int = 64) -> DataFrame:
-    """doc_id, tie (lang and source where present), recipe array<struct<h,k>>, text_sha256."""
+    """doc_id, tie (lang and source where present), rid (unique), recipe array<struct<h,k>>, text_sha256."""
     tie = F.struct(*[F.col(c).cast("string").alias(c) for c in ("lang", "source") if c in docs.columns] or [F.lit(0).alias("none")])
     base = docs.select("doc_id", tie.alias("tie"), whole().alias("text"))
     parts = chunks(F.col("text"), least, most)
@@ -55,35 +57,43 @@ def recipes(docs: DataFrame, least: int = MIN, most: int = MAX, bits: int = 64)
     sha = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     if clash is None:
         lists = F.transform(parts, lambda c: F.struct(identifier(c, bits).alias("h"), F.lit(0).alias("k")))
-        return base.select("doc_id", "tie", lists.alias("recipe"), sha)
-    rows = base.withColumn("row", F.struct(F.col("doc_id"), F.monotonically_increasing_id()))
-    rows = materialise(rows, "chunk-rows")
+        return base.select("doc_id", "tie", F.monotonically_increasing_id().alias("rid"), lists.alias("recipe"), sha)
+    rows = materialise(base.withColumn("rid", F.monotonically_increasing_id()), "chunk-rows")
     found = (
-        rows.select("row", F.posexplode(parts).alias("pos", "chunk"))
+        rows.select("rid", F.posexplode(parts).alias("pos", "chunk"))
         .withColumn("h", identifier(F.col("chunk"), bits))
         .join(clash, ["h", "chunk"], "left")
-        .groupBy("row")
+        .groupBy("rid")
         .agg(F.sort_array(F.collect_list(F.struct("pos", F.struct("h", F.coalesce("k", F.lit(0)).alias("k")).alias("id")))).alias("ids"))
     )
     empty = F.array().cast("array<struct<h:bigint,k:int>>")
-    return rows.join(found, "row", "left").select("doc_id", "tie", F.coalesce(F.transform("ids", lambda x: x["id"]), empty).alias("recipe"), sha)
+    return rows.join(found, "rid", "left").select("doc_id", "tie", "rid", F.coalesce(F.transform("ids", lambda x: x["id"]), empty).alias("recipe"), sha)
 
 
 def mark_copies(docs: DataFrame, least: int = MIN, most: int = MAX, bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
     lists = materialise(recipes(docs, least, most, bits), "recipes")
-    groups = lists.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    same = Window.partitionBy("recipe", "doc_id").orderBy("tie")
-    out = lists.withColumn("turn", F.row_number().over(same)).join(groups, "recipe")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
+    by_id = lists.groupBy("recipe", "doc_id").agg(F.min(F.struct("tie", "rid")).alias("first"), F.count("*").alias("n"))
+    groups = by_id.groupBy("recipe").agg(F.max(F.struct("doc_id", "first.rid")).alias("keep"), F.sum("n").alias("group_size")).filter("group_size > 1")
+    several = materialise(groups.select(F.col("recipe").alias("of"), "keep", "group_size"), "copy-groups")
+    out = lists.join(several, F.col("recipe") == F.col("of"), "left")
+    keep_id = F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id"))
+    kept = F.col("keep").isNull() | (F.col("rid") == F.col("keep.rid"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without rows whose text another row keeps; columns as they came. Texts move once."""
-    kept = mark_copies(docs.select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns])).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__own", F.sha2(whole().cast("binary"), 256))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    ties = [F.col(c).cast("string") for c in ("lang", "source") if c in docs.columns]
-    first = Window.partitionBy("doc_id", "__own").orderBy(*ties or [F.lit(0)])
-    return rows.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").select(*docs.columns)
+    marked = materialise(mark_copies(docs.select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns])), "marked-copies")
+    kept = marked.filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(own, F.sha2(whole().cast("binary"), 256).alias("own"))
+    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha")), "left_semi")
+    again = marked.groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    again = materialise(again, "repeated-copies")
+    if not again.isEmpty():  # one row of those with equal doc_id and text stays
+        on = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha"))
+        ties = [F.col(f"row.{c}").cast("string") for c in ("lang", "source") if c in docs.columns] or [F.lit(0)]
+        twice = rows.join(again, on, "left_semi").groupBy("row.doc_id", "own").agg(F.min_by("row", F.struct(*ties)).alias("row"))
+        rows = rows.join(again, on, "left_anti").select("row").unionByName(twice.select("row"))
+    return rows.select("row.*")
