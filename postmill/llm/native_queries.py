@@ -85,7 +85,7 @@ SQL = {
         t AS (SELECT source, source_size, least(cap, coalesce(free * w, cap)) AS target,
                      ('0x' || substr(md5('{SEED}' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS shift FROM v, f),
         p AS (SELECT d.*, row_number() OVER (PARTITION BY source
-                ORDER BY length(bin(size)), coalesce(((doc_id % k) + k) % k, -1), size, doc_id) AS place
+                ORDER BY length(bin(size)), ((doc_id % k) + k) % k, size, doc_id) AS place
               FROM d, (SELECT count(*) // {SLICE} + 1 AS k FROM documents)),
         e AS (SELECT p.*, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS each
               FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
