@@ -1,7 +1,7 @@
 """Packing of documents into sequences: first-fit decreasing with a tournament tree, within randomised groups.
 
 A document's ids (with an end id) are cut at multiples of the sequence length. Pieces are dealt by a hash into groups
-of about ``group`` pieces; each group is packed alone: pieces by falling length, each into the first bin with room,
+of about ``group`` pieces (equal pieces of a task are numbered, so that repeated rows part too); each group is packed alone: pieces by falling length, each into the first bin with room,
 which a tournament tree over the bins' free room finds in logarithmic time. Groups are independent, so packing needs
 one shuffle and no task ever holds more than a group.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, ship, volume
+from .common import ceil_div, ship, tidy, volume
 from .tokens import encoder, slices
 
 LENGTH, GROUP = 1024, 4096
@@ -50,22 +50,25 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit): each id lies in exactly one piece."""
+    """doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), turn (of equal rows of a task): each id lies in exactly one piece."""
     ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("turn", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = encoder(tokenizer), np.array([end_id], "<u4")
+        seen: dict[int, int] = {}  # rows alike can swap their turns, so a task that runs again deals the same pieces
         for batch in batches:
             for part in slices(batch.column("text")):
                 ids = known.batch(batch.column("text")[part.start : part.stop])
                 rows = []
                 for doc, own in zip(batch.column("doc_id")[part.start : part.stop].to_pylist(), ids):
                     own = np.concatenate([own, last])
-                    rows += [(doc, s, min(length, len(own) - s), len(own), own[s : s + length].tobytes()) for s in range(0, len(own), length)]
+                    alike = hash((doc, own.tobytes()))
+                    turn = seen[alike] = seen.get(alike, -1) + 1
+                    rows += [(doc, s, min(length, len(own) - s), len(own), own[s : s + length].tobytes(), turn) for s in range(0, len(own), length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, start long, length long, doc_tokens long, ids binary, turn int")
 
 
 def pack(pieces: DataFrame, groups: int, length: int = LENGTH, seed: int = 1) -> DataFrame:
@@ -76,9 +79,9 @@ def pack(pieces: DataFrame, groups: int, length: int = LENGTH, seed: int = 1) ->
         order = np.lexsort((rows["ids"].map(hash_of), rows["start"], rows["doc_id"].fillna(-1), -rows["length"]))
         rows = rows.iloc[order]
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), length)
-        return rows.drop(columns="part").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+        return rows.drop(columns=["part", "turn"]).assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids"), F.lit(groups)).alias("part")
+    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids", "turn"), F.lit(groups)).alias("part")
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
     return pieces.select("*", part).groupBy("part").applyInPandas(run, schema)
 
