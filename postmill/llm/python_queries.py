@@ -30,7 +30,7 @@ def codec_of(payload: bytes) -> str:
 
 def op2_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
-    heard = audio.with_pcm(audio.store(rows, codec_of), audio.features)
+    heard = audio.read(audio.store(rows, codec_of), audio.features)
     return heard.select(
         "doc_id",
         "n_bytes",
@@ -60,13 +60,13 @@ def held_out(c: str = "doc_id") -> Column:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.filter(~held_out()))
-    found = langid.predict(docs.select("doc_id", "text"), model)
+    found = langid.predict(docs, model, ["doc_id"], with_spans=False)
     return found.select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
-    read = tokenfile.read_files(spark, manifest)
+    read = tokenfile.read_files(manifest)
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 

@@ -10,7 +10,8 @@ its number, first under a temporary name, so a task that runs again replaces its
 pyarrow's file systems by URI.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes first and stays null; rows of one doc_id
-go by text; an empty table gives no files; other columns are ignored.
+go by text and share a file; an empty table gives no files; other columns are ignored. The manifest is a table, and a
+file's first position is a prefix sum worked out in Spark.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ceil_div, shared_dir, ship, volume
+from .common import ceil_div, materialise, shared_dir, ship, tidy, volume
 from .tokens import encoder, slices
 
 #: Fixed values of the format.
@@ -33,6 +34,8 @@ SKIPPABLE, SEEKABLE, HAS_CHECKSUM = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME_BYTES = 1 << 18
 CHARS_PER_FILE = 24_000_000
+#: Most tasks that read files; each reads several beyond that.
+READERS = 20_000
 
 
 def _open(uri: str):
@@ -131,8 +134,8 @@ class FrameReader:
             yield int(self.doc_ids[row]) if self.there[row] else None, int(starts[row]), plain[at : at + 4 * int(self.lengths[row])]
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, files: int) -> list[dict]:
-    """Writes and returns the manifest: path, docs, tokens, start of each file in order. Its size is the number of files."""
+def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, files: int) -> DataFrame:
+    """Writes the files and returns the manifest, a table: part, path, docs, tokens, start of each file in order."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +160,23 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, files
             yield pa.RecordBatch.from_pydict({"part": [number], "name": [name.rpartition("/")[2]], "docs": [len(writer.lengths)], "tokens": [int(sum(writer.lengths))]})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    written = sorted(rows.mapInArrow(run, "part long, name string, docs long, tokens long").collect(), key=lambda r: r["part"])
-    manifest, start = [], 0
-    for r in written:
-        manifest.append({"path": f"{folder}/{r['name']}", "docs": r["docs"], "tokens": r["tokens"], "start": start})
-        start += r["tokens"]
-    return manifest
+    written = materialise(rows.mapInArrow(tidy(run), "part long, name string, docs long, tokens long"), "token-manifest")
+    return with_starts(written).select("part", F.concat(F.lit(f"{folder}/"), "name").alias("path"), "docs", "tokens", "start")
 
 
-def read_files(spark, manifest: list[dict], wanted: Iterable[int] | None = None) -> DataFrame:
+def with_starts(files: DataFrame, block: int = 1_000) -> DataFrame:
+    """files (part, tokens) with start: tokens of all files before, block by block, so no task orders all of them."""
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.withColumn("block", F.floor(F.col("part") / block))
+    # One row per thousand files meets here.
+    blocks = files.groupBy("block").agg(F.sum("tokens").alias("tokens")).select("block", before(Window.orderBy("block")).alias("first"))
+    within = files.withColumn("within", before(Window.partitionBy("block").orderBy("part")))
+    return within.join(blocks, "block").withColumn("start", F.col("first") + F.col("within"))
+
+
+def read_files(manifest: DataFrame, wanted: Iterable[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids: all documents, or those of the wanted ids."""
-    ship(spark)
+    ship(manifest.sparkSession)
     wanted = None if wanted is None else sorted(set(wanted))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
@@ -186,10 +195,10 @@ def read_files(spark, manifest: list[dict], wanted: Iterable[int] | None = None)
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    files = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start long")
-    return files.repartition(max(1, len(manifest))).mapInArrow(run, "doc_id long, start long, ids binary")
+    tasks = max(1, min(READERS, manifest.count()))
+    return manifest.select("path", "start").repartition(tasks).mapInArrow(tidy(run), "doc_id long, start long, ids binary")
 
 
-def write_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, chars_per_file: int = CHARS_PER_FILE) -> list[dict]:
+def write_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, chars_per_file: int = CHARS_PER_FILE) -> DataFrame:
     _, chars = volume(docs)
     return write_files(docs, tokenizer, end_id, shared_dir(docs.sparkSession, "token-files"), ceil_div(chars, chars_per_file))
