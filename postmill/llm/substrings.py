@@ -1,6 +1,6 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark, merged into removal intervals.
 
-1. Documents are dealt into blocks by a hash of their id. A block hashes all its windows with one prefix sum (powers of
+1. Documents are dealt into blocks by a hash of their id and text. A block hashes all its windows with one prefix sum (powers of
    an odd base modulo 2**64 over 64-bit word hashes) and keeps the first of equal windows. Hashes go to buckets by
    their top bits, as one row per (block, bucket): eight bytes a window less what the bucket says, and document ids.
 2. Spark brings a bucket together; every window there that a smaller (doc_id, start) also has is marked. The answer to
@@ -12,7 +12,8 @@ windows, so their number grows with the data and no group does.
 
 Defined cases: a null or empty text has no words and stays empty; a text shorter than a window loses nothing; rows
 that share a doc_id are ordered by text; null doc_ids come first, among themselves by block and text; an empty table
-gives no rows; other columns are ignored. Two windows count as equal when their 64-bit hashes are.
+gives no rows; other columns are ignored. Two windows count as equal when two independent hashes of theirs, 80 bits in
+all, are equal.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ceil_div, ship, volume
+from .common import CACHES, ceil_div, ship, volume
 
 WINDOW = 20
 BLOCK_CHARS, BUCKET_WINDOWS = 6_000_000, 400_000
@@ -31,6 +32,8 @@ BLOCK_CHARS, BUCKET_WINDOWS = 6_000_000, 400_000
 REMEMBERED = 300_000
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+SECOND = 0xD6E8FEB86659FD93
+SECOND_INVERSE = pow(SECOND, -1, 1 << 64)
 
 
 class WordHashes(dict):
@@ -44,6 +47,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+CACHES.append(_hashes.clear)
 
 
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -69,19 +73,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def rolling(h: np.ndarray, width: int) -> np.ndarray:
+def rolling(h: np.ndarray, width: int, base: int = BASE, inverse: int = BASE_INVERSE) -> np.ndarray:
     """Rabin-Karp hash of h[i : i + width] for every i, by differences of one prefix sum."""
     if len(h) < width:
         return np.empty(0, np.uint64)
-    up = np.full(len(h), BASE, np.uint64)
+    up = np.full(len(h), base, np.uint64)
     up[0] = 1
     up = np.cumprod(up)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
-    down = np.full(len(h) - width + 1, BASE_INVERSE, np.uint64)
+    down = np.full(len(h) - width + 1, inverse, np.uint64)
     down[0] = 1
     return mix((total[width:] - total[:-width]) * np.cumprod(down))
 
 
+def equal_runs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal windows together, those of one kind as they came, and whether each equals the one before it there."""
+    order = np.argsort(first, kind="stable")
+    same = first[order[1:]] == first[order[:-1]]
+    if (same & (second[order[1:]] != second[order[:-1]])).any():  # the first hash alone does not tell them apart
+        order = np.lexsort((second, first))
+        same = (first[order[1:]] == first[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+    return order, same
+
+
 class Block:
     """The documents of one block, in order, with their windows."""
 
@@ -91,17 +105,16 @@ class Block:
         self.texts = [r[1] for r in rows]
         h, self.lengths = word_hashes(pa.array(self.texts, pa.string()))
         ends = np.cumsum(self.lengths)
-        hashes = rolling(h, width)
+        hashes, seconds = rolling(h, width), rolling(mix(h), width, SECOND, SECOND_INVERSE).astype(np.uint16)
         # Windows that lie in one document, by their place among the block's words.
         left = np.repeat(ends, self.lengths)[: len(hashes)] - np.arange(len(hashes))
         self.starts = np.flatnonzero(left >= width)
-        self.hashes = hashes[self.starts]
+        self.hashes, self.seconds = hashes[self.starts], seconds[self.starts]
         self.docs = np.repeat(np.arange(len(rows)), np.maximum(self.lengths - width + 1, 0))
-        order = np.argsort(self.hashes, kind="stable")
-        same = np.zeros(len(order), bool)
-        same[order[1:]] = self.hashes[order[1:]] == self.hashes[order[:-1]]
-        self.later = same  # an earlier window of this block has the same words
-        self.sent = np.flatnonzero(~same)
+        order, same = equal_runs(self.hashes, self.seconds)
+        self.later = np.zeros(len(order), bool)  # an earlier window of this block has the same words
+        self.later[order[1:]] = same
+        self.sent = np.flatnonzero(~self.later)
 
     def buckets(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the windows sent, by bucket and then order; the bucket of each."""
@@ -110,18 +123,22 @@ class Block:
         return self.sent[order], own[order]
 
 
-#: Bytes kept of a hash: the rest is in the bucket's number, which has eight bits at least.
-TAIL = 7
+#: Bytes kept of the first hash, whose other bits are in the bucket's number (eight bits at least), and of both.
+TAIL, BOTH = 7, 9
 
 
-def _pack(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAIL]).tobytes()
+def _pack(first: np.ndarray, second: np.ndarray) -> bytes:
+    out = np.empty((len(first), BOTH), np.uint8)
+    out[:, :TAIL] = first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAIL]
+    out[:, TAIL:] = second.astype("<u2").view(np.uint8).reshape(-1, 2)
+    return out.tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // TAIL, 8), np.uint8)
-    out[:, :TAIL] = np.frombuffer(data, np.uint8).reshape(-1, TAIL)
-    return out.view("<u8")[:, 0]
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, BOTH)
+    first = np.zeros((len(rows), 8), np.uint8)
+    first[:, :TAIL] = rows[:, :TAIL]
+    return first.view("<u8")[:, 0], np.ascontiguousarray(rows[:, TAIL:]).view("<u2")[:, 0]
 
 
 def find_and_cut(docs: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
@@ -132,7 +149,7 @@ def find_and_cut(docs: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_
     _, chars = volume(docs)
     blocks = ceil_div(chars, block_chars)
     bits = max(8, (ceil_div(chars / 6, bucket_windows) - 1).bit_length())
-    place = F.pmod(F.coalesce(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(0)), F.lit(blocks)).cast("int")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", place)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
@@ -145,22 +162,21 @@ def find_and_cut(docs: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             out["bucket"].append(int(own[a]))
             out["docs"].append(small.compress(np.diff(ids[block.docs[index[a:b]]], prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()))
-            out["hashes"].append(_pack(block.hashes[index[a:b]]))
+            out["hashes"].append(_pack(block.hashes[index[a:b]], block.seconds[index[a:b]]))
         return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array([key[0].as_py()] * len(out["bucket"]), pa.int32()), "docs": pa.array(out["docs"], pa.binary()), "hashes": pa.array(out["hashes"], pa.binary())})
 
     def judge(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         plain = zstandard.ZstdDecompressor()
         hashes = [_unpack(x) for x in table.column("hashes").to_pylist()]
-        sizes = [len(x) for x in hashes]
+        sizes = [len(x) for x, _ in hashes]
         docs_of = [np.cumsum(np.ascontiguousarray(np.frombuffer(plain.decompress(x), np.uint8).reshape(8, -1).T).view("<i8")[:, 0]) for x in table.column("docs").to_pylist()]
-        h, d = np.concatenate(hashes), np.concatenate(docs_of)
-        order = np.argsort(h, kind="stable")
-        equal = h[order[1:]] == h[order[:-1]]
+        h, second, d = (np.concatenate(x) for x in (*zip(*hashes), docs_of))
+        order, equal = equal_runs(h, second)
         shared = order[np.concatenate([equal, [False]]) | np.concatenate([[False], equal])]
         shared = np.sort(shared)  # by block, then place
-        shared = shared[np.lexsort((d[shared], h[shared]))]
-        first = np.concatenate([[True], h[shared[1:]] != h[shared[:-1]]]) if len(shared) else np.empty(0, bool)
+        shared = shared[np.lexsort((d[shared], second[shared], h[shared]))]
+        first = np.concatenate([[True], (h[shared[1:]] != h[shared[:-1]]) | (second[shared[1:]] != second[shared[:-1]])]) if len(shared) else np.empty(0, bool)
         marked = np.zeros(len(h), bool)
         marked[shared[~first]] = True
         parts = np.split(marked, np.cumsum(sizes)[:-1])
