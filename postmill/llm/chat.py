@@ -10,7 +10,8 @@ neither ``###`` nor ``</`` can appear there and reading back is exact. ``segment
 their loss flag; only the texts of ``loss_role`` carry loss.
 
 Defined cases: null text or role is empty; a null conv_id is one conversation; equal turn numbers go by role, then
-text; repeated rows are repeated turns; an empty table gives no rows; other columns are ignored.
+text; repeated rows are repeated turns; an empty table gives no rows; other columns are ignored. A conversation is one
+value and so one task's work: its bound is what one text column holds (2 GB), null conv_ids together included.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def format_chats(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     last = F.size("turns") - 1
-    starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.col("turns")[i]["role"] != F.col("turns")[i - 1]["role"]))
+    starts = F.filter(F.sequence(F.lit(0), last), lambda i: ~F.get("turns", i)["role"].eqNullSafe(F.get("turns", i - 1)["role"]))
     chats = chats.withColumn("starts", starts)
     after = lambda k: F.coalesce(F.get("starts", k + 1), F.size("turns"))
     blocks = F.transform("starts", lambda s, k: F.slice("turns", s + 1, after(k) - s))
