@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 import corpus_pipeline
+from postmill.llm import langid
 from postmill.llm.python_queries import tokenizer_path
 from postmill.llm.tokens import Encoder
 
@@ -97,7 +98,46 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert max(bins.values()) <= 1024
 
 
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null and shared ids, repeated rows, a very long text, extra columns with names that stages use."""
+    rng = random.Random(21)
+    words = [f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "lmnrst"]
+    base = " ".join(rng.choices(words, k=80))
+    near = base.replace(base.split()[40], "changed", 1)
+    other, fresh, long = (" ".join(rng.choices(words, k=k)) for k in (60, 50, 60_000))
+    rows = [(1, base), (5, near), (5, other), (5, other), (None, near), (None, fresh), (7, long), (8, long), (9, None), (9, "1 2 3"), (1, base)]
+    schema = SCHEMA + ", row string, own int, key int, id int, total int, part int, turn int"
+    docs = spark.createDataFrame([(d, t, "en" if d else None, "s", len(t or ""), "r", 1, 2, 3, 4, 5, 6) for d, t in rows], schema)
+    folder = str(tmp_path / "odd")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    found = docs
+    want = [
+        Counter((d, t) for d, t in rows if t and any(c.isalpha() for c in t)),
+        Counter([(1, base), (5, near), (5, other), (None, fresh), (8, long)]),
+        Counter([(1, base), (5, other), (None, fresh), (8, long)]),
+    ]
+    for (name, stage), left in zip(corpus_pipeline.STAGES[:3], want):
+        found = corpus_pipeline.materialise(stage(spark, found, folder), "odd")
+        assert found.columns == docs.columns and Counter((r.doc_id, r.text) for r in found.collect()) == left, name
+    mixed = corpus_pipeline.STAGES[3][1](spark, found, folder)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {1, 5, None, 8} and mixed.count() > 0
+    assert {r.row for r in mixed.collect()} == {"r"}
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in pieces} <= {1, 5, None, 8} and pieces
+
+
 def test_empty_documents(spark, tmp_path):
     folder = str(tmp_path / "none")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_language_stage_rejects_only_texts_without_a_letter(spark):
+    schema = "doc_id long, text string, lang string"
+    texts = ["the cat and the dog", "²the ½and ½cup ²a", "½ ² 12", "", None]
+    for lang in ("en", None):
+        docs = spark.createDataFrame([(i, t, lang if i == 0 else None) for i, t in enumerate(texts)], schema)
+        assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == {0, 1}
+    docs = spark.createDataFrame([(0, texts[0], "en"), (1, texts[1], None), (2, texts[2], None)], schema)
+    got = {r.row.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert got == {0: "en", 1: "en", 2: "und"}

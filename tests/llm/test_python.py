@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from postmill.llm import audio, components, jaccard, langid, packing, substrings, tokenfile
 from postmill.llm.python_queries import codec_of, tokenizer_path
@@ -85,6 +86,8 @@ def test_packing(spark, encoders):
     padded = packing.sequences(packed).collect()
     assert {r.sequence_id for r in padded} == set(bins) and all(len(r.ids) == 4096 or r.used & (r.used - 1) == 0 for r in padded)
     assert packing.pack_documents(table(spark, []), path).count() == 0
+    alike = packing.pack(packing.cut_pieces(table(spark, [(1, "same")] * 400).coalesce(1), path, 0), 16)
+    assert alike.select(F.shiftright("sequence_id", 32)).distinct().count() > 8 and alike.count() == 400
 
 
 def test_telephony_tables():
@@ -113,7 +116,7 @@ def test_adpcm_against_a_scalar_decoder():
 def test_media_round_trip(spark):
     texts = [None, "", "é" * 575, "abc" * 192, "x" * 100000, "x" * 100000]
     rows = spark.createDataFrame([(i, (t or "").encode()) for i, t in enumerate(texts)], "doc_id long, payload binary")
-    got = {r.doc_id: r for r in audio.with_pcm(audio.store(rows, codec_of)).collect()}
+    got = {r.doc_id: r for r in audio.read(audio.store(rows, codec_of)).collect()}
     for i, t in enumerate(texts):
         want = audio.padded((t or "").encode())
         assert got[i].payload == want and len(want) % 576 == 0 and len(want) >= 576
@@ -122,7 +125,38 @@ def test_media_round_trip(spark):
         assert len(got[i].pcm) == 4 * samples
     assert got[4].pcm == got[5].pcm
     assert {codec_of(bytes([i]) * 576) for i in range(40)} == {"mulaw", "alaw", "adpcm"}
-    assert audio.with_pcm(audio.store(rows.limit(0), codec_of)).count() == 0
+    assert audio.read(audio.store(rows.limit(0), codec_of)).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(-32768, 32767), max_size=40), st.sampled_from(["any", "mulaw", "alaw"]), st.booleans())
+def test_packed_pcm_round_trip(values, kind, doubled):
+    pcm = np.array(values, np.int16)
+    if kind != "any":
+        pcm = {"mulaw": audio.MULAW, "alaw": audio.ALAW}[kind][pcm & 255]
+    if doubled:
+        pcm = audio.resample(pcm)
+    packed = audio.pack_pcm(pcm)
+    assert (audio.unpack_pcm(packed) == pcm).all()
+    if doubled and kind != "any":
+        assert len(packed) == 9 + len(pcm) // 2
+
+
+def g711_level(code: int, law: str) -> int:
+    """A companded code by the definition of its law."""
+    if law == "mulaw":
+        code = ~code & 255
+        size = (((code & 15) * 2 + 33) << (code >> 4 & 7)) - 33
+        return -4 * size if code & 128 else 4 * size
+    code ^= 0x55
+    part, low = code >> 4 & 7, code & 15
+    size = (2 * low + 1 if part == 0 else (2 * low + 33) << (part - 1)) * 8
+    return size if code & 128 else -size
+
+
+def test_companding_tables_by_definition():
+    assert audio.MULAW.tolist() == [g711_level(c, "mulaw") for c in range(256)]
+    assert audio.ALAW.tolist() == [g711_level(c, "alaw") for c in range(256)]
 
 
 def brute_windows(rows, width):
@@ -151,6 +185,15 @@ def test_substrings(spark, block_chars):
         assert all(a.end < b.start for a, b in zip(r.removed, r.removed[1:]))  # maximal: never adjacent
 
 
+def test_equal_runs_need_both_hashes():
+    rng = np.random.default_rng(12)
+    first, second = rng.integers(0, 9, 300).astype(np.uint64), rng.integers(0, 3, 300).astype(np.uint16)
+    order, same = substrings.equal_runs(first, second)
+    kinds = [(int(first[i]), int(second[i])) for i in order]
+    assert same.tolist() == [a == b for a, b in zip(kinds, kinds[1:])] and len(set(kinds)) == 300 - same.sum()
+    assert all(a < b for a, b, s in zip(order, order[1:], same) if s)
+
+
 def test_substrings_empty_table(spark):
     assert substrings.find_and_cut(table(spark, [])).count() == 0
 
@@ -253,22 +296,80 @@ def test_language_id(spark):
     assert langid.predict(table(spark, []), model).count() == 0
 
 
+def test_word_scores_against_one_word_at_a_time(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join("".join(rng.choice("abcdeéжт") for _ in range(rng.randrange(1, 7))) for _ in range(30)), rng.choice(["xx", "yy", "zz"])) for i in range(60)]
+    model = langid.fit(table(spark, rows))
+    counts, scripts = {k: Counter() for k in ("xx", "yy", "zz")}, {k: Counter() for k in ("xx", "yy", "zz")}
+
+    def grams(word):
+        marked = f"<{word}>"
+        return [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1) if n > 1 or marked[i] not in "<>"]
+
+    numbers = {}
+    for word in {w for _, t, _ in rows for w in t.lower().split()} | {"qq"}:
+        places, _ = langid.features([word])
+        got = sorted(places[places < langid.FEATURES].tolist())
+        assert len(got) == len(grams(word))
+        numbers[word] = got
+    for _, text, lang in rows:
+        for w in text.split():
+            counts[lang].update(numbers[w])
+            scripts[lang][langid.script(w)] += 1
+    for word in [*list(numbers)[:40], "qq"]:
+        raw = []
+        for lang in model.languages:
+            total = sum(counts[lang].values())
+            raw.append(sum(np.log((counts[lang][g] + langid.SMOOTH) / (total + langid.SMOOTH * langid.FEATURES)) for g in numbers[word]))
+        want = [max(x - max(raw), langid.RULED_OUT / 2) for x in raw]
+        assert model.scores([word])[0].tolist() == pytest.approx(want, abs=1e-2)
+
+
+def test_settled_texts_have_the_labels_of_viterbi():
+    rng = np.random.default_rng(11)
+    scores = [np.minimum(0, rng.normal(m, 2, (n, 3))).astype(np.float32) for n, m in zip(rng.integers(1, 60, 300), rng.choice([-1, -3], 300))]
+    for s in scores[::2]:
+        s[:, 1] = 0  # one language stands out
+    for s in scores[::6]:
+        s[: len(s) // 2] = [-9, 0, 0]
+        s[len(s) // 2 :] = [0, -9, -9]
+    labels = langid.viterbi(scores)
+    known = langid.settled(np.concatenate(scores), np.array([len(s) for s in scores]))
+    assert 50 < (known >= 0).sum() < 290
+    for k, own in zip(known, labels):
+        assert k < 0 or (own == k).all()
+
+
+def test_words_and_their_places():
+    texts = ["½cup ²a", "Ab-cd e1f İX", "", None, "12 ½", "ÜBER straße\nx", "´´"]
+    words, codes, counts = langid.letter_words(pa.array(texts, pa.string()))
+    assert counts.tolist() == [2, 5, 0, 0, 0, 3, 0]
+    assert [words[c] for c in codes] == ["cup", "a", "ab", "cd", "e", "f", "ix", "über", "straße", "x"]
+    for t in texts:
+        found = [t[a:].lower() for a in langid.word_places(t or "").tolist()] if t else []
+        assert all(x[0].isalpha() for x in found)
+    assert langid.word_places("Ab-cd e1f İX").tolist() == [0, 3, 6, 8, 10]
+
+
 def test_token_files(spark, encoders):
     path, e = tokenizer_path("word_bpe_49k.json"), encoders["word_bpe_49k.json"]
     rng = random.Random(7)
     rows = [(i * 3, " ".join(rng.choices(["Cat", "dog,", "naïve", "42"], k=i % 50))) for i in rng.sample(range(400), 400)] + [(2000, None), (2001, ""), (2002, "long " * 80000), (None, "x y"), (6, "b"), (6, "a")]
     manifest = tokenfile.write_documents(table(spark, rows), path, 1, chars_per_file=100_000)
-    assert len(manifest) > 1 and sum(m["docs"] for m in manifest) == len(rows)
-    got = sorted(tokenfile.read_files(spark, manifest).collect(), key=lambda r: r.start)
+    assert manifest.count() > 1 and manifest.agg(F.sum("docs")).first()[0] == len(rows)
+    got = sorted(tokenfile.read_files(manifest).collect(), key=lambda r: r.start)
     at = 0
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     for r, (d, t) in zip(got, order, strict=True):
         ids = e.encode_whole(t or "") + [1]
         assert (r.doc_id, r.start) == (d, at) and np.frombuffer(r.ids, "<u4").tolist() == ids
         at += len(ids)
-    some = tokenfile.read_files(spark, manifest, [9, 2002, 7]).collect()
+    some = tokenfile.read_files(manifest, [9, 2002, 7]).collect()
     assert sorted(r.doc_id for r in some) == [9, 2002]
-    assert tokenfile.write_documents(table(spark, []), path) == [] and tokenfile.read_files(spark, []).count() == 0
+    none = tokenfile.write_documents(table(spark, []), path)
+    assert none.count() == 0 == tokenfile.read_files(none).count()
+    files = spark.createDataFrame([(i, 10 * i + 1) for i in range(25)], "part long, tokens long")
+    assert {r.part: r.start for r in tokenfile.with_starts(files, block=4).collect()} == {i: sum(10 * k + 1 for k in range(i)) for i in range(25)}
 
 
 def test_reader_fetches_only_what_is_asked_and_finds_damage():
