@@ -16,7 +16,7 @@ from postmill.llm.python_queries import tokenizer_path
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what has no language: null texts and texts without a letter. Fits on the labelled rows of docs."""
-    return langid.predict(docs, langid.fit(docs)).filter(F.col("row.text").rlike(r"\p{L}")).select("row.*")
+    return langid.predict(docs, langid.fit(docs), with_spans=False).filter("letters > 0").select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 on five words the smallest doc_id stays, and so does every row with it."""
+    """Of documents linked by a similarity of 0.8 on five words the smallest doc_id stays. Rows go by doc_id and text, so another text with the same id is not touched."""
     groups = jaccard.near_groups(docs, k=5, percent=80)
-    lost = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(materialise(lost, "near-lost"), "doc_id", "left_anti").select(*docs.columns)
+    lost = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("own"))
+    return rows.join(materialise(lost, "near-lost"), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")), "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

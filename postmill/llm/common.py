@@ -39,7 +39,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
             pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not every C library has it
+            except (AttributeError, OSError, TypeError):  # not every C library has it
                 pass
 
     return whole_task

@@ -8,7 +8,7 @@ longer prefix against candidates to verify, both from exact list lengths. A pair
 as many prefix tokens as the smaller l of the two demands, and if two bounds allow enough overlap: tokens before a
 shared one that are in no other prefix can't be common to the two, and the parity sketches of two sets differ in no
 more bits than the sets do in tokens. Both bounds are exact. A sketch has as many bits as the set has tokens, or up to
-twice that; folded to a few words it goes with every list entry, whole it meets the pairs that are left.
+twice that; whole it meets the pairs that are left, and in the second step, folded to a few words, the list entries too.
 
 Components need not see all pairs of a group. First every list offers its members to one anchor, its class with the
 most shared tokens; verified links join classes into components. Then only pairs across components remain, counted
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import materialise, ship, tidy
 from .components import components
 from .substrings import rolling, word_hashes
 from .tokens import slices
@@ -43,8 +43,8 @@ COUNTERS = 1 << 22
 CHUNK = 1 << 16
 #: Sketches of so many tasks are added by one group at a time.
 ADDED = 64
-#: Words of 64 bits of the sketch that goes with list entries.
-SKETCH = 4
+#: Words of 64 bits of the sketch that goes with the list entries of the second step.
+SKETCH = 8
 #: Bytes of text whose sets are held at a time.
 SLICE = 3_000_000
 #: Longest multi-match, and the cost of verifying a candidate against that of one list entry.
@@ -52,7 +52,7 @@ LONGEST, VERIFY = 6, 8.0
 #: Bits of the filter that spares unneeded sets a shuffle: half a megabyte; false hits only cost time.
 FILTER_BITS = 1 << 22
 #: Members of one class's pairs that are verified together.
-MEMBERS = 256
+MEMBERS = 64
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -123,7 +123,7 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([packed], pa.binary())})
 
     kind = "chunk int, part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind)
+    rows = docs.select("text").mapInArrow(tidy(count), kind)
     for _ in range(3):  # enough for ADDED ** 3 tasks; more only make the last groups larger
         rows = rows.withColumn("part", F.floor(F.col("part") / ADDED).cast("int")).groupBy("chunk", "part").applyInArrow(add, kind)
     out, plain = np.zeros(COUNTERS, np.uint32), zstandard.ZstdDecompressor()
@@ -155,9 +155,9 @@ def frequency_rank(sketch: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, cid (class), n, prefix (the longest, in the global order), sketch."""
+    """doc_id, text_key (a hash of the text as it is), cid (class), n, prefix (the longest, in the global order), sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(frequency_rank(frequency_sketch(docs, k)))
-    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sent.value
@@ -175,9 +175,9 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     sketches.append(parity_sketch(t).tobytes() if n else b"")
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int32()), prefix, pa.array(sketches, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(cids, pa.int64()), pa.array(sizes, pa.int32()), prefix, pa.array(sketches, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cid long, n int, prefix array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(tidy(run), "doc_id long, text_key long, cid long, n int, prefix array<long>, sketch binary")
 
 
 def sketch_words(classes: DataFrame) -> DataFrame:
@@ -190,11 +190,11 @@ def sketch_words(classes: DataFrame) -> DataFrame:
             words = np.stack(words) if words else np.empty((0, SKETCH), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("cid"), *(pa.array(words[:, i]) for i in range(SKETCH))], schema=schema)
 
-    return classes.select("cid", "sketch").mapInArrow(run, "cid long, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
+    return classes.select("cid", "sketch").mapInArrow(tidy(run), "cid long, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
 
 
 def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """token, cid, n, reach, match (the class's l), weight, s0..: entries of the chosen prefixes in lists of two or more."""
+    """token, cid, n, reach, match (the class's l), weight, times: entries of the chosen prefixes in lists of two or more."""
     least = F.ceil(F.col("n") * percent / 100).cast("int")
     every = classes.select("cid", "n", least.alias("least"), F.posexplode("prefix").alias("pos", "token"))
     lists = every.groupBy("token").agg(F.count("*").alias("entries"), F.min("n").alias("n_min")).filter("entries > 1")
@@ -217,8 +217,19 @@ def postings(classes: DataFrame, percent: int) -> DataFrame:
     # Tokens before this one that no other prefix has can't be common to two sets.
     alone = F.col("pos") - (F.array_position("places", F.col("pos")) - 1)
     rows = rows.withColumn("reach", (F.col("n") - alone).cast("int"))
-    rows = rows.filter(F.col("reach") >= least_overlap_column("n", "n_min", percent)).select("token", "cid", "n", "reach", "match", "weight")
-    return rows.join(sketch_words(classes), "cid")
+    return merged_lists(rows.filter(F.col("reach") >= least_overlap_column("n", "n_min", percent)).select("token", "cid", "n", "reach", "match", "weight"))
+
+
+def merged_lists(rows: DataFrame) -> DataFrame:
+    """rows with tokens of equal lists as one: token (names the list), cid, n, reach (the largest), match, weight, times (tokens in it).
+
+    Near copies share hundreds of tokens that no one else has; a pair then meets once and not once for each. Lists are
+    told apart by a hash of their members; a chance match of hashes only makes a longer list.
+    """
+    member = F.xxhash64("cid")
+    lists = rows.groupBy("token").agg(F.xxhash64(F.count("*"), F.bit_xor(member), F.sum(F.shiftright(member, 20)), F.min("cid"), F.max("cid")).alias("list"))
+    out = rows.join(lists, "token").groupBy(F.col("list").alias("token"), "cid")
+    return out.agg(F.max("n").alias("n"), F.max("reach").alias("reach"), F.max("match").alias("match"), F.max("weight").alias("weight"), F.count("*").alias("times"))
 
 
 def least_overlap_column(n: str, m: str, percent: int) -> Column:
@@ -229,39 +240,42 @@ def _side(p: DataFrame, name: str) -> DataFrame:
     return p.select("token", *[F.col(c).alias(f"{name}_{c}") for c in p.columns if c != "token"])
 
 
-def _may_link(percent: int) -> Column:
+def _has_room(percent: int) -> Column:
     need = least_overlap_column("a_n", "b_n", percent)
-    reach = F.least("a_reach", "b_reach") >= need
+    return (F.least("a_reach", "b_reach") >= need) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+
+
+def _differ_little(percent: int) -> Column:
     differ = F.lit(0)
     for i in range(SKETCH):
         differ = differ + F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}")))
-    return reach & (differ <= F.col("a_n") + F.col("b_n") - 2 * need) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    return differ <= F.col("a_n") + F.col("b_n") - 2 * least_overlap_column("a_n", "b_n", percent)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
     """a, b: pairs that share as many prefix tokens as the smaller l demands."""
-    pairs = rows.groupBy(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("a_match", "b_match")).alias("match"))
+    pairs = rows.groupBy(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).agg(F.sum(F.greatest("a_times", "b_times")).alias("shared"), F.min(F.least("a_match", "b_match")).alias("match"))
     return pairs.filter("shared >= match").select("a", "b")
 
 
 def anchor_pairs(p: DataFrame, percent: int) -> DataFrame:
     """Each list's members with the list's anchor: its class of most shared tokens. Pairs that share too few tokens with it are left to the second step."""
-    anchors = p.groupBy("token").agg(F.max(F.struct("weight", "cid", "n", "reach", "match", *[f"s{i}" for i in range(SKETCH)])).alias("x")).select("token", "x.*")
-    rows = _side(p.drop("weight"), "b").join(_side(anchors, "a"), "token").filter(F.col("a_cid") != F.col("b_cid")).filter(_may_link(percent))
-    pairs = rows.groupBy("a_cid", "b_cid").agg(F.count("*").alias("shared"), F.min(F.least("a_match", "b_match")).alias("match"))
+    anchors = p.groupBy("token").agg(F.max(F.struct("weight", "cid", "n", "reach", "match", "times")).alias("x")).select("token", "x.*")
+    rows = _side(p.drop("weight"), "b").join(_side(anchors, "a"), "token").filter(F.col("a_cid") != F.col("b_cid")).filter(_has_room(percent))
+    pairs = rows.groupBy("a_cid", "b_cid").agg(F.sum(F.greatest("a_times", "b_times")).alias("shared"), F.min(F.least("a_match", "b_match")).alias("match"))
     return pairs.filter("shared >= match").select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
 
 
-def cross_pairs(p: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(p: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """All pairs of entries of one list from different components: members outside the list's largest component with all others."""
     p = p.drop("weight").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
     parts = p.groupBy("token", "root").agg(F.count("*").alias("members"))
     large = parts.groupBy("token").agg(F.max(F.struct("members", "root"))["root"].alias("large"), F.count("*").alias("parts")).filter("parts > 1").select("token", "large")
-    p = materialise(p.join(large, "token"), "cross-postings")
+    p = materialise(p.join(large, "token").join(sketch_words(classes), "cid"), "cross-postings")
     minor = _side(p.filter("root <> large"), "a")
     rows = minor.join(_side(p, "b"), "token").filter(F.col("a_root") != F.col("b_root"))
     once = (F.col("b_root") == F.col("b_large")) | (F.col("a_cid") < F.col("b_cid"))
-    return _counted(rows.filter(once & _may_link(percent)))
+    return _counted(rows.filter(once & _has_room(percent) & _differ_little(percent)))
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -279,7 +293,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(tidy(run), "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -301,7 +315,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("slot"), "text").mapInArrow(run, "doc_id long, cid long, tokens binary")
+    return docs.select(doc_id.alias("doc_id"), F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("slot"), "text").mapInArrow(tidy(run), "doc_id long, cid long, tokens binary")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int, tag: str) -> DataFrame:
@@ -333,22 +347,22 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], schema=schema)
 
     met = rows.repartition("a", "part").sortWithinPartitions("a", "part", "turn").select("a", "turn", "cid", "tokens")
-    return materialise(met.mapInArrow(run, "a long, b long").distinct(), f"{tag}-links")
+    return materialise(met.mapInArrow(tidy(run), "a long, b long").distinct(), f"{tag}-links")
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, cid, n_shingles, component_id (smallest doc_id reachable by links)."""
+    """One row per document: doc_id, text_key, cid, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = docs.select("doc_id", "text")
     rows = materialise(prefixes(docs, k, percent), "prefixes")
     classes = rows.filter("n > 0").groupBy("cid").agg(F.min(F.struct("n", "prefix", "sketch")).alias("x"), F.min("doc_id").alias("first"))
     classes = materialise(classes.select("cid", "x.n", "x.prefix", "x.sketch", "first"), "classes")
     p = materialise(postings(classes, percent), "postings")
     links = verified(docs, classes, anchor_pairs(p, percent), k, percent, "anchor")
-    more = verified(docs, classes, cross_pairs(p, components(links), percent), k, percent, "cross")
+    more = verified(docs, classes, cross_pairs(p, classes, components(links), percent), k, percent, "cross")
     roots = components(links.unionByName(more))
     named = classes.select("cid", "first").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     named = materialise(named.select("cid", "root", "first"), "named")
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_class = named.join(names, "root").select(F.col("cid").alias("class"), "component_id")
-    out = rows.select("doc_id", "cid", "n").join(by_class, F.col("cid") == F.col("class"), "left")
-    return out.select("doc_id", "cid", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "text_key", "cid", "n").join(by_class, F.col("cid") == F.col("class"), "left")
+    return out.select("doc_id", "text_key", "cid", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
