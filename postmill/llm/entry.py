@@ -1,6 +1,6 @@
 """Every query of this subpackage and its SQL."""
 
-from . import native_queries, python_queries
+from . import audit_queries, native_queries, python_queries
 
-QUERIES = {**native_queries.QUERIES, **python_queries.QUERIES}
-SQL = {**native_queries.SQL, **python_queries.SQL}
+QUERIES = {**native_queries.QUERIES, **python_queries.QUERIES, **audit_queries.QUERIES}
+SQL = {**native_queries.SQL, **python_queries.SQL, **audit_queries.SQL}
