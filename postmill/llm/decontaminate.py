@@ -189,4 +189,4 @@ def cut(text: Column, spans: Column) -> Column:
     edges = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["to_char"]))
     ends = F.concat(F.transform(spans, lambda s: s["from_char"]), F.array(F.length(text)))
     parts = F.zip_with(edges, ends, lambda a, b: F.substring(text, a + 1, b - a))
-    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.filter(F.transform(parts, F.btrim), lambda p: p != ""), " "))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.filter(F.transform(parts, lambda p: F.btrim(p)), lambda p: p != ""), " "))

@@ -5,7 +5,7 @@ a changed row copies its ancestors only, and its version shares every other node
 
 1. Leaves are hashed where the text is, once, and written without it. A range partitioning by group and order, and the
    number of rows of each group in each partition, give every leaf its position; no task orders a group.
-2. Nodes go to aligned blocks of 2**BITS positions. A block grows its own part of the tree; block roots are the leaves of
+2. Nodes go to aligned blocks of 2**bits positions. A block grows its own part of the tree; block roots are the leaves of
    the next tier, until each group has one root. The roots of all groups are the leaves of a last tree, grown alike.
 3. Tier by tier downward, every block learns the steps from its root to the manifest's. They are the same for all rows
    of the block, so the upper tree is never spread over rows.
@@ -22,6 +22,7 @@ gives no rows; other columns, of any name, are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import sha256
 
 import pyarrow as pa
@@ -69,10 +70,10 @@ class Block:
         self.levels = levels
 
     @classmethod
-    def grow(cls, nodes: list[bytes], size: int) -> Block:
+    def grow(cls, nodes: list[bytes], size: int, bits: int = BITS) -> Block:
         """size: nodes of the whole group on this tier. A block stops where the group's tree ends."""
         levels = [nodes]
-        for _ in range(min(BITS, (size - 1).bit_length())):
+        for _ in range(min(bits, (size - 1).bit_length())):
             below = levels[-1]
             levels.append([digest(*below[i : i + 2]) for i in range(0, len(below), 2)])
         return cls(levels)
@@ -100,9 +101,9 @@ class Block:
         return copied
 
 
-def positions(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
+def positions(rows: DataFrame, order: list[str], tag: str, part_rows: int = PART_ROWS) -> DataFrame:
     """rows (grp, ...) with pos (from 0 within grp) and size (of grp), by grp and then the columns of order."""
-    parts = ceil_div(rows.count(), PART_ROWS)
+    parts = ceil_div(rows.count(), part_rows)
     at, mask = F.monotonically_increasing_id(), F.lit((1 << 33) - 1)
     keys = [F.col("grp"), *[F.col(c).asc_nulls_first() for c in order]]
     sorted_ = materialise(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("at", at), tag)
@@ -114,12 +115,12 @@ def positions(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
     return sorted_.join(cells, ["grp", "part"]).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "part", "shift")
 
 
-def grow(nodes: DataFrame, tag: str) -> DataFrame:
+def grow(nodes: DataFrame, tag: str, bits: int) -> DataFrame:
     """grp, block, size, ids, levels, places and leaves (of changed ones), top: aligned blocks of nodes (grp, pos, size, node, id, changed)."""
 
     def grown(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
-        block = Block.grow(table.column("node").to_pylist(), table.column("size")[0].as_py())
+        block = Block.grow(table.column("node").to_pylist(), table.column("size")[0].as_py(), bits)
         changed = [(i, leaf) for i, leaf in enumerate(table.column("changed").to_pylist()) if leaf is not None]
         row = {
             "grp": key[0].as_py(), "block": key[1].as_py(), "size": table.column("size")[0].as_py(), "ids": table.column("id").to_pylist(), "levels": block.packed(),
@@ -127,7 +128,7 @@ def grow(nodes: DataFrame, tag: str) -> DataFrame:
         }
         return pa.Table.from_pylist([row], BLOCKS)
 
-    blocks = nodes.withColumn("block", F.shiftright("pos", BITS)).groupBy("grp", "block")
+    blocks = nodes.withColumn("block", F.shiftright("pos", bits)).groupBy("grp", "block")
     return materialise(blocks.applyInArrow(grown, "grp string, block long, size long, ids array<long>, levels array<binary>, places array<int>, leaves array<binary>, top binary"), tag)
 
 
@@ -138,24 +139,24 @@ BLOCKS = pa.schema([
 PATHS = pa.schema([("grp", pa.string()), ("block", pa.int64()), ("pos", pa.int64()), ("steps", pa.list_(pa.binary()))])
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paths(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             block = Block.of(row["levels"])
-            rows = [{"grp": row["grp"], "block": row["block"], "pos": (row["block"] << BITS) + i, "steps": block.steps(i)} for i in range(len(block.levels[0]))]
+            rows = [{"grp": row["grp"], "block": row["block"], "pos": (row["block"] << bits) + i, "steps": block.steps(i)} for i in range(len(block.levels[0]))]
             yield pa.RecordBatch.from_pylist(rows, PATHS)
 
 
-def climb(nodes: DataFrame, tag: str) -> DataFrame:
+def climb(nodes: DataFrame, tag: str, bits: int) -> DataFrame:
     """grp, pos, steps, root: from every node (grp, pos, size, node) to its group's root, tier by tier."""
     tiers, none = [], F.array().cast("array<binary>")
     while not nodes.filter("size > 1").isEmpty():
         padded = nodes.select("grp", "pos", "size", "node", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("changed"))
-        tiers.append(grow(padded, tag))
-        nodes = tiers[-1].select("grp", F.col("block").alias("pos"), F.ceil(F.col("size") / (1 << BITS)).cast("long").alias("size"), F.col("top").alias("node"))
+        tiers.append(grow(padded, tag, bits))
+        nodes = tiers[-1].select("grp", F.col("block").alias("pos"), F.ceil(F.col("size") / (1 << bits)).cast("long").alias("size"), F.col("top").alias("node"))
     up = nodes.select("grp", F.col("pos").alias("block"), none.alias("rest"), F.col("node").alias("root"))
     for blocks in reversed(tiers):
-        down = blocks.select("grp", "block", "levels").mapInArrow(tidy(_paths), "grp string, block long, pos long, steps array<binary>")
+        down = blocks.select("grp", "block", "levels").mapInArrow(tidy(partial(_paths, bits=bits)), "grp string, block long, pos long, steps array<binary>")
         up = materialise(down.join(up, ["grp", "block"]).select("grp", F.col("pos").alias("block"), F.concat("steps", "rest").alias("rest"), "root"), f"{tag}-steps")
     return up.select("grp", F.col("block").alias("pos"), F.col("rest").alias("steps"), "root")
 
@@ -166,7 +167,7 @@ ROWS = pa.schema([
 ])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             block, changed = Block.of(row["levels"]), dict(zip(row["places"], row["leaves"]))
@@ -176,11 +177,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other = changed.get(place)
                 copied = block.version(other, steps) if other is not None else None
                 found = copied[-1] if copied else block.version(leaf, steps)[-1]
-                out.append({"id": id_, "pos": (row["block"] << BITS) + place, "leaf": leaf, "subroot": row["subroot"], "root": row["root"], "proof": steps, "copied": copied, "folded_root": found})
+                out.append({"id": id_, "pos": (row["block"] << bits) + place, "leaf": leaf, "subroot": row["subroot"], "root": row["root"], "proof": steps, "copied": copied, "folded_root": found})
             yield pa.RecordBatch.from_pylist(out, ROWS)
 
 
-def manifest(docs: DataFrame, changes: dict[str, Column], fields: tuple = FIELDS, group: str = "lang", id_: str = "doc_id") -> DataFrame:
+def manifest(docs: DataFrame, changes: dict[str, Column], fields: tuple = FIELDS, group: str = "lang", id_: str = "doc_id", bits: int = BITS, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per row of docs: id, pos (within its group), leaf, subroot, root, proof (steps to the root: a byte that tells the
     sibling's side, and its digest), copied (nodes of the version that changes the row, null where its leaf stays), folded_root
     (where the changed leaf, else the leaf itself, leads along the proof).
@@ -196,13 +197,14 @@ def manifest(docs: DataFrame, changes: dict[str, Column], fields: tuple = FIELDS
     leaf, other = leaf_of([F.col(f"`{f}`") for f in fields]), F.when(told, leaf_of(list(new.values())))
     leaves = docs.select(grp.alias("grp"), F.col(id_).cast("long").alias("id"), F.unhex(leaf).alias("node"), F.unhex(other).alias("changed"))
     leaves = materialise(leaves.withColumn("turn", F.monotonically_increasing_id()), "merkle-leaves")
-    blocks = grow(positions(leaves, ["id", "node", "turn"], "merkle-order").drop("turn"), "merkle-blocks")
-    tops = blocks.select("grp", F.col("block").alias("pos"), F.ceil(F.col("size") / (1 << BITS)).cast("long").alias("size"), F.col("top").alias("node"))
-    paths = climb(tops, "merkle-tiers")
+    blocks = grow(positions(leaves, ["id", "node", "turn"], "merkle-order", part_rows).drop("turn"), "merkle-blocks", bits)
+    tops = blocks.select("grp", F.col("block").alias("pos"), F.ceil(F.col("size") / (1 << bits)).cast("long").alias("size"), F.col("top").alias("node"))
+    paths = climb(tops, "merkle-tiers", bits)
     roots = paths.filter("pos = 0").select(F.col("grp").alias("of"), F.col("root").alias("node"), F.lit("").alias("grp"))
-    ranked = materialise(positions(roots, ["of"], "merkle-groups"), "merkle-roots")
-    last = ranked.select(F.col("of"), "pos").join(climb(ranked.select("grp", "pos", "size", "node"), "merkle-root").select("pos", F.col("steps").alias("last"), F.col("root").alias("whole")), "pos").drop("pos")
+    ranked = materialise(positions(roots, ["of"], "merkle-groups", part_rows), "merkle-roots")
+    to_root = climb(ranked.select("grp", "pos", "size", "node"), "merkle-root", bits).select("pos", F.col("steps").alias("last"), F.col("root").alias("whole"))
+    last = ranked.select("of", "pos").join(to_root, "pos").drop("pos")
     outer = paths.select("grp", F.col("pos").alias("block"), F.col("root").alias("subroot"), "steps")
     outer = outer.join(last, F.col("grp") == F.col("of")).select("grp", "block", "subroot", F.concat("steps", "last").alias("steps"), F.col("whole").alias("root"))
     told = blocks.select("grp", "block", "ids", "levels", "places", "leaves").join(outer, ["grp", "block"])
-    return told.select("block", "ids", "levels", "places", "leaves", "steps", "subroot", "root").mapInArrow(tidy(_rows), "id long, pos long, leaf binary, subroot binary, root binary, proof array<binary>, copied array<binary>, folded_root binary")
+    return told.select("block", "ids", "levels", "places", "leaves", "steps", "subroot", "root").mapInArrow(tidy(partial(_rows, bits=bits)), "id long, pos long, leaf binary, subroot binary, root binary, proof array<binary>, copied array<binary>, folded_root binary")

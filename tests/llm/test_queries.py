@@ -24,7 +24,7 @@ def documents():
 @pytest.mark.parametrize("name", sorted(entry.SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.sql(entry.SQL[name])
     got = entry.QUERIES[name](spark, SF).select(*want.columns).collect()
