@@ -254,7 +254,7 @@ def _differ_little(percent: int) -> Column:
 
 def _counted(rows: DataFrame) -> DataFrame:
     """a, b: pairs that share as many prefix tokens as the smaller l demands."""
-    pairs = rows.groupBy(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).agg(F.sum(F.greatest("a_times", "b_times")).alias("shared"), F.min(F.least("a_match", "b_match")).alias("match"))
+    pairs = rows.groupBy(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).agg(F.sum(F.least("a_times", "b_times")).alias("shared"), F.min(F.least("a_match", "b_match")).alias("match"))
     return pairs.filter("shared >= match").select("a", "b")
 
 
@@ -267,11 +267,19 @@ def anchor_pairs(p: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(p: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of entries of one list from different components: members outside the list's largest component with all others."""
+    """All pairs of entries of one list from different components: members outside the list's largest component with all others.
+
+    Lists of much the same components are one list here: those with the same largest component and two equal minimum
+    hashes over all of them. Long texts that share passages otherwise meet once for each of some hundred tokens. In a joint
+    list a pair shares no more tokens than the smaller of its two numbers of tokens there, so none is lost.
+    """
     p = p.drop("weight").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
     parts = p.groupBy("token", "root").agg(F.count("*").alias("members"))
-    large = parts.groupBy("token").agg(F.max(F.struct("members", "root"))["root"].alias("large"), F.count("*").alias("parts")).filter("parts > 1").select("token", "large")
-    p = materialise(p.join(large, "token").join(sketch_words(classes), "cid"), "cross-postings")
+    least = [F.min(F.xxhash64("root", F.lit(i))) for i in (1, 2)]
+    lists = parts.groupBy("token").agg(F.max(F.struct("members", "root"))["root"].alias("large"), F.count("*").alias("parts"), F.xxhash64(*least).alias("alike"))
+    lists = lists.filter("parts > 1").select("token", "large", F.xxhash64("large", "alike").alias("list"))
+    joint = p.join(lists, "token").groupBy(F.col("list").alias("token"), "cid").agg(*[F.max(c).alias(c) for c in ("n", "reach", "match", "root", "large")], F.sum("times").alias("times"))
+    p = materialise(joint.join(sketch_words(classes), "cid"), "cross-postings")
     minor = _side(p.filter("root <> large"), "a")
     rows = minor.join(_side(p, "b"), "token").filter(F.col("a_root") != F.col("b_root"))
     once = (F.col("b_root") == F.col("b_large")) | (F.col("a_cid") < F.col("b_cid"))
