@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import places, profile, scoring, titles
 from ..functions.amounts import is_unpaid
 from ..functions.base import any_in
+from ..sources.snapshots import Store
 from .keyed import cached_or_missing
+from .tables import cut_lineage
 
 #: Version of the scoring rules: a part of what a cached match depends on.
 ALGORITHM = "v2.1"
@@ -38,6 +40,7 @@ class Candidate:
     experience_ceiling: int = 2
     exclude_unpaid: bool = False
     version: str = ""
+    preference_version: str = ""
 
 
 def candidates_of(rows: DataFrame, most: int = 32) -> list[Candidate]:
@@ -116,12 +119,27 @@ def evaluate(jobs: DataFrame, candidates: list[Candidate], key: str = "job_id",
     return with_parts(jobs, candidates, **how).select(key, each).select(key, "e.*")
 
 
-def evaluate_cached(jobs: DataFrame, candidate: Candidate, cache: DataFrame, key: str = "job_id", **how) -> DataFrame:
-    """key, overall_score, job_version, profile_version, algorithm, hit: cached matches whose versions are all equal, and the others scored now. jobs have a job_version."""
-    now = jobs.withColumns({"profile_version": F.lit(candidate.version), "algorithm": F.lit(ALGORITHM)})
-    marked = cached_or_missing(now, cache, key, ["job_version", "profile_version", "algorithm"])
-    stored = cache.select(key, "overall_score")
-    columns = [key, "overall_score", "job_version", "profile_version", "algorithm", "hit"]
-    hits = marked.filter("hit").join(stored, key).select(columns)
-    missing = with_parts(marked.filter(~F.col("hit")), [candidate], **how).withColumnRenamed("__overall0", "overall_score")
-    return hits.unionByName(missing.select(columns))
+#: What a cached match is kept by, what it depends on, and what it keeps.
+KEYS, VERSIONS = ["job_id", "profile_id"], ["job_version", "profile_version", "preference_version", "algorithm"]
+KEPT = ["overall_score"]
+
+
+def evaluate_cached(jobs: DataFrame, candidates: list[Candidate], cache: DataFrame, **how) -> DataFrame:
+    """Keys, overall_score, versions and hit, one row per posting and candidate: the newest cached match of both if all versions are equal, else scored now.
+
+    jobs have a job_version. cache: keys, versions, overall_score, calculated_at; rows of other candidates, stale and repeated ones do no harm.
+    """
+    told = F.explode(F.array(*[F.struct(F.lit(c.profile_id).cast("long").alias("profile_id"), F.lit(c.version).alias("profile_version"), F.lit(c.preference_version).alias("preference_version")) for c in candidates]))
+    asked = jobs.select("job_id", "job_version", told.alias("c")).select("job_id", "job_version", "c.*", F.lit(ALGORITHM).alias("algorithm"))
+    marked = cached_or_missing(asked, cache, KEYS, VERSIONS, ["calculated_at"], KEPT)
+    columns = [*KEYS, *KEPT, *VERSIONS, "hit"]
+    missing = marked.filter(~F.col("hit")).drop(*KEPT)
+    # Only postings that some candidate misses are scored.
+    scored = evaluate(jobs.join(missing.select("job_id").distinct(), "job_id", "left_semi"), candidates, **how).select("job_id", F.col("profile_id").cast("long").alias("profile_id"), *KEPT)
+    return marked.filter("hit").select(columns).unionByName(missing.join(scored, KEYS).select(columns))
+
+
+def store_misses(store: Store, evaluated: DataFrame, at: Column) -> None:
+    """Writes what was scored now into the stored cache, one row per posting and candidate, and leaves the rest."""
+    missed = evaluated.filter(~F.col("hit")).select(*KEYS, *KEPT, *VERSIONS, at.alias("calculated_at"))
+    store.merge(cut_lineage(missed), lambda old, new: old.join(new.select(*KEYS), KEYS, "left_anti").unionByName(new.select(old.columns)))

@@ -22,10 +22,22 @@ def two_key_match(new: DataFrame, old: DataFrame, first: str, second: str, id_:
     return out.withColumn("found", F.coalesce(f"by_{first}", f"by_{second}")).drop(f"by_{first}", f"by_{second}")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, keep_old: list[str] = (), latest: list[str] = ()) -> DataFrame:
-    """Rows of both by key. keep_old: filled only where null; latest: advance only; other columns: the new value."""
+def latest_of(rows: DataFrame, keys: list[str], by: str | None = None) -> DataFrame:
+    """One row per key, columns as they came: the greatest by a column, then by all of them in turn. Combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = [F.col(by).isNotNull().alias("__some"), F.col(by).alias("__by")] if by else []
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*first, *rest)).alias("__x"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"__x.{c}").alias(c) for c in rows.columns])
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, keep_old: list[str] = (), latest: list[str] = (), by: str | None = None) -> DataFrame:
+    """Rows of both by key. keep_old: filled only where null; latest: advance only; other columns: the new value.
+
+    Of rows of new with one key the latest_of them by a column counts, so a key has one row.
+    """
     o = old.select(F.col(key), F.lit(True).alias("__old"), *[F.col(c).alias(f"__o_{c}") for c in old.columns if c != key])
-    n = new.select(F.col(key), F.lit(True).alias("__new"), *[F.col(c).alias(f"__n_{c}") for c in old.columns if c != key])
+    n = latest_of(new.select(*old.columns, *([by] if by and by not in old.columns else [])), [key], by)
+    n = n.select(F.col(key), F.lit(True).alias("__new"), *[F.col(c).alias(f"__n_{c}") for c in old.columns if c != key])
     both = o.join(n, key, "full_outer")
 
     def value(c: str) -> Column:
@@ -45,14 +57,22 @@ def split_valid(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reject_reason IS NULL").drop("reject_reason"), marked.filter("reject_reason IS NOT NULL")
 
 
-def cached_or_missing(jobs: DataFrame, cache: DataFrame, key: str, versions: list[str]) -> DataFrame:
-    """jobs with hit: a cached row of the same key whose versions are all equal, null-safely."""
-    c = cache.select(F.col(key).alias("__key"), *[F.col(v).alias(f"__{v}") for v in versions], F.lit(True).alias("__there")).dropDuplicates(["__key"])
-    same = F.lit(True)
+def cached_or_missing(jobs: DataFrame, cache: DataFrame, keys: list[str], versions: list[str], newest: list[str], stored: list[str] = ()) -> DataFrame:
+    """jobs with hit, and the stored columns of the cache where it is one.
+
+    Only the newest cached row of all the keys counts (by the columns of newest, then by all columns), and it is a hit if every
+    version is equal, null-safely. A row of other keys, or an older one with the right versions, never is.
+    """
+    best = cache.groupBy(*keys).agg(F.max(F.struct(*newest, *versions, *stored)).alias("__x"))
+    names = {c: f"__{c}" for c in keys}
+    c = best.select(*[F.col(k).alias(names[k]) for k in keys], *[F.col(f"__x.{v}").alias(f"__{v}") for v in versions], F.struct(*[F.col(f"__x.{x}").alias(x) for x in stored]).alias("__stored") if stored else F.lit(True).alias("__stored"))
+    on, same = F.lit(True), F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(names[k]))
     for v in versions:
         same = same & F.col(v).eqNullSafe(F.col(f"__{v}"))
-    out = jobs.join(c, F.col(key) == F.col("__key"), "left")
-    return out.withColumn("hit", F.coalesce(F.col("__there") & same, F.lit(False))).drop("__key", "__there", *[f"__{v}" for v in versions])
+    out = jobs.join(c, on, "left").withColumn("hit", F.coalesce(F.col("__stored").isNotNull() & same, F.lit(False)))
+    return out.withColumns({x: F.when(F.col("hit"), F.col(f"__stored.{x}")) for x in stored}).drop("__stored", *names.values(), *[f"__{v}" for v in versions])
 
 
 def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:

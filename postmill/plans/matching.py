@@ -11,6 +11,7 @@ from ..functions import places, scoring, titles
 from ..operators import evaluation, keyed, windows
 from ..operators.tables import shared_folder
 from ..sources import sinks
+from ..sources.snapshots import Store
 from ..streaming import streams
 from .feed import skill_lists
 from .registry import query
@@ -158,15 +159,15 @@ def c13_explanation(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT job_id, arg_max(job_version, match_id) AS v FROM matches GROUP BY job_id)
-    SELECT p.job_id, coalesce(v IS NOT DISTINCT FROM (p.job_id % 4)::VARCHAR AND c.job_id IS NOT NULL, false) AS hit FROM postings p LEFT JOIN c USING (job_id)""",
+    """WITH c AS (SELECT job_id, profile_id, job_version AS v, row_number() OVER (PARTITION BY job_id, profile_id ORDER BY calculated_at DESC, job_version DESC, match_id DESC) AS place FROM matches),
+    a AS (SELECT job_id, (job_id % 4)::VARCHAR AS own, unnest([0, 1]) AS profile_id FROM postings)
+    SELECT a.job_id, a.profile_id, coalesce(v = own, false) AS hit FROM a LEFT JOIN c ON a.job_id = c.job_id AND a.profile_id = c.profile_id AND place = 1""",
     "postings",
     "matches",
 )
 def c14_cache_hit_miss(t: Tables) -> DataFrame:
-    cache = t.matches.groupBy("job_id").agg(F.max_by("job_version", "match_id").alias("job_version"))
-    jobs = t.postings.select("job_id", (F.col("job_id") % 4).cast("string").alias("job_version"))
-    return keyed.cached_or_missing(jobs, cache, "job_id", ["job_version"]).select("job_id", "hit")
+    jobs = t.postings.select("job_id", (F.col("job_id") % 4).cast("string").alias("job_version"), F.explode(F.array(F.lit(0), F.lit(1))).alias("profile_id"))
+    return keyed.cached_or_missing(jobs, t.matches, ["job_id", "profile_id"], ["job_version"], ["calculated_at"]).select("job_id", "profile_id", "hit")
 
 
 @query(
@@ -186,9 +187,14 @@ def j15_skill_sets(t: Tables) -> DataFrame:
     "postings",
 )
 def k1_upsert(t: Tables) -> DataFrame:
+    """Through a stored table: what was there, then the upsert, read back. kept rows of untouched buckets are known by their action alone."""
     old = t.postings.filter("job_id % 3 <> 0").select("job_id", "title", "salary_max", "posted_at")
     new = t.postings.filter("job_id % 2 = 0").select("job_id", F.upper("title").alias("title"), F.col("quality_score").alias("salary_max"), (F.col("posted_at") - F.expr("INTERVAL 1 DAY")).alias("posted_at"))
-    return keyed.upsert(old, new, "job_id", keep_old=["salary_max"], latest=["posted_at"])
+    first = old.withColumn("action", F.lit("kept"))
+    store = Store.create(t.spark, f"{shared_folder(t.spark)}/postmill/stores/{uuid.uuid4().hex}", first.schema, ["job_id"], n_buckets=16)
+    store.merge(first, lambda none, rows: rows)
+    store.merge(new, lambda was, rows: keyed.upsert(was.drop("action"), rows, "job_id", keep_old=["salary_max"], latest=["posted_at"]))
+    return store.read()
 
 
 @query("SELECT reject, count(*) AS n FROM (SELECT CASE WHEN NOT regexp_matches(source_url, '^https?://') THEN 'invalid_source_url' END AS reject FROM postings) WHERE reject IS NOT NULL GROUP BY reject", "postings")
@@ -348,8 +354,8 @@ def o7_recommendations(t: Tables) -> DataFrame:
 
 
 TWO = [
-    evaluation.Candidate(1, CANDIDATE, 0, ["Backend Engineer"], remote_preference=False, minimum_salary_lpa=6.0, priority_companies=["0011"], excluded_companies=["Customer#000000007"], version="a"),
-    evaluation.Candidate(2, CANDIDATE, 3, ["Backend Engineer"], remote_preference=False, internship_allowed=False, minimum_salary_lpa=6.0, priority_companies=["0011"], excluded_companies=["Customer#000000007"], version="b"),
+    evaluation.Candidate(1, CANDIDATE, 0, ["Backend Engineer"], remote_preference=False, minimum_salary_lpa=6.0, priority_companies=["0011"], excluded_companies=["Customer#000000007"], version="a", preference_version="1"),
+    evaluation.Candidate(2, CANDIDATE, 3, ["Backend Engineer"], remote_preference=False, internship_allowed=False, minimum_salary_lpa=6.0, priority_companies=["0011"], excluded_companies=["Customer#000000007"], version="b", preference_version="1"),
 ]
 HOW = {"transfer": TRANSFER, "canonical": False}
 
@@ -370,15 +376,40 @@ def j6_candidates(t: Tables) -> DataFrame:
     return evaluation.evaluate(jobs(t), TWO, **HOW).select("profile_id", "job_id", "overall_score")
 
 
+#: Cached matches of both candidates with all versions, stale ones among them.
+_CACHE = "SELECT match_id, job_id, profile_id + 1 AS profile_id, overall_score, job_version, CASE WHEN match_id % 5 = 0 THEN 'old' WHEN profile_id = 0 THEN 'a' ELSE 'b' END AS profile_version, CAST(match_id % 7 % 2 AS STRING) AS preference_version, 'v2.1' AS algorithm, calculated_at FROM ({0})"
+_CACHED = f"""b AS ({_BOTH}), m AS ({_CACHE.format("SELECT * FROM matches")}),
+    l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY job_id, profile_id ORDER BY calculated_at DESC, job_version DESC, profile_version DESC, preference_version DESC, overall_score DESC) = 1),
+    x AS (SELECT b.job_id, b.profile_id, b.overall_score AS fresh, l.overall_score AS kept, coalesce(l.job_version = (b.job_id % 4)::VARCHAR AND l.profile_version = ['a', 'b'][b.profile_id] AND l.preference_version = '1', false) AS hit
+          FROM b LEFT JOIN l ON b.job_id = l.job_id AND b.profile_id = l.profile_id)"""
+
+
+def cached_matches(t: Tables) -> DataFrame:
+    return t.matches.select(
+        "job_id", (F.col("profile_id") + 1).cast("long").alias("profile_id"), "overall_score", "job_version",
+        F.when(F.col("match_id") % 5 == 0, "old").when(F.col("profile_id") == 0, "a").otherwise("b").alias("profile_version"),
+        (F.col("match_id") % 7 % 2).cast("string").alias("preference_version"), F.lit(evaluation.ALGORITHM).alias("algorithm"), "calculated_at",
+    )
+
+
+@query(f"WITH {_CACHED} SELECT job_id, profile_id, hit, round(CASE WHEN hit THEN kept ELSE fresh END, 6) AS overall_score FROM x", "posting_skills", "postings", "matches")
+def c14_match_cache(t: Tables) -> DataFrame:
+    got = evaluation.evaluate_cached(jobs(t), TWO, cached_matches(t), **HOW)
+    return got.select("job_id", "profile_id", "hit", F.round("overall_score", 6).alias("overall_score"))
+
+
 @query(
-    f"""{_GATE}, c AS (SELECT job_id, arg_max((job_version, overall_score), match_id) AS v FROM matches GROUP BY job_id), x AS (SELECT g3.job_id, overall, v, coalesce(v[1] = (g3.job_id % 4)::VARCHAR, false) AS hit FROM g3 LEFT JOIN c ON g3.job_id = c.job_id)
-    SELECT job_id, hit, CASE WHEN hit THEN round(v[2], 6) ELSE overall END AS overall_score FROM x""",
+    f"""WITH {_CACHED} SELECT coalesce(x.job_id, l.job_id) AS job_id, coalesce(x.profile_id, l.profile_id) AS profile_id, round(CASE WHEN x.job_id IS NULL OR hit THEN l.overall_score ELSE fresh END, 6) AS overall_score,
+      CASE WHEN x.job_id IS NULL OR hit THEN l.job_version ELSE (x.job_id % 4)::VARCHAR END AS job_version, CASE WHEN x.job_id IS NULL OR hit THEN l.preference_version ELSE '1' END AS preference_version
+    FROM x FULL JOIN l ON x.job_id = l.job_id AND x.profile_id = l.profile_id""",
     "posting_skills",
     "postings",
     "matches",
 )
-def c14_match_cache(t: Tables) -> DataFrame:
-    last = t.matches.groupBy("job_id").agg(F.max_by(F.struct("job_version", "overall_score"), "match_id").alias("v"))
-    cache = last.select("job_id", "v.*", F.lit(TWO[0].version).alias("profile_version"), F.lit(evaluation.ALGORITHM).alias("algorithm"))
-    got = evaluation.evaluate_cached(jobs(t), TWO[0], cache, **HOW)
-    return got.select("job_id", "hit", F.round("overall_score", 6).alias("overall_score"))
+def c14_stored_misses(t: Tables) -> DataFrame:
+    """The stored cache after what was missing has been scored and written back."""
+    cache = cached_matches(t)
+    store = Store.create(t.spark, f"{shared_folder(t.spark)}/postmill/stores/{uuid.uuid4().hex}", cache.schema, evaluation.KEYS, n_buckets=16)
+    store.merge(keyed.latest_of(cache.select("calculated_at", *cache.columns[:-1]), evaluation.KEYS, "calculated_at"), lambda old, new: new)
+    evaluation.store_misses(store, evaluation.evaluate_cached(jobs(t), TWO, store.read(), **HOW), clock(EVENTS_NOW))
+    return store.read().select("job_id", "profile_id", F.round("overall_score", 6).alias("overall_score"), "job_version", "preference_version")

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 from itertools import combinations
 
 import __spark_entry__ as entry
-from postmill.operators import dedup
+from postmill.operators import dedup, fold
 from postmill.plans import texts
 from postmill.plans.standins import Tables
 
@@ -154,9 +154,9 @@ def brute_fold(rows, vectors):
 def test_fold_against_one_posting_after_another(spark):
     rows = postings()
     df = spark.createDataFrame([tuple(r[c.split()[0]] for c in POSTING.split(", ")) for r in rows], POSTING)
-    for vectors in (False, True):
+    for vectors, most in ((False, 70), (True, fold.MOST)):
         want, took = brute_fold(rows, vectors)
-        folded = dedup.deduplicate(df, vectors)
+        folded = dedup.deduplicate(df, vectors, most)
         assert {r.pos: (r.canonical, r.merged_into, r.reason) for r in folded.collect()} == want
         levels = {w[2][:7] for w in want.values() if w[2]}
         assert levels == {f"LEVEL_{i}" for i in range(1, 5 + vectors)}
@@ -170,3 +170,25 @@ def test_fold_against_one_posting_after_another(spark):
     want = second | {p: (second[w[0]][0], *w[1:]) for p, w in first.items() if w[1] is not None}
     assert {r.pos: (r.canonical, r.merged_into, r.reason) for r in dedup.deduplicate_in_stages(df).collect()} == want
     assert dedup.deduplicate_in_stages(df.limit(0)).count() == 0
+
+
+def test_fold_of_one_component_in_turns(spark):
+    """A chain of keys joins all postings; the fold in turns is the fold in one task, and no task is larger than said."""
+    rng = random.Random(9)
+    n, most = 120, 50
+    spread = [sorted(rng.sample(range(3 * i // 4, 3 * i // 4 + 8), 2)) if i % 9 else [3 * i // 4, 5000] for i in range(n)]
+    keys = [(i, 1 + k % 3, k) for i, own in enumerate(spread) for k in own]
+    links = [(4, k, k + 1, 0.9) for k in range(0, 3 * n // 4, 5)]
+    facts = [(i, [1 + k % 3 for k in spread[i]], spread[i], rng.randrange(2), rng.randrange(400), rng.random() < 0.8, rng.randrange(50)) for i in range(n)]
+    held = fold.Fold()
+    for _, later, earlier, similarity in links:
+        held.links.setdefault(later, []).append((earlier, 4, similarity))
+    for pos, levels, own, direct, length, dated, posted in facts:
+        held.take({"pos": pos, "levels": levels, "keys": own, "direct": direct, "length": length, "dated": dated, "posted": posted})
+    told = held.results()
+    postings = spark.createDataFrame(facts, "pos long, levels array<int>, keys array<long>, direct int, length int, dated boolean, posted long")
+    merges, slots, largest = fold.fold(postings, spark.createDataFrame(keys, "pos long, level int, key long"), spark.createDataFrame(links, "level int, later long, earlier long, similarity double"), most)
+    assert {(r.pos, r.merged_into, r.level, r.similarity) for r in merges.collect()} == {t[1:] for t in told if t[0] == fold.MERGED}
+    stands = {t[1]: t[2] for t in told if t[0] == fold.STANDS}
+    assert {(r.pos, r.canonical) for r in slots.collect()} == {(t[1], stands[t[2]]) for t in told if t[0] == fold.TAKEN}
+    assert len(largest) > 2 and max(largest) <= most
