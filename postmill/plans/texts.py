@@ -281,15 +281,32 @@ def d3_hash_dup(t: Tables) -> DataFrame:
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[\s]+'), lambda w: w <> ''))"
 
 
+_NEAR = f"""d AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), w AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS w FROM d),
+    p AS (SELECT a.doc_id AS earlier, b.doc_id AS later, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+    j AS (SELECT earlier, later, round(c / (n + m - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (n + m - c)::DOUBLE >= 0.85),
+    k AS (SELECT d.doc_id, coalesce(min(earlier) FILTER (jaccard = 1), d.doc_id) AS class FROM d LEFT JOIN j ON d.doc_id = j.later WHERE len(ts) > 0 GROUP BY d.doc_id)"""
+
+
 @query(
-    f"""WITH d AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), w AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS w FROM d),
-    p AS (SELECT a.doc_id AS earlier, b.doc_id AS later, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM w a JOIN w b ON a.w = b.w AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2)
-    SELECT earlier, later, round(c / (n + m - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (n + m - c)::DOUBLE >= 0.85"""
+    f"""WITH {_NEAR}, e AS (SELECT earlier AS x FROM j UNION ALL SELECT later FROM j), n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+    SELECT k.doc_id, class, count(*) OVER (PARTITION BY class) AS class_size, coalesce(n, 0) AS n_links FROM k LEFT JOIN n ON k.doc_id = x"""
 )
 def d4_near_dup(t: Tables) -> DataFrame:
+    """One row per document that has a token: its class of equal token sets, and how many documents are near it."""
+    rows, _ = near_documents(t)
+    return rows.select(F.col("pos").alias("doc_id"), "class", "class_size", "n_links")
+
+
+@query(f"WITH {_NEAR} SELECT least(a.class, b.class) AS earlier, greatest(a.class, b.class) AS later, any_value(jaccard) AS jaccard, count(*) AS pairs FROM j JOIN k a ON j.earlier = a.doc_id JOIN k b ON j.later = b.doc_id WHERE a.class <> b.class GROUP BY 1, 2")
+def d4_class_pairs(t: Tables) -> DataFrame:
+    """Near classes of documents, by their smallest doc_id, and the pairs of documents that they stand for."""
+    _, pairs = near_documents(t)
+    return pairs.select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later"), F.round("jaccard", 6).alias("jaccard"), (F.col("a_size") * F.col("b_size")).alias("pairs"))
+
+
+def near_documents(t: Tables) -> tuple[DataFrame, DataFrame]:
     members, sets = dedup.token_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"))
-    pairs = dedup.class_members(members, dedup.near_classes(sets, 85))
-    return pairs.select("earlier", "later", F.round("jaccard", 6).alias("jaccard"))
+    return dedup.class_links(members, "set_id", dedup.near_classes(sets, 85), F.col("jaccard"))
 
 
 def near_vectors(t: Tables) -> DataFrame:
@@ -299,16 +316,24 @@ def near_vectors(t: Tables) -> DataFrame:
     return rows.unionByName(rows.select((F.col("pos") + 1_000_000_000).alias("pos"), "block", cut.alias("embedding")))
 
 
-@query(
-    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), v AS (SELECT * FROM e UNION ALL SELECT vec_id + 1000000000, label, list_concat([0.0::DOUBLE], e[2:]) FROM e)
-    SELECT a.vec_id AS earlier, b.vec_id AS later FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.92"""
-)
+_VECTORS = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), v AS (SELECT * FROM e UNION ALL SELECT vec_id + 1000000000, label, list_concat([0.0::DOUBLE], e[2:]) FROM e),
+    p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.92),
+    k AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY label, e) AS class, count(*) OVER (PARTITION BY label, e) AS class_size FROM v)"""
+
+
+@query(f"WITH {_VECTORS}, n AS (SELECT x, count(*) AS n FROM p GROUP BY x) SELECT vec_id, class, class_size, coalesce(n, 0) AS n_links FROM k LEFT JOIN n ON vec_id = x")
 def d5_vector_dup(t: Tables) -> DataFrame:
-    rows, similar = dedup.vector_classes(near_vectors(t))
-    of = lambda key, name: rows.select(F.col("class").alias(key), F.col("pos").alias(name))
-    same = of("x", "earlier").join(of("x", "later"), "x").select("earlier", "later")
-    across = similar.select(F.col("earlier").alias("x"), F.col("later").alias("y")).join(of("x", "earlier"), "x").join(of("y", "later"), "y").select("earlier", "later")
-    return same.unionByName(across).filter("earlier < later")
+    """One row per vector: its class of equal vectors, and how many vectors of its block are near it."""
+    members, similar = dedup.vector_classes(near_vectors(t))
+    rows, _ = dedup.class_links(members, "class", similar)
+    return rows.select(F.col("pos").alias("vec_id"), "class", "class_size", "n_links")
+
+
+@query(f"WITH {_VECTORS} SELECT a.class AS earlier, b.class AS later, count(*) AS pairs FROM p JOIN k a ON x = a.vec_id JOIN k b ON y = b.vec_id WHERE a.class < b.class GROUP BY 1, 2")
+def d5_class_pairs(t: Tables) -> DataFrame:
+    members, similar = dedup.vector_classes(near_vectors(t))
+    _, pairs = dedup.class_links(members, "class", similar)
+    return pairs.select(F.least("a", "b").alias("earlier"), F.greatest("a", "b").alias("later"), (F.col("a_size") * F.col("b_size")).alias("pairs"))
 
 
 _KEYED = f"""k AS (SELECT job_id AS pos, unnest(list_filter(['s' || nullif(source_url, 'ftp://bad'), 'a' || application_url, 'i' || source || chr(31) || source_job_id, 'm' || {_META}], lambda x: x IS NOT NULL)) AS key FROM postings),
@@ -356,11 +381,25 @@ def d10_staged(t: Tables) -> DataFrame:
     return dedup.deduplicate_in_stages(fold_rows(t).join(vectors, "pos", "left"))
 
 
+def head_documents(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """members (pos, class) and ratios (later, earlier, similarity) of classes of documents whose token sets have a Jaccard of 0.65 or more."""
+    members, sets = dedup.token_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"))
+    return dedup.head_classes(members, dedup.near_classes(sets, round(100 * dedup.PREFILTER)))
+
+
 @query()
 def t22_sequence_ratio(t: Tables) -> DataFrame:
-    members, sets = dedup.token_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"))
-    pairs = dedup.head_ratios(members, dedup.near_classes(sets, round(100 * dedup.PREFILTER)))
-    return pairs.select("later", "earlier", F.round("similarity", 6).alias("similarity"))
+    """Both ratios of every two classes (equal heads in one token set), named by their smallest doc_id, with their sizes. Within a class it is 1."""
+    members, ratios = head_documents(t)
+    pairs = dedup.class_links(members, "class", ratios.withColumnsRenamed({"later": "a", "earlier": "b"}), F.round("similarity", 6).alias("similarity"))[1]
+    return pairs.withColumnsRenamed({"a": "later", "b": "earlier", "a_size": "later_size", "b_size": "earlier_size"})
+
+
+@query()
+def t22_classes(t: Tables) -> DataFrame:
+    """The class of every document that has a token."""
+    members, ratios = head_documents(t)
+    return dedup.class_links(members, "class", ratios.limit(0).withColumnsRenamed({"later": "a", "earlier": "b"}))[0].select(F.col("pos").alias("doc_id"), "class", "class_size")
 
 
 def query_vector(t: Tables, vec_id: int) -> Column:

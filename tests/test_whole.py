@@ -6,8 +6,12 @@ import random
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from postmill.operators import dedup, fold
+from postmill.functions.vectors import cosine
+from postmill.operators import dedup, fold, vector_pairs
 from postmill.plans import texts
 from postmill.plans.standins import Tables
 
@@ -29,16 +33,67 @@ def near_pairs(rows, least):
     return {(a, b): score(a, b) for a, b in combinations(sorted(sets), 2) if score(a, b) >= least}
 
 
-def test_near_pairs_differ_anywhere(spark, tmp_path):
+def test_near_classes_stand_for_every_pair(spark, tmp_path):
     rows = near_texts()
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    sets = {i: frozenset((t or "").lower().split()) for i, t in rows}
     want = {k: round(v, 6) for k, v in near_pairs(rows, 0.85).items()}
-    got = entry.queries()["d4_near_dup"](spark, str(tmp_path)).collect()
-    assert {(r.earlier, r.later): r.jaccard for r in got} == want and len(got) == len(want) > 40
+    near = {r.doc_id: r for r in run("d4_near_dup")}
+    assert set(near) == {i for i in sets if sets[i]} and len(want) > 40
+    for i, r in near.items():
+        same = [j for j in near if sets[j] == sets[i]]
+        assert (r["class"], r.class_size, r.n_links) == (min(same), len(same), sum(i in pair for pair in want))
+    members = lambda rows: {c: [r.doc_id for r in rows if r["class"] == c] for c in {r["class"] for r in rows}}
+    of = members(near.values())
+    got = {(a, b): 1.0 for ids in of.values() for a, b in combinations(sorted(ids), 2)}
+    for r in run("d4_class_pairs"):
+        assert r.pairs == len(of[r.earlier]) * len(of[r.later])
+        got |= {(min(a, b), max(a, b)): r.jaccard for a in of[r.earlier] for b in of[r.later]}
+    assert got == want
     text = {i: (t or "")[:500].lower() for i, t in rows}
     want = {(b, a): round(SequenceMatcher(None, text[b], text[a]).ratio(), 6) for a, b in near_pairs(rows, dedup.PREFILTER)}
-    got = entry.queries()["t22_sequence_ratio"](spark, str(tmp_path)).collect()
-    assert {(r.later, r.earlier): r.similarity for r in got} == want and len(got) == len(want)
+    of = members(run("t22_classes"))
+    got = {(b, a): 1.0 for ids in of.values() for a, b in combinations(sorted(ids), 2)}
+    for r in run("t22_sequence_ratio"):
+        assert (r.later_size, r.earlier_size) == (len(of[r.later]), len(of[r.earlier]))
+        got |= {(b, a): r.similarity for b in of[r.later] for a in of[r.earlier] if a < b}
+    assert got == want
+
+
+def test_letters_bound_the_ratio(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abe é😀#z", k=rng.randrange(0, 30))) for _ in range(60)]
+    rows = spark.createDataFrame([(a, b) for a, b in zip(texts, texts[1:])], "a string, b string")
+    may = dedup.may_reach(dedup.letter_counts(F.col("a")), dedup.letter_counts(F.col("b")), 0.6)
+    got = rows.select("a", "b", may.alias("may")).collect()
+    assert all(r.may for r in got if SequenceMatcher(None, r.a, r.b).ratio() >= 0.6) and not all(r.may for r in got)
+
+
+def test_similar_vectors_of_all_tiles(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 24))
+    x = np.concatenate([centres[rng.integers(0, 12, 150)] + 0.25 * rng.normal(size=(150, 24)), rng.normal(size=(150, 24)), np.zeros((2, 24))])
+    rows = [(("a", "b")[i % 5 == 0], i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "block string, id long, embedding array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {(i, j) for i, j in combinations(range(len(x)), 2) if rows[i][0] == rows[j][0] and u[i] @ u[j] >= 0.92}
+    for tile in (40, 1000):
+        pairs, work = vector_pairs.similar(df, 0.92, cosine, tile)
+        assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 100
+        done = work.agg(F.sum("met"), F.sum("compared")).first()
+        assert len(want) < done[1] < 0.1 * len(x) ** 2 and done[0] <= len(x) ** 2
+    assert vector_pairs.similar(df.limit(0), 0.92, cosine)[0].count() == 0
+
+
+def test_whole_products_are_few():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 64))
+    x[1000:1100] = x[:100] + 0.1 * rng.normal(size=(100, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    i, j, n = vector_pairs.near_rows(x, x, 0.92)
+    assert {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b} == {(k, 1000 + k) for k in range(100) if x[k] @ x[1000 + k] >= 0.92}
+    assert n < 0.02 * 2000**2
 
 
 def test_rollup_takes_every_event(spark, tmp_path):
