@@ -70,9 +70,9 @@ def s16_uploads(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", boards.upload_problem(name, content).alias("problem"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'rate_limit_block' WHEN event_type = 'error' THEN 'transient_network' WHEN event_type = 'view' THEN 'parse_extraction' ELSE 'fatal' END AS category, event_id % 7 <> 0 AND event_type = 'error' AS retryable FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'rate_limit_block' WHEN event_type = 'error' THEN 'transient_network' WHEN event_type = 'view' THEN 'parse_extraction' WHEN event_type = 'signup' THEN 'source_config' ELSE 'fatal' END AS category, event_id % 7 <> 0 AND event_type = 'error' AS retryable FROM events")
 def s24_error_class(t: Tables) -> DataFrame:
-    said = F.when(F.col("event_type") == "error", "Connection reset by peer").when(F.col("event_type") == "view", "could not PARSE card").otherwise("boom")
+    said = F.when(F.col("event_type") == "signup", "Source config: no field map").when(F.col("event_type") == "error", "Connection reset by peer").when(F.col("event_type") == "view", "could not PARSE card").otherwise("boom")
     got = boards.classify_error(said, F.when(F.col("event_id") % 7 == 0, 429))
     return t.events.select("event_id", got["category"].alias("category"), got["retryable"].alias("retryable"))
 
@@ -363,9 +363,10 @@ def t26_described(t: Tables) -> DataFrame:
     return t.postings.select("job_id", got["description"].alias("description"), got["confidence"].alias("confidence"))
 
 
-@query("SELECT doc_id, substr(text, 1, CASE WHEN doc_id % 2 = 0 THEN 350 ELSE 300 END) AS company_summary, CASE WHEN doc_id % 3 = 0 THEN 'a,b,c,d' WHEN doc_id % 3 = 1 THEN lang END AS products FROM documents WHERE text <> '' AND source IS NOT NULL AND lang IS NOT NULL")
+@query("SELECT doc_id, substr(nullif(text, ''), 1, CASE WHEN doc_id % 2 = 0 THEN 350 ELSE 300 END) AS company_summary, CASE WHEN doc_id % 3 = 0 THEN 'a,b,c,d' WHEN doc_id % 3 = 1 THEN nullif(lang, '') END AS products FROM documents")
 def t34_research(t: Tables) -> DataFrame:
-    rows = t.documents.filter("text <> '' AND source IS NOT NULL AND lang IS NOT NULL")
+    """Every document as an answer of a model: a null or empty text is no summary, a null language no product."""
+    rows = t.documents
     k = F.col("doc_id") % 3
     listed = F.when(k == 0, F.to_json(F.struct(F.array(*map(F.lit, "abcde")).alias("products")))).when(k == 1, F.to_json(F.struct(F.col("lang").alias("core_products")))).otherwise("{}")
     said = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("text").alias("about")))).otherwise(F.to_json(F.struct("text")))

@@ -12,10 +12,10 @@ from ..operators import evaluation, keyed, windows
 from ..operators.tables import shared_folder
 from ..sources import sinks
 from ..sources.snapshots import Store
-from ..streaming import streams
+from ..streaming import ingest, streams
 from .feed import skill_lists
 from .registry import query
-from .standins import EVENTS_NOW, NOW, Tables, clock
+from .standins import EVENTS_NOW, NOW, POSTINGS, Tables, clock
 
 CANDIDATE = ["PROMO", "SMALL", "medium"]
 #: The transfer table of the stand-in's skills.
@@ -413,3 +413,51 @@ def c14_stored_misses(t: Tables) -> DataFrame:
     store.merge(keyed.latest_of(cache.select("calculated_at", *cache.columns[:-1]), evaluation.KEYS, "calculated_at"), lambda old, new: new)
     evaluation.store_misses(store, evaluation.evaluate_cached(jobs(t), TWO, store.read(), **HOW), clock(EVENTS_NOW))
     return store.read().select("job_id", "profile_id", F.round("overall_score", 6).alias("overall_score"), "job_version", "preference_version")
+
+
+_OLD = "1999-01-01 00:00:00"
+_RAW = """v AS (SELECT *, sha256(concat_ws('|', company_name, title, location)) AS job_hash, source = 'sample' AS failed, NOT regexp_matches(source_url, '^https?://') AS invalid, coalesce(posted_at >= TIMESTAMP '1999-01-01', false) AS young FROM postings),
+    f AS (SELECT * FROM v WHERE NOT failed AND NOT invalid AND young), u AS (SELECT job_hash, min(source_url) AS url FROM f GROUP BY 1), k AS (SELECT job_hash, min(job_hash) OVER (PARTITION BY url) AS key FROM u),
+    n AS (SELECT key, arg_max(source, (posted_at, source, source_url)) AS source, max(posted_at) AS posted_at, count(*) AS n FROM f JOIN k USING (job_hash) GROUP BY key)"""
+
+
+def raw_postings(t: Tables, orders: DataFrame) -> DataFrame:
+    """The stand-in's postings of some orders as a board gives them; one board is blocked."""
+    sql = POSTINGS.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}")
+    own = orders.sparkSession  # a batch of a stream has a session of its own
+    rows = own.sql(sql, orders=orders, customer=own.read.parquet(f"{t.sf_dir}/customer.parquet"))
+    failed = F.col("source") == "sample"
+    return rows.select(
+        F.sha2(F.concat_ws("|", "company_name", "title", "location"), 256).alias("job_hash"), "source", "source_url", "title", "company_name", "salary_max", "posted_at",
+        F.when(failed, "Too many requests").alias("error"), F.when(failed, 429).alias("status_code"),
+    )
+
+
+def ingested(t: Tables) -> Store:
+    store = ingest.create(t.spark, f"{shared_folder(t.spark)}/postmill/stores/{uuid.uuid4().hex}", 16)
+    path = f"{t.sf_dir}/orders.parque[t]"  # a pattern, since the table may be a file or a folder
+    rows = t.spark.readStream.schema(t.orders.schema).parquet(path)
+    bad = F.when(~F.col("source_url").rlike("^https?://"), "invalid_source_url")
+    ingest.run(rows, store, f"{store.path}/state", lambda batch: raw_postings(t, batch), clock(_OLD), bad)
+    return store
+
+
+@query(
+    f"""WITH {_RAW}, c AS (SELECT source, count(*) FILTER (NOT failed) AS discovered, count(*) FILTER (invalid AND NOT failed) AS invalid, count(*) FILTER (NOT failed AND NOT invalid AND NOT young) AS old, count(*) FILTER (NOT failed AND NOT invalid AND young) AS fresh FROM v GROUP BY 1),
+    s AS (SELECT source, count(*) AS kept FROM n GROUP BY 1)
+    SELECT source, CASE WHEN source = 'sample' THEN 'blocked' ELSE 'success' END AS status, CASE WHEN source = 'sample' THEN 'rate_limit_block' END AS error_category, 'partial_success' AS overall, discovered, invalid AS filtered_by_validation, old AS filtered_by_freshness,
+      fresh - coalesce(kept, 0) AS deduplicated, coalesce(kept, 0) AS canonical_saved FROM c LEFT JOIN s USING (source)""",
+    "postings",
+)
+def s23_ingest_report(t: Tables) -> DataFrame:
+    """What a stream over the orders reports of each source, over its batches."""
+    store = ingested(t)
+    reports = store.side("report", ingest.REPORT)
+    sums = reports.groupBy("source").agg(F.max("status").alias("status"), F.max("error_category").alias("error_category"), *[F.sum(c).alias(c) for c in ("discovered", "filtered_by_validation", "filtered_by_freshness", "deduplicated", "canonical_saved")])
+    return sums.withColumn("overall", F.lit(ingest.overall(reports).agg(F.max("status")).first()[0]))
+
+
+@query(f"WITH {_RAW} SELECT key AS job_hash, posted_at, n > 0 AS is_active FROM n", "postings")
+def k1_ingested(t: Tables) -> DataFrame:
+    """The stored postings that the stream leaves."""
+    return ingested(t).read().select("job_hash", "posted_at", "is_active")

@@ -5,8 +5,9 @@ that its rows touch, into a folder of its own, and then renames a new manifest i
 rename is the commit: before it nothing has changed, whatever else was written; two writers of one number can't both have
 it, and the later one is told. Readers keep the snapshot they opened, since no file is ever changed.
 
-A manifest also carries marks: names with a number each, set by the same rename. A stream marks the batches it has merged,
-so that a batch that comes again after a crash changes nothing.
+A manifest also carries marks, names with a number each, and side tables that rows are only appended to (an audit, rejects, what
+has been told). All of them change by the same rename, so they can't disagree. A stream marks the batches it has merged, so that a
+batch that comes again after a crash changes nothing.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ class Manifest:
     n_buckets: int
     buckets: dict[str, str] = field(default_factory=dict)
     marks: dict[str, int] = field(default_factory=dict)
+    sides: dict[str, list[str]] = field(default_factory=dict)
 
 
 class Store:
@@ -84,13 +86,18 @@ class Store:
         schema = _parse_datatype_string(m.schema)
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
+    def side(self, name: str, schema: str, m: Manifest | None = None) -> DataFrame:
+        folders = [f"{self.path}/{p}" for p in (m or self.manifest()).sides.get(name, [])]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
     def bucket(self, m: Manifest):
         return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in m.keys]), F.lit(m.n_buckets)).cast("int")
 
-    def merge(self, new: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame], mark: tuple[str, int] | None = None, base: Manifest | None = None, before_commit: Callable[[], None] = lambda: None) -> bool:
+    def merge(self, new: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame], mark: tuple[str, int] | None = None, base: Manifest | None = None, sides: dict[str, DataFrame] | None = None, before_commit: Callable[[], None] = lambda: None) -> bool:
         """Replaces the buckets that keys of new fall into by how(their old rows, new). False if the mark says it was done before.
 
-        new has the keys; how gives rows of the table's schema, in the same buckets. before_commit runs between files and rename.
+        new has the keys; how gives rows of the table's schema, in the same buckets. sides: rows to append to side tables. before_commit runs
+        between files and rename.
         """
         m = base or self.manifest()
         if mark and m.marks.get(mark[0], -1) >= mark[1]:
@@ -108,6 +115,10 @@ class Store:
             if not wrote <= touched:
                 raise ValueError(f"rows for buckets that no key of new falls into: {sorted(wrote - touched)[:5]}")
             buckets = {b: p for b, p in buckets.items() if int(b) not in touched} | {str(b): f"{folder}/__bucket={b}" for b in sorted(wrote)}
+        beside = {name: list(paths) for name, paths in m.sides.items()}
+        for name, rows in (sides or {}).items():
+            beside.setdefault(name, []).append(f"sides/{name}/{uuid.uuid4().hex}")
+            rows.write.option("compression", "zstd").parquet(f"{self.path}/{beside[name][-1]}")
         before_commit()
-        self._publish(Manifest(m.version + 1, m.schema, m.keys, m.n_buckets, buckets, marks))
+        self._publish(Manifest(m.version + 1, m.schema, m.keys, m.n_buckets, buckets, marks, beside))
         return True

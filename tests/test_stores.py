@@ -100,3 +100,58 @@ def test_misses_are_stored_and_hit_next_time(spark, tmp_path):
     assert {(r.job_id, r.profile_id): r.overall_score for r in again} == want
     other = [matching.evaluation.Candidate(**(c.__dict__ | {"preference_version": "2"})) for c in matching.TWO]
     assert not any(r.hit for r in evaluation.evaluate_cached(jobs, other, store.read(), **matching.HOW).select("hit").collect())
+
+
+class Killed(Exception):
+    pass
+
+
+def postings(n):
+    """Raw postings of one file: repeats over files and sources, a bad URL, old and undated ones, a source that fails once."""
+    rows = []
+    for i in range(30):
+        k = (i * 7 + n * 5) % 40
+        failed = i % 10 == 9 and n != 2
+        rows.append((f"h{k:02d}", "abc"[i % 3] if not failed else "down", "ftp://x" if i == 4 else f"https://x/{k % 33}", f"title {k} {n}", "firm", None if i % 4 else float(n), None if i == 5 else f"2024-01-{1 + (i * n) % 28:02d} 00:00:00", "Timed out" if failed else None, None))
+    return rows
+
+
+RAW = "job_hash string, source string, source_url string, title string, company_name string, salary_max double, posted_at string, error string, status_code int"
+
+
+@pytest.mark.parametrize("stage", ["before", "after"])
+def test_stream_killed_and_restarted_gives_the_undisturbed_table(spark, tmp_path, stage):
+    from postmill.streaming import ingest
+
+    files = tmp_path / "in"
+    for n in range(3):
+        spark.createDataFrame(postings(n), RAW).coalesce(1).write.mode("append").json(str(files))
+    oldest, bad = F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"), F.when(~F.col("source_url").rlike("^https?://"), "bad_url")
+    prepare = lambda b: b.withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
+
+    def run(name, **hooks):
+        store = Store(spark, str(tmp_path / name)) if (tmp_path / name).exists() else ingest.create(spark, str(tmp_path / name), 4)
+        rows = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).json(str(files))
+        ingest.run(rows, store, str(tmp_path / f"{name}-state"), prepare, oldest, bad, **hooks)
+        return store
+
+    calm = run("calm")
+    seen = []
+
+    def die(number):
+        seen.append(number)
+        if number == 1 and seen.count(1) == 1:
+            raise Killed
+
+    with pytest.raises(Exception):
+        run("torn", **{f"{stage}_commit": die})
+    torn = run("torn", **{f"{stage}_commit": die})
+    assert seen.count(1) == 2 if stage == "after" else seen.count(1) >= 2  # the batch came again
+    same = lambda s: [sorted(map(repr, (tuple(r) for r in df.collect()))) for df in (s.read(), s.side("report", ingest.REPORT), s.side("rejects", ingest.REJECTS), s.side("told", ingest.TOLD))]
+    assert same(torn) == same(calm) and all(same(calm))
+    told = [r.job_hash for r in calm.side("told", ingest.TOLD).collect()]
+    assert len(told) == len(set(told)) == calm.read().count()
+    status = {(r.batch, r.source): (r.status, r.error_category) for r in calm.side("report", ingest.REPORT).collect()}
+    assert sum(s == ("failed", "transient_network") for s in status.values()) == 2 and {s for s, _ in status.values()} == {"success", "failed"}
+    assert sorted(r.status for r in ingest.overall(calm.side("report", ingest.REPORT)).collect()) == ["partial_success", "partial_success", "success"]
+    assert sum(r.discovered for r in calm.side("report", ingest.REPORT).collect()) == sum(not r[7] for n in range(3) for r in postings(n))
