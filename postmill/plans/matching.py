@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..operators import evaluation, keyed, windows
 from ..operators.tables import shared_folder
 from ..sources import sinks
 from ..sources.snapshots import Store
-from ..streaming import ingest, streams
+from ..streaming import ingest, runs, streams
 from .feed import skill_lists
 from .registry import query
 from .standins import EVENTS_NOW, NOW, POSTINGS, Tables, clock
@@ -461,3 +462,37 @@ def s23_ingest_report(t: Tables) -> DataFrame:
 def k1_ingested(t: Tables) -> DataFrame:
     """The stored postings that the stream leaves."""
     return ingested(t).read().select("job_hash", "posted_at", "is_active")
+
+
+def run_events(t: Tables, days: int, **kinds: str) -> DataFrame:
+    """Events of a user and window as events of a run. kinds: what each type of event says; all others are steps."""
+    kind = F.lit("step")
+    for event, said in kinds.items():
+        kind = F.when(F.col("event_type") == event, said).otherwise(kind)
+    return runs.windowed(streams.event_stream(t.spark, f"{t.sf_dir}/events.parque[t]"), "ts", "event_id", kind, [F.col("user_id")], days)
+
+
+def stream_folder(t: Tables) -> str:
+    return f"{shared_folder(t.spark)}/postmill/streams/{uuid.uuid4().hex}"
+
+
+@query(
+    """WITH e AS (SELECT user_id, date_trunc('day', ts) AS day, ts, event_id, event_type IN ('purchase', 'error') AS ends, event_type FROM events),
+    f AS (SELECT *, sum(ends::INT) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - ends::INT AS before FROM e)
+    SELECT user_id, day, count(*) AS n_events, coalesce(max(CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END), 'running') AS status, max(ts) FILTER (ends) AS ended_at
+    FROM f WHERE before = 0 AND day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY user_id, day"""
+)
+def r4_run_log(t: Tables) -> DataFrame:
+    """A user's day as a run whose log ends with its first purchase or error; days that the watermark has passed."""
+    rows = runs.settled(run_events(t, 1, purchase="completed", error="failed"), ["user_id", "window"], "1 hour", runs.run_log, "user_id long, window timestamp, n_events long, status string, ended_at long")
+    out = runs.drain_state(rows, stream_folder(t))
+    return out.select("user_id", F.col("window").cast("timestamp_ntz").alias("day"), "n_events", "status", F.timestamp_micros("ended_at").cast("timestamp_ntz").alias("ended_at"))
+
+
+@query()
+def r12_approval_weeks(t: Tables) -> DataFrame:
+    """A user's week of requests (views), approvals (clicks) and rejections (errors)."""
+    counts = ["asked", "suppressed", "approved", "rejected", "expired", "pending", "unheard"]
+    schema = "user_id long, window timestamp, " + ", ".join(f"{c} long" for c in counts)
+    rows = runs.settled(run_events(t, 7, view="request", click="approve", error="reject"), ["user_id", "window"], "1 hour", partial(runs.approvals, hours=24), schema)
+    return runs.drain_state(rows, stream_folder(t)).select("user_id", F.col("window").cast("timestamp_ntz").alias("week"), *counts)

@@ -16,6 +16,8 @@ def query(sql: str | None = None, *views: str):
     """Registers a function of Tables under its name; sql is run with the named views before it."""
 
     def register(f: Callable[[Tables], DataFrame]):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             SQL[f.__name__] = oracle(sql, *views)
