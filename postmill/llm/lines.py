@@ -6,7 +6,8 @@ a row, they count documents per hash; hashes found in enough documents are a tab
 then gets the positions it loses and is reassembled from its own lines by the positions that stay: texts move once, and
 the work is linear in a document's lines.
 
-Defined cases: a null or empty text is one empty line; every row is a document; a null doc_id never holds a line
+Defined cases: a null or empty text is one empty line; rows that share a doc_id count as one document, and every row of
+a null doc_id as one; a null doc_id never holds a line
 for the others and keeps its lines only if all holders are null; rows that share the largest doc_id all keep theirs;
 rows of equal doc_id and text are treated alike; an empty table gives no rows; other columns are ignored.
 """
@@ -35,7 +36,12 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     base = docs.select("doc_id", F.xxhash64(whole()).alias("key"), F.split(whole(), "\n", -1).alias("lines"))
     hashed = materialise(base.select("doc_id", "key", F.transform("lines", lambda x: _hash(x, min_chars)).alias("hashes")), "line-hashes")
     seen = hashed.select("doc_id", F.explode(F.array_compact(F.array_distinct("hashes"))).alias("h"))
-    common = seen.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")).filter(F.col("n") >= min_docs)
+    ids = hashed.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.filter("doc_id IS NOT NULL AND n > 1").isEmpty():  # then rows are documents
+        seen = seen.withColumn("n", F.lit(1))
+    else:
+        seen = seen.groupBy("h", "doc_id").agg(F.when(F.col("doc_id").isNull(), F.count("*")).otherwise(1).alias("n"))
+    common = seen.groupBy("h").agg(F.sum("n").alias("n"), F.max("doc_id").alias("holder")).filter(F.col("n") >= min_docs)
     common = materialise(common.select("h", "holder"), "common-lines")
     places = hashed.select("doc_id", "key", F.posexplode("hashes").alias("pos", "h")).filter("h IS NOT NULL")
     lost = places.join(common, "h").filter(~F.col("doc_id").eqNullSafe(F.col("holder"))).groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(F.collect_set("pos").alias("lost"))

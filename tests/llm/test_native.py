@@ -57,12 +57,12 @@ def test_exact_empty_table(spark):
 
 def brute_lines(rows, least, docs):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
-    seen, split = defaultdict(list), [(d, (t or "").split("\n")) for d, t in rows]
+    seen, split = defaultdict(set), [(d, (t or "").split("\n")) for d, t in rows]
     for n, (d, ls) in enumerate(split):
         for k in {key(x) for x in ls}:
             if len(k) >= least:
-                seen[k].append(d)
-    holder = {k: max((d for d in ids if d is not None), default=None) for k, ids in seen.items() if len(ids) >= docs}
+                seen[k].add((d, n if d is None else 0))
+    holder = {k: max((d for d, _ in ids if d is not None), default=None) for k, ids in seen.items() if len(ids) >= docs}
     out = []
     for d, ls in split:
         kept = [x for x in ls if holder.get(key(x), d) == d]
@@ -75,6 +75,10 @@ def test_lines_against_brute_force(spark):
     rows = [(1, f"{c}\nown one"), (2, f"x\n  {c.upper()}\t\n{c}"), (3, f"{c}\n{c}\n\nend"), (4, None), (5, ""), (6, "short\nshort"), (7, "short"), (8, "short"), (None, c), (9, "é" * 20), (10, "é" * 20), (11, "É" * 20 + "\n" + "é" * 20), (12, LONG)]
     got = lines.drop_lines(table(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == brute_lines(rows, 20, 3)
+    twice = [(1, f"{c}\na"), (1, f"{c}\nb"), (1, c), (2, c), (3, "é" * 30), (4, "é" * 30), (5, "é" * 30), (5, "é" * 30), (None, "ñ" * 30), (None, "ñ" * 30), (6, "ñ" * 30)]
+    got = lines.drop_lines(table(spark, twice)).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == brute_lines(twice, 20, 3)
+    assert {(r.doc_id, r.n_dropped) for r in got if r.doc_id in (1, 2)} == {(1, 0), (2, 0)}  # two documents have that line
 
 
 def test_lines_empty_table(spark):
