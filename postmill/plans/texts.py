@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts, identity, markup, places, skills, times, titles, vectors
-from ..operators import dedup
+from ..operators import dedup, dictionary
 from .registry import query
 from .standins import NOW, Tables, clock
 
@@ -35,6 +35,15 @@ def t3_skill_scan(t: Tables) -> DataFrame:
     return t.postings.select("job_id", skills.scan_skills(F.concat_ws(" ", "title", "description")).alias("skills"))
 
 
+@query()
+def t3_dictionary(t: Tables) -> DataFrame:
+    """Skills of descriptions by a join with the alias table; tags part words like blanks."""
+    aliases = t.spark.createDataFrame(list(skills.ALIASES.items()), "alias string, value string")
+    text = F.regexp_replace(F.regexp_replace("description", "<[^>]*>", " "), r"\.(?=\s|$)", " ")
+    got = dictionary.longest_matches(t.postings.select("job_id", text.alias("text")), "job_id", "text", aliases)
+    return got.select("job_id", "first", F.col("run").alias("alias"), F.col("value").alias("skill"))
+
+
 @query()
 def t4_skill_sections(t: Tables) -> DataFrame:
     text = F.concat("description", F.lit("\nNice to have: Docker, Kafka\nRequirements: SQL"))
