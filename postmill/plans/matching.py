@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import places, scoring, titles
-from ..operators import evaluation, keyed, windows
+from ..operators import evaluation, keyed, recommend, windows
 from ..operators.tables import shared_folder
 from ..sources import sinks
 from ..sources.snapshots import Store
@@ -496,3 +496,21 @@ def r12_approval_weeks(t: Tables) -> DataFrame:
     schema = "user_id long, window timestamp, " + ", ".join(f"{c} long" for c in counts)
     rows = runs.settled(run_events(t, 7, view="request", click="approve", error="reject"), ["user_id", "window"], "1 hour", partial(runs.approvals, hours=24), schema)
     return runs.drain_state(rows, stream_folder(t)).select("user_id", F.col("window").cast("timestamp_ntz").alias("week"), *counts)
+
+
+@query(
+    """WITH s AS (SELECT job_id, list_sort(list(DISTINCT skill)) AS ks FROM posting_skills WHERE job_id IN (SELECT job_id FROM postings WHERE is_active) GROUP BY job_id),
+    o AS (SELECT profile_id, list(skill) AS own FROM (SELECT DISTINCT o_custkey AS profile_id, p_type AS skill FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R') GROUP BY 1),
+    k AS (SELECT ks, list(job_id ORDER BY job_id)[1:5] AS ids FROM s GROUP BY ks),
+    m AS (SELECT profile_id, ids, len(list_filter(ks, lambda x: list_contains(own, x))) / len(ks)::DOUBLE * 100 AS score FROM o, k),
+    r AS (SELECT profile_id, unnest(ids) AS job_id, score FROM m WHERE score > 0)
+    SELECT profile_id, job_id, round(score, 1) AS required_score FROM r QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, job_id) <= 5""",
+    "postings",
+    "posting_skills",
+)
+def o7_all_candidates(t: Tables) -> DataFrame:
+    """The five best postings of every customer, whose skills are the kinds of part that came back."""
+    jobs = skill_lists(t).join(t.postings.filter("is_active").select("job_id"), "job_id")
+    items = t.orders.join(t.lineitem.filter("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    own = items.groupBy(F.col("o_custkey").alias("profile_id")).agg(F.collect_set("p_type").alias("skills"))
+    return recommend.top_postings(jobs, own, 5)[0].select("profile_id", "job_id", F.round("required_score", 1).alias("required_score"))
