@@ -1,11 +1,16 @@
-"""Tables written to the folder that driver and executors share, to end lineage."""
+"""Tables written to the folder that driver and executors share, to end lineage, and a scope that removes them."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders made within each open scope, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark) -> str:
@@ -19,7 +24,27 @@ def shared_folder(spark) -> str:
     return top.rstrip("/")
 
 
+def note(path: str) -> str:
+    """path, to be removed with the innermost scope."""
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, on leaving, the tables that were written within to end lineage. Write or collect results inside; a frame that reads such a table is of no use after."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        paths = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _scopes.pop():
+            at = paths(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/postmill/tables/{uuid.uuid4().hex}"
+    path = note(f"{shared_folder(df.sparkSession)}/postmill/tables/{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -155,3 +155,17 @@ def test_stream_killed_and_restarted_gives_the_undisturbed_table(spark, tmp_path
     assert sum(s == ("failed", "transient_network") for s in status.values()) == 2 and {s for s, _ in status.values()} == {"success", "failed"}
     assert sorted(r.status for r in ingest.overall(calm.side("report", ingest.REPORT)).collect()) == ["partial_success", "partial_success", "success"]
     assert sum(r.discovered for r in calm.side("report", ingest.REPORT).collect()) == sum(not r[7] for n in range(3) for r in postings(n))
+
+
+def test_scratch_removes_its_tables(spark):
+    from postmill.operators.tables import cut_lineage, scratch
+
+    outside = cut_lineage(spark.range(3))
+    with scratch(spark):
+        inside = cut_lineage(spark.range(5))
+        with scratch(spark):
+            assert cut_lineage(spark.range(2)).count() == 2
+        assert inside.count() == 5
+    assert outside.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(inside.inputFiles()[0])
