@@ -14,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import note
+
 #: Body of a character class: space and 0x09 to 0x0D.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -61,7 +63,7 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
 
 def materialise(df: DataFrame, tag: str, level: int = 3) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends, a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession, tag)
+    path = note(shared_dir(df.sparkSession, tag))  # operators.tables.scratch removes it
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
