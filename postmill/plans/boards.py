@@ -97,6 +97,26 @@ def k9_exposition(t: Tables) -> DataFrame:
     return sinks.exposition(rows.withColumn("kind", F.lit("gauge")))
 
 
+_LAST = """h AS (SELECT 'value{event_type="' || event_type || '"}' AS key, count(*) AS n, round(avg(value), 4) AS a, round(min(value), 4) AS lo, round(max(value), 4) AS hi, round(sum(value), 4) AS s
+    FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 100) GROUP BY event_type)"""
+
+
+def last_values(t: Tables) -> DataFrame:
+    return sinks.histograms(t.events, F.concat(F.lit('value{event_type="'), "event_type", F.lit('"}')), ["ts", "event_id"], "value")
+
+
+@query(f"WITH {_LAST} SELECT key, n AS count, a AS avg_sec, lo AS min_sec, hi AS max_sec FROM h")
+def k9_histograms(t: Tables) -> DataFrame:
+    """The summaries as they come back from JSON."""
+    told = sinks.histogram_json(last_values(t))
+    return told.select("key", F.from_json("json", "count long, avg_sec double, min_sec double, max_sec double").alias("j")).select("key", "j.*")
+
+
+@query(f"WITH {_LAST} SELECT 'value_count' || key[6:] || ' ' || n AS line FROM h UNION ALL SELECT 'value_sum' || key[6:] || ' ' || printf('%.4f', s) FROM h")
+def k9_histogram_lines(t: Tables) -> DataFrame:
+    return sinks.histogram_lines(last_values(t))
+
+
 @query(
     """SELECT d.doc_id, coalesce(lang, CASE WHEN l.doc_id IS NOT NULL THEN 'xx' END) AS lang, coalesce(source, 'quality' || quality) AS source,
       CASE WHEN l.doc_id IS NOT NULL THEN '{"lang":"xx","source":"quality' || quality || '"}' END AS payload FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import amounts, identity, markup, places, skills, times, titles, vectors
+from ..functions import amounts, findings, identity, markup, places, skills, times, titles, vectors
 from ..operators import dedup, dictionary
 from .registry import query
 from .standins import NOW, Tables, clock
@@ -222,6 +222,19 @@ def t42_secret_scan(t: Tables) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("pattern"), F.coalesce(F.col(k), F.lit(0)).alias("n")) for k in _PATTERNS])).alias("x")).select("x.pattern", "x.n")
 
 
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS s FROM documents) WHERE NOT regexp_matches(lower(s), '{'|'.join(findings.DUMMIES)}')"
+    for kind, pattern in {**findings.SECRETS, **_PATTERNS}.items()
+)
+
+
+@query(f"SELECT doc_id, kind, CASE WHEN length(s) > 10 THEN s[1:6] || '...' || s[-4:] ELSE '***' END AS masked FROM ({_FOUND})")
+def t42_findings(t: Tables) -> DataFrame:
+    """Every secret, address and card number of every document, masked."""
+    found = findings.secret_findings(F.col("text"), {**findings.SECRETS, **_PATTERNS})
+    return t.documents.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.kind", "f.masked")
+
+
 @query("SELECT page_id, CASE WHEN contains(lower(html), 'captcha') OR contains(lower(html), 'enable javascript') THEN 'VERIFY_OR_CAPTCHA' END AS state FROM pages")
 def s9_block_class(t: Tables) -> DataFrame:
     return t.pages.select("page_id", markup.block_state(F.col("html")).alias("state"))

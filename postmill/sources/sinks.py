@@ -35,6 +35,26 @@ def exposition(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.concat(F.lit("# TYPE "), name, F.lit(" "), "kind", F.lit("\n"), name, F.lit(" "), F.format_string("%.4f", F.col("value"))).alias("line"))
 
 
+def histograms(rows: DataFrame, key: Column, at: list[str], value: str, n: int = 100) -> DataFrame:
+    """key, count, avg_sec, min_sec, max_sec, sum of the last n observations of each key (ties by value). No task sends more than n rows of a key."""
+    order = Window.partitionBy("key").orderBy(*[F.desc(c) for c in at], F.desc(value))
+    last = rows.select(key.alias("key"), *at, value).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    r = lambda c: F.round(c, 4)
+    return last.groupBy("key").agg(F.count("*").alias("count"), r(F.avg(value)).alias("avg_sec"), r(F.min(value)).alias("min_sec"), r(F.max(value)).alias("max_sec"), r(F.sum(value)).alias("sum"))
+
+
+def histogram_lines(found: DataFrame) -> DataFrame:
+    """line: number and sum of each key as text; labels stay behind the name."""
+    name, labels = F.regexp_extract("key", r"^[^{]*", 0), F.regexp_extract("key", r"\{.*$", 0)
+    line = lambda end, v: F.concat(name, F.lit(end), labels, F.lit(" "), v)
+    return found.select(F.explode(F.array(line("_count", F.col("count").cast("string")), line("_sum", F.format_string("%.4f", F.col("sum"))))).alias("line"))
+
+
+def histogram_json(found: DataFrame) -> DataFrame:
+    """key, json: the summary of each key."""
+    return found.select("key", F.to_json(F.struct("count", "avg_sec", "min_sec", "max_sec")).alias("json"))
+
+
 def last_rows(spark: SparkSession, path: str, schema: str, key: Column, at: str, n: int) -> DataFrame:
     """The newest n rows of a history that is appended to, among those that key selects; ties by all columns."""
     rows = spark.read.schema(schema).parquet(path).filter(key)
