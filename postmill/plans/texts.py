@@ -327,8 +327,8 @@ def d4_class_pairs(t: Tables) -> DataFrame:
 
 
 def near_documents(t: Tables) -> tuple[DataFrame, DataFrame]:
-    members, sets = dedup.token_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"))
-    return dedup.class_links(members, "set_id", dedup.near_classes(sets, 85), F.col("jaccard"))
+    members, near = dedup.near_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"), 85)
+    return dedup.class_links(members, "set_id", near, F.col("jaccard"))
 
 
 def near_vectors(t: Tables) -> DataFrame:
@@ -405,8 +405,7 @@ def d10_staged(t: Tables) -> DataFrame:
 
 def head_documents(t: Tables) -> tuple[DataFrame, DataFrame]:
     """members (pos, class) and ratios (later, earlier, similarity) of classes of documents whose token sets have a Jaccard of 0.65 or more."""
-    members, sets = dedup.token_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"))
-    return dedup.head_classes(members, dedup.near_classes(sets, round(100 * dedup.PREFILTER)))
+    return dedup.head_classes(*dedup.near_classes(t.documents.select(F.col("doc_id").alias("pos"), "text"), round(100 * dedup.PREFILTER), keep_heads=True))
 
 
 @query()
