@@ -242,6 +242,24 @@ def test_jaccard_components(spark, k, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, k, percent)
 
 
+def test_jaccard_components_that_share_passages(spark):
+    """Groups of near copies that share long passages with other groups: their lists are much alike, and joined."""
+    rng = random.Random(12)
+    say = lambda n: [f"r{rng.randrange(10**6)}" for _ in range(n)]
+    passages, rows = [say(40) for _ in range(5)], []
+    for g in range(30):
+        own = say(rng.randrange(20, 160))
+        words = [w for p in rng.sample(passages, rng.randrange(1, 4)) for w in p] + own
+        for _ in range(rng.randrange(1, 6)):
+            w = list(words)
+            for _ in range(rng.randrange(0, 9)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = jaccard.near_groups(table(spark, rows), 5, 80).collect()
+    want = brute_components(rows, 5, 80)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want and 10 < len({k[2] for k in want}) < len(rows)
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard.near_groups(table(spark, [])).count() == 0
 
