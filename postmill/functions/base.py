@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +27,11 @@ def any_in(c: Column, words: Iterable[str]) -> Column:
     return out
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c worked out once for each row however often use reads it."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
 def first_true(*cases: tuple[Column, object], otherwise: object = None) -> Column:
     """The value of the first case that holds."""
     (test, value), *rest = cases
