@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import any_in, first_true, found
+from .base import any_in, bound, first_true, found
 
 # Marks of pages.
 CARD_MARKS = ["individual_internship", "internship_meta", "internship_list_container", "job-card-wrapper"]
@@ -56,15 +56,18 @@ def json_ld_blocks(html: Column) -> Column:
 
 
 def job_posting(html: Column) -> Column:
-    """struct of the first JobPosting node; null if there is none."""
+    """struct of the first JobPosting node; null if there is none. The page is parsed once for each row, and so is each part of the node that is read several times."""
     kind = lambda v: F.coalesce(F.try_variant_get(v, "$['@type']", "array<string>"), F.array(F.try_variant_get(v, "$['@type']", "string")))
     nodes = F.filter(json_ld_blocks(html), lambda v: F.arrays_overlap(kind(v), F.array(*map(F.lit, ("JobPosting", "https://schema.org/JobPosting", "http://schema.org/JobPosting")))))
-    v = F.get(nodes, 0)
+    return bound(F.get(nodes, 0), lambda v: F.when(v.isNotNull(), _posting(v)))
+
+
+def _posting(v: Column) -> Column:
     text = lambda path: F.try_variant_get(v, path, "string")
     address = F.coalesce(*[F.nullif(F.concat_ws(", ", *[F.nullif(F.trim(text(f"{at}.address.{part}")), F.lit("")) for part in ("addressLocality", "addressRegion", "addressCountry")]), F.lit("")) for at in ("$.jobLocation", "$.jobLocation[0]")], text("$.jobLocation.address"))
-    unit = F.upper(F.coalesce(text("$.baseSalary.value.unitText"), F.lit("")))
+    period = lambda unit: first_true((unit.contains("MONTH"), F.lit("MONTH")), (unit.contains("HOUR"), F.lit("HOUR")), otherwise=F.lit("YEAR"))
     skills = F.coalesce(F.try_variant_get(v, "$.skills", "array<string>"), F.split(text("$.skills"), ","), F.array().cast("array<string>"))
-    node = F.struct(
+    return F.struct(
         F.trim(F.coalesce(text("$.title"), F.lit(""))).alias("title"),
         F.trim(F.coalesce(text("$.hiringOrganization.name"), text("$.hiringOrganization"), F.lit(""))).alias("company_name"),
         strip_tags(text("$.description")).alias("description"),
@@ -75,10 +78,9 @@ def job_posting(html: Column) -> Column:
         F.coalesce(F.try_variant_get(v, "$.baseSalary.value.minValue", "double"), F.try_variant_get(v, "$.baseSalary.value.value", "double"), F.try_variant_get(v, "$.baseSalary.value", "double")).alias("salary_min"),
         F.coalesce(F.try_variant_get(v, "$.baseSalary.value.maxValue", "double"), F.try_variant_get(v, "$.baseSalary.value.value", "double")).alias("salary_max"),
         F.coalesce(text("$.baseSalary.currency"), F.lit("INR")).alias("salary_currency"),
-        first_true((unit.contains("MONTH"), F.lit("MONTH")), (unit.contains("HOUR"), F.lit("HOUR")), otherwise=F.lit("YEAR")).alias("salary_period"),
+        bound(F.upper(F.coalesce(text("$.baseSalary.value.unitText"), F.lit(""))), period).alias("salary_period"),
         F.filter(F.transform(skills, lambda s: F.trim(s)), lambda s: s != "").alias("skills"),
     )
-    return F.when(v.isNotNull(), node)
 
 
 def with_fallback(**options: Column) -> Column:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.functions import places
+from postmill.functions import markup, places
 
 
 def times_read(spark, make):
@@ -25,3 +25,7 @@ def test_places_by_the_same_rules(spark):
     }
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, c string")
     assert [r[0] for r in rows.orderBy("i").select(places.normalize_location(F.col("c"))).collect()] == list(cases.values())
+
+
+def test_a_job_posting_parses_the_page_once(spark):
+    assert times_read(spark, markup.job_posting) == 1
