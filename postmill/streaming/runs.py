@@ -1,7 +1,7 @@
-"""Logs of runs and approvals as keyed state over event files, with event-time timers.
+"""Logs of runs and approvals as keyed state over event files, in event-time windows.
 
 A key's events wait in its state until the watermark has passed the end of its window, so their order of arrival does not
-matter; a timer then settles the key in the order of the events and its state goes. What comes later than the watermark
+matter; then the key is settled in the order of the events and its state goes. What comes after its window was given out
 is not heard. State holds one window's events of a key, nothing else.
 """
 
@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Statuses that end a run.
 TERMINAL = ("completed", "failed", "cancelled")
-HELD = "at long, id long, kind string"
 
 
 def run_log(events: list[tuple]) -> tuple:
@@ -51,45 +50,32 @@ def approvals(events: list[tuple], hours: int) -> tuple:
     return asked, suppressed, approved, rejected, expired, int(since is not None), unheard
 
 
-class Settle(StatefulProcessor):
-    """Holds a key's events until its window is over, then gives one row: the key and what settle says of the events in order."""
+def settled(events: DataFrame, keys: list[str], late: str, settle: Callable[[list[tuple]], tuple], schema: str, day: int = 1) -> DataFrame:
+    """A row per key once the watermark has passed its end. events: as windowed gives them for as many days; schema: of the keys and what settle gives.
 
-    def __init__(self, names: list[str], settle: Callable[[list[tuple]], tuple], out: list[str]):
-        self.names, self.settle, self.out = names, settle, out
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", HELD)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ends = None
-        for batch in rows:
-            self.events.appendList([(int(at), int(i), k) for at, i, k in zip(batch["micros"], batch["id"], batch["kind"])])
-            ends = int(batch["ends"].iloc[0]) if len(batch) else ends
-        if ends is not None:
-            self.handle.registerTimer(ends // 1000)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        events = sorted((tuple(e) for e in self.events.get()), key=lambda e: (e[0], e[1]))
-        self.events.clear()
-        yield pd.DataFrame([(*key, *self.settle(events))], columns=self.out)
-
-    def close(self) -> None:
-        pass
-
-
-def settled(events: DataFrame, keys: list[str], late: str, settle: Callable[[list[tuple]], tuple], schema: str) -> DataFrame:
-    """A row per key once the watermark has passed its end. events: as windowed gives them; schema: of the keys and what settle gives."""
-    out = [c.split()[0] for c in schema.split(", ")]
-    rows = events.withWatermark("at", late).groupBy(*keys)
-    return rows.transformWithStateInPandas(Settle(keys, settle, out), outputStructType=schema, outputMode="Append", timeMode="EventTime")
-
-
-def windowed(events: DataFrame, at: str, id_: str, kind: Column, keys: list[Column], day: int = 1) -> DataFrame:
-    """events by keys and window of some days: keys, window, at, micros (of at), id, kind, ends (of the window, in microseconds)."""
-    w = F.window(F.col(at), f"{day} days")
-    return events.select(*keys, w["start"].alias("window"), F.col(at).alias("at"), F.unix_micros(at).alias("micros"), F.col(id_).alias("id"), kind.alias("kind"), F.unix_micros(w["end"]).alias("ends"))
+    Spark's windowed aggregate holds the lists, so no key's state goes through Python one by one; settle runs over Arrow batches of keys that are done.
+    """
+    held = F.sort_array(F.collect_list(F.struct(F.col("micros").alias("at"), "id", "kind"))).alias("events")
+    spans = events.withWatermark("at", late).groupBy(F.window("at", f"{day} days").alias("span"), *[k for k in keys if k != "window"]).agg(held)
+    done = spans.select(*[F.col("span.start").alias("window") if k == "window" else k for k in keys], "events")
+    columns = [tuple(c.split()) for c in schema.split(", ")]
+    names, kinds = [c for c, _ in columns], [{"long": pa.int64(), "string": pa.string()}[k] for _, k in columns[len(keys) :]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("events")
+            flat, edges = lists.flatten(), [0, *np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()]
+            every = list(zip(*(flat.field(c).to_pylist() for c in ("at", "id", "kind"))))
+            told = [settle(every[a:b]) for a, b in zip(edges, edges[1:])]
+            values = [pa.array(v, t) for v, t in zip(zip(*told) if told else [()] * (len(names) - len(keys)), kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *values], names=names)
+
+    return done.mapInArrow(run, schema)
+
+
+def windowed(events: DataFrame, at: str, id_: str, kind: Column, keys: list[Column]) -> DataFrame:
+    """events by keys: keys, at, micros (of at), id, kind. settled puts them into windows, once the watermark is known."""
+    return events.select(*keys, F.col(at).alias("at"), F.unix_micros(at).alias("micros"), F.col(id_).alias("id"), kind.alias("kind"))
 
 
 def drain_state(rows: DataFrame, path: str) -> DataFrame:

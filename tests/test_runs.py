@@ -57,3 +57,12 @@ def test_approvals_of_one_key():
     events = [(0, 1, "request"), (hour, 2, "request"), (2 * hour, 3, "approve"), (3 * hour, 4, "reject"), (4 * hour, 5, "request"), (30 * hour, 6, "approve"), (31 * hour, 7, "request"), (31 * hour, 8, "step"), (32 * hour, 9, "reject"), (33 * hour, 10, "request")]
     assert runs.approvals(events, 24) == (4, 1, 1, 1, 1, 1, 2)
     assert runs.approvals([], 24) == (0,) * 7
+
+
+def test_an_event_is_heard_while_its_window_is_open(spark, tmp_path):
+    hours = lambda *at: [(h, START + datetime.timedelta(hours=h), 1, "step") for h in at]
+    where = str(tmp_path / "in")
+    for part in (hours(12, 20), hours(13, 300)):  # 13 is behind the watermark of 19, its day is not
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(where)
+        out = runs.drain_state(runs.settled(rows_of(spark, where), ["user_id", "window"], "1 hour", runs.run_log, LOG), str(tmp_path / "run"))
+    assert [(r.window.day, r.n_events) for r in out.collect()] == [(1, 3)]
