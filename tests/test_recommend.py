@@ -20,3 +20,11 @@ def test_top_postings_against_all_pairs(spark):
         want = sorted(scores, key=lambda x: (-x[1], x[0]))[:20]
         assert got.get(c, {}) == {i: w for i, w in enumerate(want, 1)}
     assert work.first()[0] < 0.02 * len(jobs) * len(candidates)
+
+
+def test_candidates_of_equal_skills_are_scored_once(spark):
+    jobs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["c"])], "job_id long, skills array<string>")
+    candidates = spark.createDataFrame([(i, ["b", "a"] if i % 2 else ["a", "b", "a"]) for i in range(50)], "profile_id long, skills array<string>")
+    top, work = recommend.top_postings(jobs, candidates, 5)
+    assert sorted((r.profile_id, r.place, r.job_id) for r in top.collect()) == [(i, p, j) for i in range(50) for p, j in ((1, 1), (2, 2))]
+    assert work.first()[0] == 2
