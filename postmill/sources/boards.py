@@ -103,7 +103,7 @@ class _Cards(HTMLParser):
             self.stack.append((tag, name))
 
     def handle_endtag(self, tag):
-        if all(t != tag for t, _ in self.stack):  # never opened
+        if not (self.stack and self.stack[-1][0] == tag) and all(t != tag for t, _ in self.stack):  # never opened
             return
         while self.stack:
             top, _ = self.stack.pop()
@@ -113,8 +113,8 @@ class _Cards(HTMLParser):
                 break
 
     def handle_data(self, data):
-        text = " ".join(data.split())
-        name = next((n for _, n in reversed(self.stack) if n), None) if text and self.open is not None else None
+        text = " ".join(data.split()) if self.open is not None else ""
+        name = next((n for _, n in reversed(self.stack) if n), None) if text else None
         if name:
             texts = self.cards[-1]["texts"]
             texts[name] = f"{texts[name]} {text}" if name in texts else text
@@ -125,6 +125,28 @@ class _Cards(HTMLParser):
         return [{**c, **best(c["texts"])} for c in self.cards]
 
 
+class _Page(HTMLParser):
+    """What a parser is told of a page, in order, to be told again to several; reading the page costs more than they do."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.told: list[tuple] = []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.told.append((_Cards.handle_starttag, tag, attrs))
+
+    def handle_endtag(self, tag):
+        self.told.append((_Cards.handle_endtag, tag))
+
+    def handle_data(self, data):
+        self.told.append((_Cards.handle_data, data))
+
+    def tell(self, cards: _Cards) -> None:
+        for handle, *what in self.told:
+            handle(cards, *what)
+
+
 CARD = "id string, title string, company string, location string, time string, url string"
 # Card classes and field classes of the boards, the likeliest first.
 BOARDS = {
@@ -145,11 +167,12 @@ LOOKED_AT = 10
 
 def choose_cards(page: str, classes: list[str], fields: dict[str, list[str]]) -> list[dict]:
     """The cards of the class that has the most with title and company among its first ones; ties go to the earlier class."""
-    best, most = [], 0
+    best, most, told = [], 0, None
     for card in classes:
         if card in page:
+            told = told or _Page(page)
             parser = _Cards(card, fields)
-            parser.feed(page)
+            told.tell(parser)
             found = parser.rows()
             usable = sum(bool(c.get("title") and c.get("company")) for c in found[:LOOKED_AT])
             if usable > most or not best:
