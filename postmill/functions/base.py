@@ -44,5 +44,5 @@ def first_true(*cases: tuple[Column, object], otherwise: object = None) -> Colum
 def ordered_distinct(items: Column, key=lambda x: F.lower(x)) -> Column:
     """Items whose key has not come before, in order; null and blank items go. Linear in the items."""
     kept = F.filter(items, lambda x: x.isNotNull() & (F.trim(x) != ""))
-    keys = F.transform(kept, key)
-    return F.filter(kept, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    first = lambda kept, keys: F.filter(kept, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return bound(kept, lambda k: bound(F.transform(k, key), lambda keys: first(k, keys)))
