@@ -113,9 +113,10 @@ def evaluation(c: Candidate, i: int) -> Column:
     )
 
 
-def evaluate(jobs: DataFrame, candidates: list[Candidate], key: str = "job_id", **how) -> DataFrame:
-    """key and one evaluation per candidate and posting."""
-    each = F.explode(F.array(*[evaluation(c, i) for i, c in enumerate(candidates)])).alias("e")
+def evaluate(jobs: DataFrame, candidates: list[Candidate], key: str = "job_id", fields: list[str] | None = None, **how) -> DataFrame:
+    """key and one evaluation per candidate and posting; with fields only these, since nothing behind an explode is pruned: the rest would be worked out."""
+    told = lambda e: e if fields is None else F.struct(*[e[f].alias(f) for f in fields])
+    each = F.explode(F.array(*[told(evaluation(c, i)) for i, c in enumerate(candidates)])).alias("e")
     return with_parts(jobs, candidates, **how).select(key, each).select(key, "e.*")
 
 
@@ -135,7 +136,7 @@ def evaluate_cached(jobs: DataFrame, candidates: list[Candidate], cache: DataFra
     columns = [*KEYS, *KEPT, *VERSIONS, "hit"]
     missing = marked.filter(~F.col("hit")).drop(*KEPT)
     # Only postings that some candidate misses are scored.
-    scored = evaluate(jobs.join(missing.select("job_id").distinct(), "job_id", "left_semi"), candidates, **how).select("job_id", F.col("profile_id").cast("long").alias("profile_id"), *KEPT)
+    scored = evaluate(jobs.join(missing.select("job_id").distinct(), "job_id", "left_semi"), candidates, fields=["profile_id", *KEPT], **how).select("job_id", F.col("profile_id").cast("long").alias("profile_id"), *KEPT)
     return marked.filter("hit").select(columns).unionByName(missing.join(scored, KEYS).select(columns))
 
 
