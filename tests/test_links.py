@@ -30,3 +30,10 @@ def test_near_documents_tell_their_pairs(spark, tmp_path):
             got |= {(min(a, b), max(a, b)): float(jaccard) for a in ids for b in classes[int(y)]}
     score = lambda a, b: round(len(set(a) & set(b)) / len(set(a) | set(b)), 6)
     assert got == {(i, j): score(texts[i], texts[j]) for i, j in combinations(range(len(texts)), 2) if score(texts[i], texts[j]) >= 0.85} and len(got) > 8
+
+
+def test_near_vectors_tell_their_pairs_and_none_is_left_out(spark, tmp_path):
+    data = [(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (3, [1.0, 2.0], None), (4, [1.0, 2.0], None), (5, [5.0, 1.0], 1), (6, [1.1, 2.0], 1), (7, [3.0, 3.0], 2)]
+    rows = rows_and_sql(spark, tmp_path, "d5_vector_dup", "embeddings", spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"))
+    assert rows[1][1:] == (1, 2, 2, "6") and rows[2][1:] == (1, 2, 2, "")
+    assert rows[3][1:] == (3, 2, 0, "") and rows[4][1:] == (3, 2, 0, "") and len(rows) == 14
